@@ -25,6 +25,14 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_documents(spark, sf_dir), tokenizer_path()).select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .crf_langid import held_out, predict, train
+
+    docs = _documents(spark, sf_dir)
+    found = predict(docs.select("doc_id", "text"), train(docs))
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .line_runs import dedup_lines
 
