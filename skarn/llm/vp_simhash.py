@@ -27,7 +27,7 @@ from .common import Scratch, arrow_map, components
 #: Distinct fingerprints a shard should hold, the most shards of a tree, sampled fingerprints for each shard.
 SHARD_ROWS, MAX_DEPTH, SAMPLE_PER_SHARD = 2048, 12, 32
 #: Comparisons held in memory at once.
-BLOCK = 1 << 22
+BLOCK = 1 << 19
 
 
 def simhash(text: str | None, words: int = 3) -> int:
