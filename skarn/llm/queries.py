@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -39,6 +39,27 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(_documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", "n_lines", "n_dropped", F.sha2(F.encode("kept_text", "UTF-8"), 256).alias("kept_sha256"))
 
 
+def _joined(spans: Column) -> Column:
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii_bootstrap import KINDS, find_pii
+
+    found = find_pii(_documents(spark, sf_dir))
+    of = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    counts = [of(kind) for kind in KINDS[:4]]
+    return found.select("doc_id", *counts, F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))
+
+
+def op6_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .kd_shards import shard
+
+    docs = _documents(spark, sf_dir).select("doc_id", "text")
+    docs = docs.select("doc_id", "text", F.crc32(F.encode(F.coalesce("text", F.lit("")), "UTF-8")).alias("text_crc32"))
+    return shard(docs, carry=["doc_id", "text_crc32"]).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .vp_simhash import near_duplicates
 
@@ -46,6 +67,23 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .notice_search import scan_notices
+
+    found = scan_notices(_documents(spark, sf_dir))
+    exact, fuzzy = F.transform("exact", lambda x: x["label"]), F.transform("fuzzy", lambda x: x["label"])
+    some = F.size("exact") > 0
+    best = F.greatest(F.lit(0.0), F.array_max(F.transform("fuzzy", lambda x: x["similarity"])))
+    return found.select(
+        "doc_id", "n_words", F.size("exact").cast("long").alias("n_base"),
+        F.when(some, F.array_min(F.transform("exact", lambda x: x["first"]))).alias("first_word"),
+        F.when(some, F.array_max(F.transform("exact", lambda x: x["first"]))).alias("last_word"),
+        F.array_join(F.array_sort(F.array_distinct(exact)), ",").alias("base_labels"),
+        F.array_join(F.array_sort(F.array_distinct(F.concat(exact, fuzzy))), ",").alias("labels"),
+        F.when(some, F.lit(1.0)).otherwise(F.coalesce(best, F.lit(0.0))).alias("score"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
