@@ -77,11 +77,12 @@ def shard(documents: DataFrame, shards: int = 40, doc_id: str = "doc_id", text:
     rows = scratch.table(keyed.select(*kept, "_h1", "_h2", "_deal", "size", *columns), "points")
     total = rows.agg(F.sum("size")).first()[0] or 0
     target = max(1.0, total / shards)
-    by_text = rows.groupBy("_h1", "_h2").agg(F.sum("size").alias("bytes"), *[F.first(c).alias(c) for c in columns])
+    by_text = rows.groupBy("_h1", "_h2").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("rows"), *[F.first(c).alias(c) for c in columns])
     groups = [r.asDict() for r in by_text.where(F.col("bytes") >= heavy * target).collect()]  # shards / heavy rows at most
     items = []
     for g in sorted(groups, key=lambda g: (-g["bytes"], g["_h1"])):
-        fragments = math.ceil(g["bytes"] / (whole * target)) if g["bytes"] > whole * target else 1
+        # Dealing by hash is even enough from a hundred rows a fragment; smaller groups stay whole.
+        fragments = max(1, min(math.ceil(g["bytes"] / (whole * target)), g["rows"] // 100))
         items += [g | {"bytes": g["bytes"] / fragments, "fragment": i, "fragments": fragments} for i in range(fragments)]
     root = Node(list(range(shards)), items)
     rest = rows
