@@ -67,6 +67,12 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op9_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .multi_index import neighbours
+
+    return neighbours(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 20 == 0)
+
+
 def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .notice_search import scan_notices
 
