@@ -8,7 +8,7 @@ sizes grow geometrically.
 
 Suffixes whose leading string occurs elsewhere are candidates. Candidates whose whole context (all bytes of their windows) occurs elsewhere are repeated
 altogether. For what is left, one representative of each context brings its bytes, and the windows of contexts with the same leading string are compared by
-64-bit hashes: in sorted streams for ordinary strings, and spread over the cluster window by window for strings with more than ``crowd`` contexts. Repeated windows
+64-bit hashes: in sorted streams for ordinary strings, and by a search tree over ranges of windows, spread over the cluster, for strings with more than ``crowd`` contexts. Repeated windows
 become byte intervals of their texts. Texts are identified by a 128-bit content hash; a text that occurs twice is repeated altogether.
 
 Defined cases: null text counts as empty; texts shorter than ``length`` lose nothing; matches never cross texts but may overlap within one; repeated rows are other
@@ -225,20 +225,57 @@ def compare_streams(contexts: DataFrame, length: int) -> DataFrame:
     return contexts.select("lead", "context", "bytes").repartition("lead").sortWithinPartitions("lead", "context").mapInArrow(run, "lead long, context long, first long, last long")
 
 
-def compare_spread(contexts: DataFrame, scratch: Scratch, length: int) -> DataFrame:
-    """The same for crowded leading hashes: windows meet by their hash, wherever they are."""
-
-    def explode(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        for at in range(0, batch.num_rows, 2000):
-            part = batch.slice(at, 2000)
-            row, offset, value = _windows(part.column(2).to_pylist(), length)
-            take = pa.array(row)
-            yield pa.RecordBatch.from_arrays([part.column(0).take(take), part.column(1).take(take), pa.array(offset), pa.array(value.view(np.int64))], ["lead", "context", "at", "value"])
-
-    windows = scratch.table(arrow_map(contexts.select("lead", "context", "bytes"), explode, "lead long, context long, at long, value long"), "windows")
-    twice = windows.groupBy("lead", "value").agg(F.min("context").alias("a"), F.max("context").alias("z")).where("a <> z").select("lead", "value")
-    hit = windows.join(twice, ["lead", "value"], "left_semi").select("lead", "context", F.col("at").alias("first"), F.col("at").alias("last"))
-    return hit
+def _hash_slices(joined: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    sums, inverse = _prefix(joined)
+    return _mix((sums[ends] - sums[starts]) * inverse[starts] ^ (ends - starts).astype(np.uint64))
+
+
+def compare_spread(contexts: DataFrame, scratch: Scratch, length: int, gram: int) -> list[DataFrame]:
+    """The same for crowded leading hashes, by a search tree over the windows' offsets from the suffix.
+
+    A piece of a context is a range of its windows. On each level pieces are cut at a grid of offsets; pieces of a cell meet if the bytes that all windows of the cell
+    share (its core) are equal. Pieces with equal bytes are repeated altogether; those that differ but share a core go to the next, finer level, one
+    representative each. On the last level a piece is a window. A context has a few pieces a level, however crowded its leading hash is.
+    """
+    span, out = length - gram + 1, []
+    fields = "lead long, context long, base long, offset long, cell long, n long, core long, whole long, bytes binary"
+    pieces = contexts.select("lead", "context", F.lit(0).cast("long").alias("base"), (F.lit(span - 1) - F.col("shift")).alias("offset"), "bytes")
+    for width in (35, 6, 1):
+
+        def cut(batch: pa.RecordBatch, width: int = width) -> Iterator[pa.RecordBatch]:
+            for at in range(0, batch.num_rows, 4000):
+                part = batch.slice(at, 4000)
+                raw = part.column(4).to_pylist()
+                base, offset = part.column(2).to_numpy(), part.column(3).to_numpy()
+                size = np.array([len(x) for x in raw])
+                origin, n = np.cumsum(size) - size, size - length + 1
+                c0, c1 = offset // width, (offset + n - 1) // width
+                row = np.repeat(np.arange(len(raw)), c1 - c0 + 1)
+                cell = np.arange(len(row)) - np.repeat(np.cumsum(c1 - c0 + 1) - (c1 - c0 + 1), c1 - c0 + 1) + c0[row]
+                lo, hi = np.maximum(cell * width, offset[row]), np.minimum((cell + 1) * width, (offset + n)[row]) - 1
+                joined = np.frombuffer(b"".join(raw), np.uint8)
+                first = origin[row] + lo - offset[row]
+                core = _hash_slices(joined, origin[row] + (cell + 1) * width - 1 - offset[row], origin[row] + cell * width - offset[row] + length)
+                whole = _mix(_hash_slices(joined, first, first + hi - lo + length) ^ (lo.astype(np.uint64) << np.uint64(32)))
+                take, data = pa.array(row), joined.tobytes()
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0).take(take), part.column(1).take(take), pa.array(base[row] + lo - offset[row]), pa.array(lo), pa.array(cell), pa.array(hi - lo + 1), pa.array(core.view(np.int64)), pa.array(whole.view(np.int64)),
+                     pa.array([data[a:b] for a, b in zip(first.tolist(), (first + hi - lo + length).tolist(), strict=True)], pa.binary())],
+                    ["lead", "context", "base", "offset", "cell", "n", "core", "whole", "bytes"],
+                )
+
+        rows = scratch.table(arrow_map(pieces, cut, fields), "pieces")
+        key = ["lead", "cell", "core"]
+        equal = rows.groupBy(*key, "whole").agg(F.min("context").alias("one"), F.max("context").alias("other"))
+        equal = scratch.table(equal, "equal")
+        hit = rows.join(equal.where("one <> other").select(*key, "whole"), [*key, "whole"], "left_semi")
+        out.append(hit.select("lead", "context", F.col("base").alias("first"), (F.col("base") + F.col("n") - 1).alias("last")))
+        if width == 1:
+            break
+        open_keys = equal.groupBy(*key).agg(F.count(F.lit(1)).alias("ways")).where("ways > 1").select(*key)
+        on = equal.join(open_keys, key, "left_semi").select(*key, "whole", F.col("one").alias("context"))
+        pieces = rows.join(on, [*key, "whole", "context"], "left_semi").select("lead", "context", "base", "offset", "bytes")
+    return out
 
 
 def remove_repeats(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM, arrivals: int = 2, crowd: int = 200) -> DataFrame:
@@ -257,25 +294,28 @@ def remove_repeats(documents: DataFrame, doc_id: str = "doc_id", text: str = "te
     place = F.struct("h1", "h2", "pos")
     contexts = scratch.table(candidates.groupBy("lead", "context").agg(F.min(place).alias("a"), F.max(place).alias("z"), F.min(occurrence).alias("at")).select("lead", "context", (F.col("a") != F.col("z")).alias("whole"), "at"), "contexts")
     crowds = scratch.table(contexts.groupBy("lead").agg(F.count(F.lit(1)).alias("n"), F.max(F.when(F.col("whole"), 0).otherwise(1)).alias("open")).where("n > 1 and open = 1").select("lead", "n"), "crowds")
-    wanted = contexts.join(crowds, "lead").select("at.h1", "at.h2", F.struct("lead", "context", "n", "at.lo", "at.hi").alias("want")).groupBy("h1", "h2").agg(F.collect_list("want").alias("wants"))
+    wanted = contexts.join(crowds, "lead").select("at.h1", "at.h2", F.struct("lead", "context", "n", (F.col("at.pos") - F.col("at.lo")).alias("shift"), "at.lo", "at.hi").alias("want")).groupBy("h1", "h2").agg(F.collect_list("want").alias("wants"))
     # One row of each text brings the bytes.
     bearer = long_texts.groupBy("h1", "h2").agg(F.min("doc_id").alias("bearer"), F.count(F.lit(1)).alias("copies"), F.max(F.octet_length("text")).alias("n"))
     texts = scratch.table(bearer, "texts")
     asked = wanted.join(texts.select("h1", "h2", "bearer"), ["h1", "h2"])
 
     def cut(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        out: tuple[list, list, list, list] = ([], [], [], [])
+        out: tuple[list, ...] = ([], [], [], [], [])
         for raw, wants in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             raw = raw.encode("utf-8", "surrogatepass")
             for w in wants:
-                for column, value in zip(out, (w["lead"], w["context"], w["n"], raw[w["lo"] : w["hi"] + length]), strict=True):
+                for column, value in zip(out, (w["lead"], w["context"], w["n"], w["shift"], raw[w["lo"] : w["hi"] + length]), strict=True):
                     column.append(value)
         if out[0]:
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.binary())], ["lead", "context", "n", "bytes"])
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.int64()), pa.array(out[4], pa.binary())], ["lead", "context", "n", "shift", "bytes"])
 
     with_text = long_texts.join(asked, (long_texts.h1 == asked.h1) & (long_texts.h2 == asked.h2) & long_texts.doc_id.eqNullSafe(asked.bearer)).select("text", "wants")
-    brought = scratch.table(arrow_map(with_text, cut, "lead long, context long, n long, bytes binary"), "bytes")
-    hits = compare_streams(brought.where(F.col("n") <= crowd), length).unionByName(compare_spread(brought.where(F.col("n") > crowd), scratch, length))
+    brought = scratch.table(arrow_map(with_text, cut, "lead long, context long, n long, shift long, bytes binary"), "bytes")
+    hits = compare_streams(brought.where(F.col("n") <= crowd), length)
+    crowded = brought.where(F.col("n") > crowd)
+    for found_there in [] if crowded.isEmpty() else compare_spread(crowded, scratch, length, gram):
+        hits = hits.unionByName(found_there)
     part = scratch.table(hits.join(contexts.where("not whole").select("lead", "context"), ["lead", "context"], "left_semi"), "hits")
     spans = candidates.join(part, ["lead", "context"]).select("h1", "h2", (F.col("lo") + F.col("first")).alias("s"), (F.col("lo") + F.col("last") + length).alias("e"))
     spans = spans.unionByName(candidates.join(contexts.where("whole").select("lead", "context"), ["lead", "context"], "left_semi").select("h1", "h2", F.col("lo").alias("s"), (F.col("hi") + length).alias("e")))
