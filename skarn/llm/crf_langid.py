@@ -66,8 +66,8 @@ class Crf:
 
     def index(self, texts_words: list[list[str]]) -> list[np.ndarray]:
         """Row numbers of words in ``table``, which holds exp(score - largest score)."""
-        if self.table is None or len(self.seen) > CACHE:
-            self.seen, self.table = {}, np.zeros((0, len(self.labels)))
+        if self.table is None:
+            self.table = np.zeros((0, len(self.labels)))
         new = list(set().union(*texts_words) - self.seen.keys())
         for at in range(0, len(new), 50_000):
             part = new[at : at + 50_000]
@@ -75,12 +75,12 @@ class Crf:
             self.seen.update(zip(part, range(len(self.table), len(self.table) + len(part)), strict=True))
             self.table = np.concatenate([self.table, np.maximum(np.exp(s - s.max(axis=1, keepdims=True)), 1e-30)])
         get = self.seen.__getitem__
-        return [np.fromiter(map(get, words), np.int64, len(words)) for words in texts_words]
+        return [np.fromiter(map(get, words), np.int32, len(words)) for words in texts_words]
 
-    def posteriors(self, sequences: list[np.ndarray]) -> list[np.ndarray]:
-        """Forward-backward over word rows: the posterior of each word's labels. Sequences of like length share a block."""
+    def posteriors(self, sequences: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray]]:
+        """Forward-backward over word rows: each non-empty sequence's number and its words' posteriors. Sequences of like length share a
+        block, and only a block is held."""
         order = sorted((i for i, s in enumerate(sequences) if len(s)), key=lambda i: -len(sequences[i]))
-        out = [np.zeros((0, len(self.labels)))] * len(sequences)
         move, begin = np.exp(self.transitions - self.transitions.max()), np.exp(self.start - self.start.max())
         at = 0
         while at < len(order):
@@ -111,8 +111,7 @@ class Crf:
                 alpha[rows] *= b
             alpha /= alpha.sum(axis=1, keepdims=True)
             for k, i in enumerate(block):
-                out[i] = alpha[offset[k] : offset[k] + n[k]]
-        return out
+                yield i, alpha[offset[k] : offset[k] + n[k]]
 
 
 def fit(spans: list[tuple[str, str]], max_labels: int = 64, sequences: int = 1600, length: int = 40, epochs: int = 14, seed: int = 11) -> Crf:
@@ -250,10 +249,12 @@ def predict(documents: DataFrame, model: Crf, text: str = "text", with_spans: bo
 def _label(crf: Crf, texts: list[str | None], with_spans: bool) -> tuple[list[str], list[float], list]:
     known = [t if t and crf.labels and any(map(str.isalpha, t)) else "" for t in texts]
     lang, score, spans = ["und"] * len(texts), [0.0] * len(texts), [[] for _ in texts]
-    words = [WORD.findall(t.lower()) for t in known]
-    for i, p in enumerate(crf.posteriors(crf.index(words))):
-        if not len(p):
-            continue
+    if len(crf.seen) > CACHE:
+        crf.seen, crf.table = {}, None
+    rows: list[np.ndarray] = []
+    for at in range(0, len(known), 500):
+        rows += crf.index([WORD.findall(t.lower()) for t in known[at : at + 500]])
+    for i, p in crf.posteriors(rows):
         mean = p.mean(axis=0)
         best = int(np.argmax(mean))
         lang[i], score[i] = crf.labels[best], float(min(1.0, max(0.0, mean[best])))
