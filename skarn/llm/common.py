@@ -38,7 +38,7 @@ class Scratch:
         path = self.path(name)
         writer = df.write.option("compression", "zstd")
         (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path) if not partition_by else self.spark.read.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, df_path: str | None = None) -> None:
         jvm = self.spark.sparkContext._jvm

@@ -81,6 +81,8 @@ class Crf:
         """Forward-backward over word rows: each non-empty sequence's number and its words' posteriors. Sequences of like length share a
         block, and only a block is held."""
         order = sorted((i for i, s in enumerate(sequences) if len(s)), key=lambda i: -len(sequences[i]))
+        if not self.labels:
+            return
         move, begin = np.exp(self.transitions - self.transitions.max()), np.exp(self.start - self.start.max())
         at = 0
         while at < len(order):
