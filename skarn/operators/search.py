@@ -123,7 +123,7 @@ def choose_chunks(chunks: DataFrame, k: int, least: float = 0.3, duplicate: floa
                 break
         return pd.DataFrame(kept, columns=pdf.columns)
 
-    return best.select("id", "content", "similarity").groupBy(F.lit(0)).applyInPandas(fold, "id long, content string, similarity double")
+    return best.select("id", "content", "similarity").groupBy().applyInPandas(fold, "id long, content string, similarity double")
 
 
 def greedy_budget(rows: DataFrame, budget: int, order: list[Column], cost: str = "tokens", by: list[str] | None = None) -> DataFrame:
