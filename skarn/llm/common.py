@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable, Iterable, Iterator
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,11 +26,28 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Gives this package to the Python workers, once an application, unless PYTHONPATH already does."""
+    root, context = Path(__file__).resolve().parents[2], spark.sparkContext
+    if context.applicationId in _SHIPPED or str(root) in os.environ.get("PYTHONPATH", "").split(os.pathsep):
+        return
+    target = Path(tempfile.mkdtemp(prefix="skarn-package-")) / "skarn.zip"
+    with zipfile.ZipFile(target, "w") as archive:
+        for path in sorted((root / "skarn").rglob("*.py")):
+            archive.write(path, path.relative_to(root))
+    context.addPyFile(str(target))  # Spark copies it to every executor
+    _SHIPPED.add(context.applicationId)
+
+
 class Scratch:
     """Tables written below the shared folder. They cut lineage and survive lost executors, as checkpoint files do,
     and like those they live until the folder is cleaned or :meth:`drop` is called."""
 
     def __init__(self, spark: SparkSession, name: str) -> None:
+        ship(spark)
         self.spark, self.base, self.count = spark, f"{shared_dir(spark)}/skarn-{name}-{uuid.uuid4().hex}", 0
 
     def path(self, name: str = "t") -> str:
@@ -97,4 +117,5 @@ def arrow_map(df: DataFrame, per_batch: Callable, schema: str) -> DataFrame:
             if batch.num_rows:
                 yield from per_batch(batch)
 
+    ship(df.sparkSession)
     return df.mapInArrow(run, schema)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import without
+from .common import ship, without
 
 WORD = re.compile(r"[^\W\d_]+")
 BITS = 16
@@ -232,6 +232,7 @@ def predict(documents: DataFrame, model: Crf, text: str = "text", with_spans: bo
     kind = "array<struct<start:int,end:int,lang:string>>"
     source = without(documents, ["lang_pred", "lang_score", "lang_spans"])
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields)
+    ship(documents.sparkSession)
     shared = documents.sparkSession.sparkContext.broadcast(model)
     at_text = source.columns.index(text)
 
