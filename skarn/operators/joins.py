@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.vectors import cosine
+from ..functions.vectors import cosine, finite, norm
 
 
 def structural_coupling(edges: DataFrame, symbols: DataFrame, files: DataFrame, changed: DataFrame) -> DataFrame:
@@ -100,14 +100,45 @@ def route_consumers(routes: DataFrame, dependencies: DataFrame, changed: DataFra
     return hit.join(dependencies.select(F.col("pattern").alias("path_pattern"), "service"), "path_pattern", "left").groupBy("path_pattern").agg(F.count_distinct("service").alias("consumers"))
 
 
-def similar_pairs(vectors: DataFrame, threshold: float, id_col: str = "id", vector: str = "embedding", block: Column | None = None) -> DataFrame:
+def similar_pairs(vectors: DataFrame, threshold: float, id_col: str = "id", vector: str = "embedding", block: Column | None = None, rows_per_tile: int = 2048) -> DataFrame:
     """(a, b, similarity) of pairs above the threshold, a < b. ``block``: pairs meet only within a block (for instance a bucket of a
-    locality-sensitive hash); without it all rows meet, which is exact and quadratic, as the operation is defined."""
-    key = block if block is not None else F.lit(0)
-    rows = vectors.select(F.col(id_col).alias("a"), F.col(vector).alias("_va"), key.alias("_block"))
-    other = rows.select(F.col("a").alias("b"), F.col("_va").alias("_vb"), "_block")
-    on = (F.col("a") < F.col("b")) if block is None else (rows["_block"] == other["_block"]) & (F.col("a") < F.col("b"))
-    return rows.join(other, on).select("a", "b", cosine(F.col("_va"), F.col("_vb")).alias("similarity")).where(F.col("similarity") > threshold)
+    locality-sensitive hash); without it all rows meet, which is exact and quadratic, as the operation is defined.
+
+    Rows are dealt into tiles of bounded size and each pair of tiles is one matrix product in one task, so no task holds more than two tiles.
+    Vectors that are null, zero, non-finite or of another length than their partner have no similarity."""
+    import pyarrow as pa
+
+    kind = vectors.schema[id_col].dataType.simpleString()
+    rows = vectors.select(F.col(id_col).alias("id"), F.transform(vector, lambda v: v.cast("double")).alias("v"), (block if block is not None else F.lit(0)).cast("string").alias("block")).where(finite(F.col("v")) & (norm(F.col("v")) > 0) & F.col("id").isNotNull())
+    tiles = max(1, -(-vectors.count() // rows_per_tile))
+    tile = F.pmod(F.xxhash64("id"), F.lit(tiles))
+    others = F.transform(F.sequence(F.lit(0).cast("long"), F.lit(tiles - 1).cast("long")), lambda k: F.struct(F.least(F.col("tile"), k).alias("i"), F.greatest(F.col("tile"), k).alias("j")))
+    dealt = rows.withColumn("tile", tile).withColumn("pair", F.explode(others)).select("id", "v", "block", "tile", "pair.i", "pair.j")
+
+    def compare(table: pa.Table) -> pa.Table:
+        import numpy as np
+
+        found: tuple[list, list, list] = ([], [], [])
+        sizes = np.array([len(x) for x in table.column("v")])
+        at, j = table.column("tile").to_numpy(), table.column("j")[0].as_py()
+        ids = np.array(table.column("id").to_pylist())
+        for size in np.unique(sizes):
+            own = np.flatnonzero(sizes == size)
+            x = np.array(table.column("v").take(pa.array(own)).to_pylist())
+            x /= np.sqrt((x * x).sum(axis=1))[:, None]
+            left, right = np.flatnonzero(at[own] == table.column("i")[0].as_py()), np.flatnonzero(at[own] == j)
+            for k in range(0, len(left), 512):
+                part = left[k : k + 512]
+                close = x[part] @ x[right].T
+                r, c = np.nonzero(close > threshold)
+                a, b = ids[own[part[r]]], ids[own[right[c]]]
+                once = a < b if np.array_equal(left, right) else a != b
+                low, high = np.where(a < b, a, b), np.where(a < b, b, a)
+                for column, values in zip(found, (low[once], high[once], np.clip(close[r, c], -1, 1)[once]), strict=True):
+                    column.extend(values.tolist())
+        return pa.table({"a": pa.array(found[0], table.schema.field("id").type), "b": pa.array(found[1], table.schema.field("id").type), "similarity": pa.array(found[2], pa.float64())})
+
+    return dealt.groupBy("block", "i", "j").applyInArrow(compare, f"a {kind}, b {kind}, similarity double")
 
 
 def best_endpoints(files: DataFrame, endpoints: DataFrame, threshold: float = 0.5, limit: int = 10) -> DataFrame:

@@ -110,3 +110,19 @@ def test_diff_and_drift(spark):
 def test_bridge_records_follow_the_chain(spark):
     rows = spark.createDataFrame([("f", 0, "h0", None, 1), ("f", 1, "h1", "zz", 3), ("f", 2, "h2", "h0", 2)], "file string, seq long, hash string, parent_hash string, privacy int")
     assert [(r["seq"], r["accepted"], r["privacy_so_far"]) for r in p.chain_accept(rows).orderBy("seq").collect()] == [(0, True, 1), (1, False, 1), (2, True, 2)]
+
+
+def test_similar_pairs_do_not_depend_on_tiles(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(60, 4))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(100, [0.0] * 4), (101, None), (102, [float("nan")] * 4), (103, [1.0, 2.0])]
+    table = spark.createDataFrame(rows, "id long, embedding array<double>")
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    close = unit @ unit.T
+    want = {(i, k) for i in range(60) for k in range(i + 1, 60) if close[i, k] > 0.7}
+    for size in (7, 2048):
+        assert {(r["a"], r["b"]) for r in j.similar_pairs(table, 0.7, rows_per_tile=size).collect()} == want
+    within = {(i, k) for i, k in want if i % 3 == k % 3}
+    assert {(r["a"], r["b"]) for r in j.similar_pairs(table, 0.7, block=F.col("id") % 3, rows_per_tile=16).collect()} == within
