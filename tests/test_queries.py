@@ -7,6 +7,7 @@ import os
 
 import pytest
 
+import skarn.queries_basics  # noqa: F401
 import skarn.queries_lookups  # noqa: F401
 from skarn.bindings import TABLES
 from skarn.queries import QUERIES, SQL
