@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, hash128, without
 
-HASH_BITS, POINT_BITS, BINS = 38, 24, 512
+HASH_BITS, POINT_BITS, BINS = 38, 24, 2048
 DIMENSIONS = ("log_bytes", "lines", "density", "hash")
 
 
@@ -194,34 +194,36 @@ def _search(at: DataFrame, state: dict[int, dict], fine: float, fixed) -> None:
     for s in state.values():
         s |= {"done": s["hi"] - s["lo"] <= 1, "weight": s["below"] + fixed(s, s["lo"])}
     while active := {n: s for n, s in state.items() if not s["done"]}:
-        cases, width = F.lit(None).cast("long"), {}
+        key, bin_, width = F.lit(None).cast("long"), F.lit(None).cast("long"), {}
         for n, s in active.items():
             width[n] = max(1, -(-(s["hi"] - s["lo"]) // BINS))
-            key = F.col(_key(s["node"].dimension))
-            bin_ = F.when((key >= F.lit(s["lo"])) & (key < F.lit(s["hi"])), F.expr(f"({_key(s['node'].dimension)} - {s['lo']}L) div {width[n]}L"))
-            cases = F.when(F.col("_node") == n, bin_).otherwise(cases)
-        counted = at.withColumn("_bin", cases).where(F.col("_bin").isNotNull()).groupBy("_node", "_bin").agg(F.sum("size").alias("bytes")).collect()
-        bins: dict[int, dict[int, int]] = {n: {} for n in active}
+            own = _key(s["node"].dimension)
+            here = (F.col("_node") == n) & (F.col(own) >= F.lit(s["lo"])) & (F.col(own) < F.lit(s["hi"]))
+            key, bin_ = F.when(here, F.col(own)).otherwise(key), F.when(here, F.expr(f"({own} - {s['lo']}L) div {width[n]}L")).otherwise(bin_)
+        counted = at.select("_node", key.alias("_k"), bin_.alias("_bin"), "size").where(F.col("_bin").isNotNull()).groupBy("_node", "_bin").agg(F.sum("size").alias("bytes"), F.min("_k").alias("least"), F.max("_k").alias("most")).collect()
+        bins: dict[int, dict[int, tuple[int, int, int]]] = {n: {} for n in active}
         for r in counted:
-            bins[r["_node"]][r["_bin"]] = r["bytes"]
+            bins[r["_node"]][r["_bin"]] = (r["bytes"], r["least"], r["most"])
         for n, s in active.items():
             lo, below, w = s["lo"], s["below"], width[n]
-            step, chosen = 0, None
+            step, chosen, held = 0, None, (0, 0, 0)
             for b in range(-(-(s["hi"] - lo) // w)):
-                edge = lo + (b + 1) * w
-                if below + step + bins[n].get(b, 0) + fixed(s, edge) >= s["goal"]:
+                held = bins[n].get(b, (0, 0, 0))
+                if below + step + held[0] + fixed(s, lo + (b + 1) * w) >= s["goal"]:
                     chosen = b
                     break
-                step += bins[n].get(b, 0)
+                step += held[0]
             if chosen is None:
                 s |= {"lo": s["hi"], "below": below + step, "done": True}
             else:
                 start = lo + chosen * w
                 s |= {"lo": start, "hi": min(s["hi"], start + w), "below": below + step}
-                s["done"] = w == 1 or bins[n].get(chosen, 0) <= fine
+                if held[0] and held[1] == held[2] and fixed(s, start) == fixed(s, s["hi"]):
+                    s |= {"lo": held[1], "hi": held[1] + 1}  # a bin of one point can't be narrowed
+                s["done"] = s["hi"] - s["lo"] <= 1 or held[0] <= fine and fixed(s, s["lo"]) == fixed(s, s["hi"])
                 if s["done"]:
                     # The nearer edge of the last bin.
-                    after = s["below"] + bins[n].get(chosen, 0)
+                    after = s["below"] + held[0]
                     if abs(after + fixed(s, s["hi"]) - s["goal"]) < abs(s["below"] + fixed(s, s["lo"]) - s["goal"]):
                         s |= {"lo": s["hi"], "below": after}
             s["weight"] = s["below"] + fixed(s, s["lo"])
