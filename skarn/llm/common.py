@@ -48,11 +48,12 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str) -> None:
         ship(spark)
-        self.spark, self.base, self.count = spark, f"{shared_dir(spark)}/skarn-{name}-{uuid.uuid4().hex}", 0
+        self.spark, self.base = spark, f"{shared_dir(spark)}/skarn-{name}-{uuid.uuid4().hex}"
+        self.paths: list[str] = []
 
     def path(self, name: str = "t") -> str:
-        self.count += 1
-        return f"{self.base}/{self.count:04d}-{name}"
+        self.paths.append(f"{self.base}/{len(self.paths):04d}-{name}")
+        return self.paths[-1]
 
     def table(self, df: DataFrame, name: str = "t", partition_by: Iterable[str] = ()) -> DataFrame:
         path = self.path(name)
@@ -60,9 +61,9 @@ class Scratch:
         (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def drop(self, df_path: str | None = None) -> None:
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(df_path or self.base)
+    def drop(self, path: str | None = None) -> None:
+        """Deletes one table, or all; whatever was derived from it lazily can't be read any more."""
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path or self.base)
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
