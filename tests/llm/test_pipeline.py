@@ -36,3 +36,35 @@ def test_every_operator_is_registered():
     names = set(entry.queries())
     assert {f"op{n}" for n in range(1, 11)} <= {n.split("_")[0] for n in names} and "pipeline" in names
     assert set(entry.oracle_sql()) <= names
+
+
+def _shingles(text):
+    words = (text or "").lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+
+
+def test_near_copies_by_similarity_against_brute_force(spark, none):
+    import random
+
+    import corpus_pipeline
+
+    rng, rows = random.Random(3), []
+    for i in range(40):
+        words = prose(3000 + i, 60 + 3 * i).split()
+        rows.append((10 * i, " ".join(words), "en", "s"))
+        for k in range(1, 6):
+            for at in rng.sample(range(len(words)), rng.randrange(1, 7)):
+                words[at] = f"edit{i}x{k}"
+            rows.append((10 * i + k, " ".join(words), "en", "s"))
+    shared = prose(77, 40)
+    rows += [(1000 + i, f"{prose(5000 + i, 50)} {shared}", "en", "s") for i in range(30)]
+    rng.shuffle(rows)
+    sets, group = [_shingles(r[1]) for r in rows], list(range(len(rows)))
+    for i in range(len(rows)):
+        for k in range(i):
+            if 5 * len(sets[i] & sets[k]) >= 4 * len(sets[i] | sets[k]) and group[i] != group[k]:
+                group = [group[k] if g == group[i] else g for g in group]
+    want = sorted(min(r[0] for r, g in zip(rows, group, strict=True) if g == one) for one in set(group))
+    assert 80 < len(want) < len(rows) - 50
+    assert sorted(r["doc_id"] for r in corpus_pipeline.near_copies(spark, frame(spark, rows), "").collect()) == want
+    assert corpus_pipeline.near_copies(spark, none, "").collect() == []
