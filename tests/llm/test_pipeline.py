@@ -68,3 +68,12 @@ def test_near_copies_by_similarity_against_brute_force(spark, none):
     assert 80 < len(want) < len(rows) - 50
     assert sorted(r["doc_id"] for r in corpus_pipeline.near_copies(spark, frame(spark, rows), "").collect()) == want
     assert corpus_pipeline.near_copies(spark, none, "").collect() == []
+
+
+def test_one_row_of_each_component_stays_whatever_the_ids(spark):
+    import corpus_pipeline
+
+    a, b, c = prose(1, 80), prose(2, 80), prose(3, 80)
+    rows = [(1, a, "en", "s"), (1, a, "en", "s"), (2, a, "en", "s"), (2, b, "en", "s"), (None, b + " end", "en", "s"), (None, c, "en", "s"), (None, c, "en", "t")]
+    kept = corpus_pipeline.near_copies(spark, frame(spark, rows), "").collect()
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in kept) == sorted([(1, a), (2, b), (0, c)])
