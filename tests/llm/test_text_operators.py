@@ -155,3 +155,37 @@ def test_benchmark_items_and_paraphrases(spark, odd, none):
     assert latent_decontam.contaminated(odd, bench).collect() == []
     assert latent_decontam.contaminated(none, bench).collect() == []
     assert latent_decontam.contaminated(docs, bench.where("false")).collect() == []
+
+
+def test_benchmark_items_equal_brute_force(spark):
+    import random
+
+    rng = random.Random(8)
+    common = [f"c{i}" for i in range(60)]
+    items = [(i, " ".join(rng.choices(common, k=10 + i))) for i in range(12)]
+    rows = []
+    for i in range(90):
+        words = [rng.choice(common) if rng.random() < 0.3 else f"r{rng.randrange(10**6)}" for _ in range(rng.choice([20, 150, 1300]))]
+        if i % 3:
+            copy = items[i % 12][1].split()
+            copy = copy if i % 3 == 1 else [w for w in copy if rng.random() < 0.8]
+            at = rng.randrange(len(words))
+            words[at:at] = [*(f"r{rng.randrange(10**6)}" for _ in range(20)), *copy, *(f"r{rng.randrange(10**6)}" for _ in range(20))]
+        rows.append((i, " ".join(words), "en", "a"))
+    held = [set(text.split()) for _, text, _, _ in rows]
+    idf = lambda w: np.log((1 + len(rows)) / (1 + sum(w in h for h in held))) + 0.01
+    want = set()
+    for item_id, item in items:
+        item = item.split()
+        weight, m, tail = np.array([idf(w) for w in item]), len(item), latent_decontam.answer_words(" ".join(item))
+        assert tail == 0
+        for doc_id, text, _, _ in rows:
+            words = text.split()
+            for a in range(0, max(1, len(words) - 16), 16):
+                region = words[max(0, a - m) : min(a + 32, len(words)) + m]
+                got = np.isin(item, region)
+                if got.mean() >= 0.6 and weight[got].sum() >= 0.6 * weight.sum() and latent_decontam.lcs(region, item) >= 0.75 * m:
+                    want.add((doc_id, item_id))
+    assert len(want) > 40
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in latent_decontam.contaminated(frame(spark, rows), bench, cosine=-1.0).collect()} == want
