@@ -188,4 +188,4 @@ def test_benchmark_items_equal_brute_force(spark):
                     want.add((doc_id, item_id))
     assert len(want) > 40
     bench = spark.createDataFrame(items, "item_id long, text string")
-    assert {(r["doc_id"], r["item_id"]) for r in latent_decontam.contaminated(frame(spark, rows), bench, cosine=-1.0).collect()} == want
+    assert {(r["doc_id"], r["item_id"]) for r in latent_decontam.contaminated(frame(spark, rows), bench).collect()} == want
