@@ -1,16 +1,21 @@
 """Exact removal of long repeated substrings with a logarithmic family of sparse suffix arrays.
 
-Every window of ``length`` bytes samples one suffix: the leftmost one whose first ``gram`` bytes have the smallest hash among the window's suffixes. Equal windows sample
-the same suffix, so it is enough to index sampled suffixes, about one in (length - gram) / 2 bytes, each with the range of windows that it stands for.
-A batch's suffix array is a run sorted by the suffixes' leading hash, with each leading string's first and last occurrence. A new batch's run is merge-scanned
-against the runs of the existing levels (equal leading strings meet), and as soon as two runs stand on one level they merge into a run of the next level, so
-sizes grow geometrically.
-
-Suffixes whose leading string occurs elsewhere are candidates. Candidates whose whole context (all bytes of their windows) occurs elsewhere are repeated
-altogether. For what is left, one representative of each context brings its bytes, and the windows of contexts with the same leading string are compared by
-64-bit hashes: in sorted streams for ordinary strings, and by a search tree over ranges of windows, spread over the cluster, for strings with more than ``crowd`` contexts. Repeated windows
+Every window of ``length`` bytes samples one suffix: the leftmost one whose first ``gram`` bytes, its lead, have the smallest hash among the window's suffixes. Equal windows
+sample the same suffix, so it is enough to index sampled suffixes, about one in (length - gram) / 2 bytes, each with the range of windows that it stands for.
+
+A batch's suffix array is a run of its sampled suffixes in the order of their first ``SORTED`` bytes and then of a 64-bit fingerprint of the lead. Two neighbours can share a
+repeated window only if their longest common prefix reaches ``gram``; such neighbours collapse into one row with their first and last occurrence, so that a run has a row for each
+lead, however often it occurs, and no stored pair of neighbours has a common prefix that matters. A new batch's run is merge-scanned against the runs of the existing levels: while
+the lowest levels are full, they and the new run merge into a run of the next level, which shows the matches as it merges; the levels above are scanned by a sorted merge join. Runs of a level have about the same size,
+so sizes grow geometrically and a suffix is merged a logarithmic number of times.
+
+Suffixes whose lead occurs elsewhere are candidates. Candidates whose whole context (all bytes of their windows) occurs elsewhere are repeated
+altogether. For what is left, one text of each context brings its bytes, and the windows of contexts with the same lead are compared by
+64-bit hashes: in sorted streams for ordinary leads, and by a search tree over ranges of windows, spread over the cluster, for leads with more than ``crowd`` contexts. Repeated windows
 become byte intervals of their texts. Texts are identified by a 128-bit content hash; a text that occurs twice is repeated altogether.
 
+Python holds a block of ``BLOCK`` bytes of text (a segment of a longer text) or of contexts at a time, whatever the batches of rows hold.
+
 Defined cases: null text counts as empty; texts shorter than ``length`` lose nothing; matches never cross texts but may overlap within one; repeated rows are other
 documents; doc_id may be null or repeated; other columns are not read; an empty table gives an empty result.
 """
@@ -27,12 +32,16 @@ from pyspark.sql import functions as F
 from .common import Scratch, arrow_map, hash128
 
 LENGTH, GRAM = 400, 128
+#: Bytes of a suffix that order a run, in longs of eight.
+SORTED, _KEYS = 24, ("s1", "s2", "s3")
 #: Bytes hashed at once; a longer text is indexed in segments.
-BLOCK, SEGMENT = 1 << 20, 1 << 22
+BLOCK, SEGMENT = 1 << 17, 1 << 18
+#: Bytes of contexts or kept texts in one batch that Python returns.
+SLICE = 1 << 21
 _RNG = np.random.default_rng(20240229)
 _BYTES = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15 | 5
-_POSITION = 23
+_POSITION = 20
 
 
 def _powers(n: int, base: int) -> np.ndarray:
@@ -67,10 +76,14 @@ def _mix(h: np.ndarray) -> np.ndarray:
 
 def sample(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
     """Sampled suffixes of the texts data[starts:ends]: (text, position, first window, last window, leading hash, context hash), positions
-    counted from the text's start."""
+    counted from data's start."""
     n, span = len(data), length - gram + 1
-    if n < length:
+    counts = np.maximum(ends - starts - length + 1, 0)
+    total = int(counts.sum())
+    if n < length or not total:
         return tuple(np.zeros(0, np.int64) for _ in range(4)) + (np.zeros(0, np.uint64),) * 2
+    if n > 1 << _POSITION:
+        raise ValueError(f"blocks hold {1 << _POSITION} bytes at most")
     sums, inverse = _prefix(data)
     lead = _mix((sums[gram:] - sums[:-gram]) * inverse[: n - gram + 1])
     best = (lead >> np.uint64(_POSITION) << np.uint64(_POSITION)) | np.arange(len(lead), dtype=np.uint64)
@@ -79,94 +92,125 @@ def sample(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, length: int =
         step = min(width, span - width)
         best = np.minimum(best[:-step], best[step:])
         width += step
-    chosen = (best & np.uint64((1 << _POSITION) - 1)).astype(np.int64)  # for the window at each position
-    text = np.repeat(np.arange(len(starts)), np.maximum(ends - starts - length + 1, 0))
-    if not len(text):
-        return tuple(np.zeros(0, np.int64) for _ in range(4)) + (np.zeros(0, np.uint64),) * 2
-    counts = np.maximum(ends - starts - length + 1, 0)
-    window = np.arange(len(text)) - np.repeat(np.cumsum(counts) - counts, counts) + starts[text]
-    at = chosen[window]
-    head = np.ones(len(at), bool)
-    head[1:] = (at[1:] != at[:-1]) | (text[1:] != text[:-1])
-    first = np.flatnonzero(head)
-    last = np.concatenate([first[1:], [len(at)]]) - 1
-    lo, hi, pos, own = window[first], window[last], at[first], text[first]
-    context = _mix(((sums[hi + length] - sums[lo]) * inverse[lo]) ^ ((pos - lo).astype(np.uint64) << np.uint64(40)) ^ ((hi - lo).astype(np.uint64) << np.uint64(20)))
-    return own, pos - starts[own], lo - starts[own], hi - starts[own], lead[pos], context
-
-
-def entries(texts: DataFrame, length: int, gram: int) -> DataFrame:
-    """``h1, h2, pos, lo, hi, lead, context`` of the sampled suffixes of ``texts(h1, h2, text)``."""
-    names = ["h1", "h2", "pos", "lo", "hi", "lead", "context"]
+    chosen = (best & np.uint64((1 << _POSITION) - 1)).astype(np.int32)  # for the window at each position
+    valid = np.zeros(len(chosen) + 1, np.int8)  # windows inside one text
+    np.add.at(valid, starts[counts > 0], 1)
+    np.add.at(valid, (starts + counts)[counts > 0], -1)
+    inside = np.cumsum(valid[:-1], dtype=np.int8) > 0
+    head = np.ones(len(chosen), bool)
+    head[1:] = chosen[1:] != chosen[:-1]
+    head[starts[counts > 0]] = True
+    first = np.flatnonzero(head & inside)
+    tail = np.ones(len(chosen), bool)
+    tail[:-1] = head[1:] | ~inside[1:]
+    last = np.flatnonzero(tail & inside)
+    pos, own = chosen[first].astype(np.int64), np.searchsorted(starts, first, side="right") - 1
+    context = _mix(((sums[last + length] - sums[first]) * inverse[first]) ^ ((pos - first).astype(np.uint64) << np.uint64(40)) ^ ((last - first).astype(np.uint64) << np.uint64(20)))
+    return own, pos, first, last, lead[pos], context
+
+
+def order_keys(data: np.ndarray, pos: np.ndarray, gram: int) -> list[np.ndarray]:
+    """The first bytes of suffixes as longs that compare as the bytes do; bytes behind the lead count as zero."""
+    held = np.zeros((len(pos), SORTED), np.uint8)
+    k = min(SORTED, gram)
+    held[:, :k] = data[pos[:, None] + np.arange(k)]
+    longs = held.view(">u8").astype(np.uint64) ^ np.uint64(1 << 63)
+    return [longs[:, i].view(np.int64) if longs.flags.f_contiguous else np.ascontiguousarray(longs[:, i]).view(np.int64) for i in range(SORTED // 8)]
+
+
+def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a column of strings without nulls, and where each row begins and ends in them, without a copy."""
+    wide = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)
+    _, offsets, data = column.buffers()
+    at = np.frombuffer(offsets, np.int64 if wide else np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    return np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8), at
+
+
+def entries(texts: DataFrame, length: int, gram: int, block: int = BLOCK, segment: int = SEGMENT) -> DataFrame:
+    """``h1, h2, pos, lo, hi, s1, s2, s3, lead, context`` of the sampled suffixes of ``texts(h1, h2, text)``."""
+    names = ["h1", "h2", "pos", "lo", "hi", *_KEYS, "lead", "context"]
+
+    def emit(data: np.ndarray, starts: np.ndarray, rows: np.ndarray, shift: int, h1: np.ndarray, h2: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Of the texts between consecutive starts (from data's begin) that stand in these rows; shift: of data in its text."""
+        own, pos, lo, hi, lead, context = sample(data, starts[:-1], starts[1:], length, gram)
+        if len(own):
+            move = shift - starts[own]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h1[rows[own]], h2[rows[own]], pos + move, lo + move, hi + move, *order_keys(data, pos, gram), lead.view(np.int64), context.view(np.int64))], names)
 
     def per_batch(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         h1, h2 = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        texts = batch.column(2).to_pylist()
-        at = 0
-        while at < len(texts):
-            parts, rows, shifts, size = [], [], [], 0
-            while at < len(texts) and (not size or size + len(texts[at]) <= BLOCK):
-                raw = texts[at].encode("utf-8", "surrogatepass") if isinstance(texts[at], str) else texts[at]
-                for shift in range(0, max(1, len(raw) - length + 1), SEGMENT):
-                    part = raw[shift : shift + SEGMENT + length - 1]
-                    if len(part) >= length:
-                        parts.append(part)
-                        rows.append(at)
-                        shifts.append(shift)
-                        size += len(part)
-                    if size > BLOCK and len(parts) > 1 or len(part) >= SEGMENT:
-                        yield from emit(parts, rows, shifts, h1, h2)
-                        parts, rows, shifts, size = [], [], [], 0
-                at += 1
-            yield from emit(parts, rows, shifts, h1, h2)
-
-    def emit(parts: list[bytes], rows: list[int], shifts: list[int], h1: np.ndarray, h2: np.ndarray) -> Iterator[pa.RecordBatch]:
-        if parts:
-            sizes = np.array([len(p) for p in parts])
-            starts = np.cumsum(sizes) - sizes
-            own, pos, lo, hi, lead, context = sample(np.frombuffer(b"".join(parts), np.uint8), starts, starts + sizes, length, gram)
-            row, shift = np.array(rows)[own], np.array(shifts)[own]
-            yield pa.RecordBatch.from_arrays([pa.array(h1[row]), pa.array(h2[row]), pa.array(pos + shift), pa.array(lo + shift), pa.array(hi + shift), pa.array(lead.view(np.int64)), pa.array(context.view(np.int64))], names)
+        data, at = text_bytes(batch.column(2))
+        row = 0
+        while row < batch.num_rows:
+            size = at[row + 1] - at[row]
+            if size > segment + length - 1:
+                for shift in range(0, size - length + 1, segment):
+                    part = data[at[row] + shift : min(at[row] + shift + segment + length - 1, at[row + 1])]
+                    yield from emit(part, np.array([0, len(part)]), np.array([row]), shift, h1, h2)
+                row += 1
+            else:
+                end = max(row + 1, int(np.searchsorted(at, at[row] + block, side="right")) - 1)
+                yield from emit(data[at[row] : at[end]], at[row : end + 1] - at[row], np.arange(row, end), 0, h1, h2)
+                row = end
 
     return arrow_map(texts.select("h1", "h2", "text"), per_batch, ", ".join(f"{n} long" for n in names))
 
 
 class SuffixLevels:
-    """Runs ``(lead, a, z)``, sorted: a leading hash with its first and last occurrence (h1, h2, pos), in levels of geometric size."""
+    """Runs ``(s1, s2, s3, lead, a, z, fresh)`` in suffix order, in levels of geometric size. a, z: the least and greatest hash of an occurrence, different if there are two or more;
+    fresh: there weren't before this run was made."""
+
+    KEY = (*_KEYS, "lead")
 
     def __init__(self, spark: SparkSession, scratch: Scratch) -> None:
         self.spark, self.scratch = spark, scratch
         self.levels: list[DataFrame | None] = []
-
-    def add(self, batch: DataFrame) -> None:
-        """Adds a batch of entries as a run; equal levels merge."""
-        occurrence = F.struct("h1", "h2", "pos")
-        run = self.scratch.table(batch.groupBy("lead").agg(F.min(occurrence).alias("a"), F.max(occurrence).alias("z")).sortWithinPartitions("lead"), "run")
-        level = 0
+        self._paths: dict[int, str] = {}
+        self._matches: list[DataFrame] = []
+
+    def _run(self, suffixes: DataFrame, name: str) -> tuple[DataFrame, str]:
+        """A run of rows with ``KEY, a, z``."""
+        each = suffixes.groupBy(*self.KEY).agg(F.min("a").alias("a"), F.max("z").alias("z"), F.max((F.col("a") != F.col("z")).cast("int")).alias("known"))
+        fresh = ((F.col("a") != F.col("z")) & (F.col("known") == 0)).alias("fresh")
+        run = self.scratch.table(each.select(*self.KEY, "a", "z", fresh).sortWithinPartitions(*self.KEY), name)
+        return run, self.scratch.paths[-1]
+
+    def add(self, batch: DataFrame) -> DataFrame:
+        """Adds a batch of entries; leads that occur twice in it, or in it and in what was there, and weren't known to. May repeat a lead."""
+        place = F.xxhash64("h1", "h2", "pos")
+        run, path = self._run(batch.select(*self.KEY, place.alias("a"), place.alias("z")), "run")
+        level, merging = 0, [run]
         while level < len(self.levels) and self.levels[level] is not None:
-            run, self.levels[level] = self.scratch.table(self._merged([run, self.levels[level]]).sortWithinPartitions("lead"), "merged"), None
+            merging.append(self.levels[level])
             level += 1
+        found = [run.join(other.select(*self.KEY), [*self.KEY], "left_semi").select("lead") for other in self.levels[level + 1 :] if other is not None]
+        used = [self._paths.pop(k) for k in range(level)]
+        if level:
+            union = merging[0]
+            for other in merging[1:]:
+                union = union.unionByName(other)
+            merged, merged_path = self._run(union, "merged")
+            found.append(merged.where("fresh").select("lead"))
+            used.append(path)
+        else:
+            merged, merged_path = run, path
+        found.append(run.where("fresh").select("lead"))
+        matches = found[0]
+        for x in found[1:]:
+            matches = matches.unionByName(x)
+        matches = self.scratch.table(matches, "matches")
+        self._matches.append(matches)
+        self.levels[:level] = [None] * level
         self.levels += [None] * (level + 1 - len(self.levels))
-        self.levels[level] = run
-
-    @staticmethod
-    def _merged(runs: list[DataFrame]) -> DataFrame:
-        out = runs[0]
-        for run in runs[1:]:
-            out = out.unionByName(run)
-        return out.groupBy("lead").agg(F.min("a").alias("a"), F.max("z").alias("z")) if len(runs) > 1 else out
+        self.levels[level], self._paths[level] = merged, merged_path
+        for x in used:  # merged away, and read by nothing any more
+            self.scratch.drop(x)
+        return matches
 
     def repeated(self) -> DataFrame:
-        """Leading hashes with two occurrences or more, from a merge-scan of all levels."""
-        runs = [r for r in self.levels if r is not None]
-        return self._merged(runs).where("a <> z").select("lead") if runs else self.spark.createDataFrame([], "lead long")
-
-    def matches(self, batch: DataFrame) -> DataFrame:
-        """Leading hashes of a batch of entries that existing levels hold, too."""
-        leads = batch.select("lead").distinct()
-        found = [leads.join(r.select("lead"), "lead", "left_semi") for r in self.levels if r is not None]
-        out = found[0] if found else leads.where("false")
-        for x in found[1:]:
+        """Leads with two occurrences or more in all that was added."""
+        out = self._matches[0] if self._matches else self.spark.createDataFrame([], "lead long")
+        for x in self._matches[1:]:
             out = out.unionByName(x)
         return out.distinct()
 
@@ -216,7 +260,7 @@ def compare_streams(contexts: DataFrame, length: int) -> DataFrame:
             for row in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 if held and row[:2] == held[-1][:2]:
                     continue  # brought by an equal row
-                if len(held) >= 2000 and row[0] != held[-1][0]:
+                if len(held) >= 1000 and row[0] != held[-1][0]:
                     yield from flush(held)
                     held = []
                 held.append(row)
@@ -243,8 +287,8 @@ def compare_spread(contexts: DataFrame, scratch: Scratch, length: int, gram: int
     for width in (35, 6, 1):
 
         def cut(batch: pa.RecordBatch, width: int = width) -> Iterator[pa.RecordBatch]:
-            for at in range(0, batch.num_rows, 4000):
-                part = batch.slice(at, 4000)
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
                 raw = part.column(4).to_pylist()
                 base, offset = part.column(2).to_numpy(), part.column(3).to_numpy()
                 size = np.array([len(x) for x in raw])
@@ -278,39 +322,42 @@ def compare_spread(contexts: DataFrame, scratch: Scratch, length: int, gram: int
     return out
 
 
-def remove_repeats(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM, arrivals: int = 2, crowd: int = 200) -> DataFrame:
-    """One row per document: ``doc_id, n_bytes, n_removed, n_spans, kept`` (binary)."""
+def remove_repeats(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM, arrivals: int = 4, crowd: int = 200, block: int = BLOCK, segment: int = SEGMENT) -> DataFrame:
+    """One row per document: ``doc_id, n_bytes, n_removed, n_spans, kept`` (binary). The documents arrive in ``arrivals`` batches, one after the other."""
     spark, scratch = documents.sparkSession, Scratch(documents.sparkSession, "suffix")
     filled = F.coalesce(F.col(text).cast("string"), F.lit(""))
     h1, h2 = hash128(filled)
     docs = documents.select(F.col(doc_id).cast("long").alias("doc_id"), filled.alias("text"), h1.alias("h1"), h2.alias("h2"))
     long_texts = docs.where(F.octet_length("text") >= length)
-    found = scratch.table(entries(long_texts, length, gram).withColumn("batch", F.pmod("h1", F.lit(arrivals)).cast("int")), "entries", ["batch"])
+    found = scratch.table(entries(long_texts, length, gram, block, segment).withColumn("batch", F.pmod("h1", F.lit(arrivals)).cast("int")), "entries", ["batch"])
     family = SuffixLevels(spark, scratch)
     for b in range(arrivals):
         family.add(found.where(F.col("batch") == b))
-    candidates = scratch.table(found.drop("batch").join(family.repeated(), "lead", "left_semi"), "candidates")
+    candidates = scratch.table(found.drop("batch", *_KEYS).join(family.repeated(), "lead", "left_semi"), "candidates")
     occurrence = F.struct("h1", "h2", "pos", "lo", "hi")
     place = F.struct("h1", "h2", "pos")
     contexts = scratch.table(candidates.groupBy("lead", "context").agg(F.min(place).alias("a"), F.max(place).alias("z"), F.min(occurrence).alias("at")).select("lead", "context", (F.col("a") != F.col("z")).alias("whole"), "at"), "contexts")
     crowds = scratch.table(contexts.groupBy("lead").agg(F.count(F.lit(1)).alias("n"), F.max(F.when(F.col("whole"), 0).otherwise(1)).alias("open")).where("n > 1 and open = 1").select("lead", "n"), "crowds")
     wanted = contexts.join(crowds, "lead").select("at.h1", "at.h2", F.struct("lead", "context", "n", (F.col("at.pos") - F.col("at.lo")).alias("shift"), "at.lo", "at.hi").alias("want")).groupBy("h1", "h2").agg(F.collect_list("want").alias("wants"))
-    # One row of each text brings the bytes.
-    bearer = long_texts.groupBy("h1", "h2").agg(F.min("doc_id").alias("bearer"), F.count(F.lit(1)).alias("copies"), F.max(F.octet_length("text")).alias("n"))
-    texts = scratch.table(bearer, "texts")
-    asked = wanted.join(texts.select("h1", "h2", "bearer"), ["h1", "h2"])
+    texts = scratch.table(long_texts.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("copies"), F.max(F.octet_length("text")).alias("n")), "texts")
 
     def cut(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        out: tuple[list, ...] = ([], [], [], [], [])
-        for raw, wants in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            raw = raw.encode("utf-8", "surrogatepass")
-            for w in wants:
-                for column, value in zip(out, (w["lead"], w["context"], w["n"], w["shift"], raw[w["lo"] : w["hi"] + length]), strict=True):
-                    column.append(value)
-        if out[0]:
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.int64()), pa.array(out[4], pa.binary())], ["lead", "context", "n", "shift", "bytes"])
-
-    with_text = long_texts.join(asked, (long_texts.h1 == asked.h1) & (long_texts.h2 == asked.h2) & long_texts.doc_id.eqNullSafe(asked.bearer)).select("text", "wants")
+        data, at = text_bytes(batch.column(0))
+        wants = batch.column(1)
+        first, fields = wants.offsets.to_numpy(), {n: wants.values.field(n).to_numpy() for n in ("lead", "context", "n", "shift", "lo", "hi")}
+        row = np.repeat(np.arange(batch.num_rows), np.diff(first))
+        fields = {n: x[first[0] : first[-1]] for n, x in fields.items()}
+        a, z = at[row] + fields["lo"], at[row] + fields["hi"] + length
+        ends = np.cumsum(z - a)
+        w = 0
+        while w < len(row):
+            e = max(w + 1, int(np.searchsorted(ends, (ends[w - 1] if w else 0) + SLICE, side="right")))
+            raw = pa.array([data[x:y].tobytes() for x, y in zip(a[w:e].tolist(), z[w:e].tolist(), strict=True)], pa.binary())
+            yield pa.RecordBatch.from_arrays([*(pa.array(fields[n][w:e]) for n in ("lead", "context", "n", "shift")), raw], ["lead", "context", "n", "shift", "bytes"])
+            w = e
+
+    # One row of each text brings the bytes; copies fall together before the shuffle.
+    with_text = long_texts.groupBy("h1", "h2").agg(F.first("text").alias("text")).join(wanted, ["h1", "h2"]).select("text", "wants")
     brought = scratch.table(arrow_map(with_text, cut, "lead long, context long, n long, shift long, bytes binary"), "bytes")
     hits = compare_streams(brought.where(F.col("n") <= crowd), length)
     crowded = brought.where(F.col("n") > crowd)
@@ -323,25 +370,27 @@ def remove_repeats(documents: DataFrame, doc_id: str = "doc_id", text: str = "te
     removed = scratch.table(spans.groupBy("h1", "h2").agg(F.collect_set(F.struct("s", "e")).alias("spans")), "removed")
 
     def apply(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        for at in range(0, batch.num_rows, 2000):
-            part = batch.slice(at, 2000)
-            n, gone, count, kept = [], [], [], []
-            for raw, spans in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
-                raw = raw.encode("utf-8", "surrogatepass")
-                pieces, end, runs = [], 0, 0
-                for s, e in sorted((x["s"], x["e"]) for x in spans or ()):
-                    if s > end or not runs:
-                        pieces.append(raw[end:s])
-                        runs, end = runs + 1, e
-                    else:
-                        end = max(end, e)
-                pieces.append(raw[end:])
-                rest = b"".join(pieces)
-                n.append(len(raw))
-                gone.append(len(raw) - len(rest))
-                count.append(runs)
-                kept.append(rest)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(count, pa.int64()), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
+        data, at = text_bytes(batch.column(1))
+        ids, spans = batch.column(0), batch.column(2)
+        out: tuple[list, ...] = ([], [], [], [])
+        since = size = 0
+        for i in range(batch.num_rows):
+            raw = data[at[i] : at[i + 1]]
+            pieces, end, runs = [], 0, 0
+            for s, e in sorted((x["s"], x["e"]) for x in spans[i].as_py() or ()):
+                if s > end or not runs:
+                    pieces.append(raw[end:s].tobytes())
+                    runs, end = runs + 1, e
+                else:
+                    end = max(end, e)
+            pieces.append(raw[end:].tobytes())
+            rest = b"".join(pieces)
+            for column, value in zip(out, (len(raw), len(raw) - len(rest), runs, rest), strict=True):
+                column.append(value)
+            size += len(rest)
+            if size >= SLICE or i == batch.num_rows - 1:
+                yield pa.RecordBatch.from_arrays([ids.slice(since, i + 1 - since), *(pa.array(x, pa.int64()) for x in out[:3]), pa.array(out[3], pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
+                out, since, size = ([], [], [], []), i + 1, 0
 
     final = docs.join(removed, ["h1", "h2"], "left").select("doc_id", "text", "spans")
     return arrow_map(final, apply, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
