@@ -18,9 +18,11 @@ ASCII_SPACE = " \t\n\x0b\x0c\r"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session, one of our own only where it is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session; where it is unset, one of our own on a single host, an error on a cluster."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        if not f"{spark.sparkContext.master}[".startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="skarn-checkpoint-")
         spark.sparkContext.setCheckpointDir(path)
     return path.rstrip("/")
@@ -83,6 +85,17 @@ def without(df: DataFrame, names: Iterable[str]) -> DataFrame:
     return df.drop(*[c for c in df.columns if c.lower() in clash])
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Names like these that no column of ``df`` has, for columns that an operator needs for a while."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """Connected components of undirected ``edges(a long, b long)`` as ``(node, root)``, for linked nodes only.
 

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ASCII_SPACE, Scratch, ascii_lower, hash128, without
+from .common import ASCII_SPACE, Scratch, ascii_lower, hash128, unused, without
 
 
 def line_keys(text: Column) -> Column:
@@ -64,20 +64,21 @@ class LineRuns:
     def filter(self, documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
         """documents with ``n_lines``, ``n_dropped`` and ``kept_text``: without the lines whose key is saturated."""
         frequent = self.finish()
-        source = without(documents, ["n_lines", "n_dropped", "kept_text", "_k1", "_k2", "_dropped"])
+        source = without(documents, ["n_lines", "n_dropped", "kept_text"])
+        one, two, gone, parts, ends = unused(source, "_k1", "_k2", "_dropped", "_lines", "_cuts")
         k1, k2 = hash128(F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.coalesce(F.col(text), F.lit("")))
-        keyed = source.withColumns({"_k1": k1, "_k2": k2})
-        lines = keyed.select("_k1", "_k2", F.posexplode(F.transform(line_keys(F.col(text)), _pair)).alias("pos", "k")).select("_k1", "_k2", "pos", "k.h1", "k.h2")
-        dropped = lines.join(frequent, ["h1", "h2"], "left_semi").groupBy("_k1", "_k2").agg(F.sort_array(F.collect_set("pos")).alias("_dropped"))
-        joined = keyed.join(dropped, ["_k1", "_k2"], "left")
+        keyed = source.withColumns({one: k1, two: k2})
+        lines = keyed.select(one, two, F.posexplode(F.transform(line_keys(F.col(text)), _pair)).alias("pos", "k")).select(F.col(one).alias("k1"), F.col(two).alias("k2"), "pos", "k.h1", "k.h2")
+        dropped = lines.join(frequent, ["h1", "h2"], "left_semi").groupBy(F.col("k1").alias(one), F.col("k2").alias(two)).agg(F.sort_array(F.collect_set("pos")).alias(gone))
+        joined = keyed.join(dropped, [one, two], "left")
         split = F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)
         # Kept lines are the slices between neighbouring dropped positions, so the work is linear in the lines of a text.
-        cuts = F.concat(F.array(F.lit(-1)), F.col("_dropped"), F.array(F.col("n_lines").cast("int")))
-        between = lambda j: F.slice(F.col("_lines"), F.element_at(F.col("_cuts"), j) + 2, F.element_at(F.col("_cuts"), j + 1) - F.element_at(F.col("_cuts"), j) - 1)
-        out = joined.withColumn("_lines", split).withColumn("n_lines", F.size("_lines").cast("long")).withColumn("_cuts", cuts)
-        kept = F.array_join(F.flatten(F.transform(F.sequence(F.lit(1), F.size("_dropped") + 1), between)), "\n")
-        out = out.withColumn("kept_text", F.when(F.col("_dropped").isNull(), F.coalesce(F.col(text), F.lit(""))).otherwise(kept))
-        return out.withColumn("n_dropped", F.when(F.col("_dropped").isNull(), F.lit(0)).otherwise(F.size("_dropped")).cast("long")).drop("_k1", "_k2", "_dropped", "_lines", "_cuts")
+        cuts = F.concat(F.array(F.lit(-1)), F.col(gone), F.array(F.col("n_lines").cast("int")))
+        between = lambda j: F.slice(F.col(parts), F.element_at(F.col(ends), j) + 2, F.element_at(F.col(ends), j + 1) - F.element_at(F.col(ends), j) - 1)
+        out = joined.withColumn(parts, split).withColumn("n_lines", F.size(parts).cast("long")).withColumn(ends, cuts)
+        kept = F.array_join(F.flatten(F.transform(F.sequence(F.lit(1), F.size(gone) + 1), between)), "\n")
+        out = out.withColumn("kept_text", F.when(F.col(gone).isNull(), F.coalesce(F.col(text), F.lit(""))).otherwise(kept))
+        return out.withColumn("n_dropped", F.when(F.col(gone).isNull(), F.lit(0)).otherwise(F.size(gone)).cast("long")).drop(one, two, gone, parts, ends)
 
     def _sorted(self, run: DataFrame) -> DataFrame:
         return self.scratch.table(run.sortWithinPartitions("h1", "h2"), "run")
@@ -97,6 +98,8 @@ class LineRuns:
     def _compact(self, runs: list[DataFrame], level: int) -> None:
         merged = self.scratch.table(self._union(runs).groupBy("h1", "h2").agg(F.sum("n").alias("n")).sortWithinPartitions("h1", "h2"), "merged")
         self.saturated.append(merged.where(F.col("n") >= self.min_docs).select("h1", "h2"))
+        if len(self.saturated) > self.fanout:  # these runs compact, too
+            self.saturated = [self._sorted(self._union(self.saturated).distinct())]
         self._place(level, merged.where(F.col("n") < self.min_docs))
 
 

@@ -84,14 +84,19 @@ class Notices:
                 stop = min(len(joined), end + 1 - b + length + errors)
                 known = windows.setdefault(k, [])
                 if known and start <= known[-1][1]:
-                    known[-1][1] = max(known[-1][1], stop)
+                    known[-1] = [min(known[-1][0], start), max(known[-1][1], stop)]
                 else:
                     known.append([start, stop])
         found = []
         for k, spans in windows.items():
             pattern, label, length, _ = self.patterns[k]
-            for start, stop in spans:
-                found += [(m.start(), m.end(), label, 1.0 - sum(m.fuzzy_counts) / length) for m in pattern.finditer(joined, start, stop) if m.end() > m.start()]
+            todo = list(spans)
+            while todo:  # the pattern gives the best match of a range first; others may lie on both sides of it
+                start, stop = todo.pop()
+                m = pattern.search(joined, start, stop)
+                if m and m.end() > m.start():
+                    found.append((m.start(), m.end(), label, 1.0 - sum(m.fuzzy_counts) / length))
+                    todo += [(start, m.start()), (m.end(), stop)]
         out, counted, upto = [], 0, 0
         for start, end, label, similarity in sorted(found):
             counted += joined.count(" ", upto, start + 1)
