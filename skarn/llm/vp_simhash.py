@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, arrow_map, components
 
-#: Distinct fingerprints a shard should hold, the most shards of a tree, sampled fingerprints for each shard.
-SHARD_ROWS, MAX_DEPTH, SAMPLE_PER_SHARD = 2048, 12, 32
+#: Distinct fingerprints a shard should hold, the depth of the tree that the driver grows (a larger shard grows a tree of its own in its task), sampled fingerprints for each shard.
+SHARD_ROWS, MAX_DEPTH, SAMPLE_PER_SHARD = 2048, 16, 32
 #: Comparisons held in memory at once.
 BLOCK = 1 << 19
 
@@ -139,6 +139,26 @@ def spanning(home: np.ndarray, visitors: np.ndarray, max_bits: int) -> tuple[np.
     return everyone[linked], everyone[root[linked]]
 
 
+def spanning_tree(home: np.ndarray, visitors: np.ndarray, max_bits: int, rows: int = SHARD_ROWS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """``spanning`` of a shard of any size: above ``rows`` it is split by a vantage point in all 64 bits, and a fingerprint within ``max_bits`` of the boundary also visits the other side."""
+    todo = [(home, visitors)]
+    while todo:
+        home, visitors = todo.pop()
+        if len(home) > rows:
+            tries = home[:: max(1, len(home) // 8)][:8]
+            some = home[:: max(1, len(home) // 4096)]
+            point = tries[int(np.argmax([np.bitwise_count(some ^ t).astype(np.int64).std() for t in tries]))]
+            own, other = np.bitwise_count(home ^ point).astype(np.int64), np.bitwise_count(visitors ^ point).astype(np.int64)
+            median = int(np.median(own)) - (1 if (own <= np.median(own)).mean() > 0.75 else 0)
+            inner = own <= median
+            if 0 < inner.sum() < len(home):
+                # Pairs across the boundary meet on its inner side, pairs of visitors and a side's own on that side.
+                todo.append((home[inner], np.concatenate([home[~inner & (own <= median + max_bits)], visitors[other <= median + max_bits]])))
+                todo.append((home[~inner], visitors[other > median - max_bits]))
+                continue
+        yield spanning(home, visitors, max_bits)
+
+
 def links(distinct: DataFrame, scratch: Scratch, max_bits: int = 3) -> DataFrame:
     """``(a, b)``: edges between distinct fingerprints ``(fp)`` that span the same components as all links do."""
     n = distinct.count()
@@ -155,8 +175,8 @@ def links(distinct: DataFrame, scratch: Scratch, max_bits: int = 3) -> DataFrame
 
     def search(table: pa.Table) -> pa.Table:
         fps, home = table.column("fp").to_numpy().view(np.uint64), table.column("home").to_numpy(zero_copy_only=False)
-        a, b = spanning(fps[home], fps[~home], max_bits)
-        return pa.table({"a": a.view(np.int64), "b": b.view(np.int64)})
+        found = list(spanning_tree(fps[home], fps[~home], max_bits))
+        return pa.table({k: np.concatenate([x[i] for x in found]).view(np.int64) for i, k in enumerate("ab")})
 
     routed = arrow_map(distinct.select("fp"), route, "shard long, fp long, home boolean")
     return routed.groupBy("shard").applyInArrow(search, "a long, b long")
