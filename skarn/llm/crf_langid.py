@@ -5,8 +5,8 @@ them by gradient ascent on the sequences' conditional likelihood (forward-backwa
 code-switched: spans of the labelled sample in random languages, one after another, so the transitions learn how languages follow each other.
 Inference runs forward-backward over all words of each whole text; a text's language is the label with the largest mean posterior.
 
-The model is fitted on a bounded sample: at most about ``sample_per_label`` spans of ``span_chars`` characters for each label, chosen by hash; at most
-``max_labels`` labels, the most frequent. Prediction reads the text only.
+The model is fitted on a bounded sample: ``sample_per_label`` labelled rows of each label at most, those with the smallest hashes of id and text, and of each the span of ``span_chars`` characters
+at a hashed place; every label is learned. Prediction reads the text only.
 
 Defined cases: null text and text without a letter give ``und`` with score 0; with no labelled rows every text is ``und``; doc_id may be null (such rows
 are predicted, never learned from) or repeated; other columns are carried through, those named like an output are replaced; an empty table
@@ -23,7 +23,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import ship, without
@@ -116,14 +116,13 @@ class Crf:
                 yield i, alpha[offset[k] : offset[k] + n[k]]
 
 
-def fit(spans: list[tuple[str, str]], max_labels: int = 64, sequences: int = 1600, length: int = 40, epochs: int = 14, seed: int = 11) -> Crf:
+def fit(spans: list[tuple[str, str]], sequences: int = 1600, length: int = 40, epochs: int = 14, seed: int = 11) -> Crf:
     """Learns from ``(label, text)`` spans; both counts and steps are fixed, whatever the corpus."""
     by: dict[str, list[list[str]]] = {}
-    counts = Counter(label for label, _ in spans)
     for label, text in spans:
         if words := WORD.findall(text.lower()):
             by.setdefault(label, []).append(words)
-    labels = sorted(sorted(by, key=lambda k: (-counts[k], k))[:max_labels])
+    labels = sorted(by)
     n = len(labels)
     crf = Crf(labels, np.zeros((1 << BITS, n), np.float32), np.zeros((n, n)), np.zeros(n), {}, np.zeros((n, n), np.float32))
     if not labels:
@@ -175,11 +174,15 @@ def fit(spans: list[tuple[str, str]], max_labels: int = 64, sequences: int = 160
             grad_e, grad_t, grad_s = _gradient(e, y[pick], crf.transitions, crf.start)
             per_word = np.zeros((len(used), n))
             np.add.at(per_word, inverse.ravel(), grad_e.reshape(-1, n))
-            grad_w = np.zeros(crf.weights.shape)
-            np.add.at(grad_w, padded[used][real[used] > 0], np.repeat(per_word, real[used].sum(axis=1).astype(int), axis=0))
+            touched, place = np.unique(padded[used][real[used] > 0], return_inverse=True)  # of the weights a step moves these alone
+            grad_w = np.zeros((len(touched), n))
+            np.add.at(grad_w, place.ravel(), np.repeat(per_word, real[used].sum(axis=1).astype(int), axis=0))
+            grad_w -= 1e-3 * crf.weights[touched]
+            g2[0][touched] += grad_w * grad_w
+            crf.weights[touched] += (0.15 * grad_w / np.sqrt(g2[0][touched])).astype(crf.weights.dtype)
             grad_l = np.zeros(crf.lexicon_weights.shape)
             np.add.at(grad_l, known[known >= 0], per_word[known >= 0])
-            for value, grad, total in ((crf.weights, grad_w - 1e-3 * crf.weights, g2[0]), (crf.transitions, grad_t - 1e-3 * crf.transitions, g2[1]), (crf.start, grad_s, g2[2]), (crf.lexicon_weights, grad_l - 1e-3 * crf.lexicon_weights, g2[3])):
+            for value, grad, total in ((crf.transitions, grad_t - 1e-3 * crf.transitions, g2[1]), (crf.start, grad_s, g2[2]), (crf.lexicon_weights, grad_l - 1e-3 * crf.lexicon_weights, g2[3])):
                 total += grad * grad
                 value += (0.15 * grad / np.sqrt(total)).astype(value.dtype)
     return crf
@@ -212,18 +215,16 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def train(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "lang", sample_per_label: int = 500, span_chars: int = 2500, max_labels: int = 64) -> Crf:
+def train(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "lang", sample_per_label: int = 500, span_chars: int = 2500) -> Crf:
     """Fits on a bounded sample of the labelled rows that aren't held out: each label's rows with the smallest hashes, one span of each text."""
     usable = documents.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull() & F.col(text).isNotNull() & ~held_out(F.col(doc_id)))
-    counts = usable.groupBy(F.col(label).cast("string").alias("label")).count().orderBy(F.desc("count"), "label").limit(max_labels).collect()
-    draw = F.xxhash64(F.lit("sample"), F.col(doc_id)).cast("double") / 2.0**64 + 0.5
-    wanted = F.lit(False)
-    for r in counts:
-        wanted = wanted | ((F.col(label).cast("string") == F.lit(r["label"])) & (draw < sample_per_label / r["count"]))
-    begin = F.pmod(F.xxhash64(F.lit("span"), F.col(doc_id)), F.greatest(F.char_length(F.col(text)) - span_chars, F.lit(1)).cast("long")).cast("int")
-    span = F.col(text).substr(begin + 1, F.lit(span_chars))
-    rows = usable.where(wanted).select(F.col(label).cast("string").alias("label"), span.alias("span"), F.col(doc_id).alias("id")).collect() if counts else []
-    return fit([(r["label"], r["span"]) for r in sorted(rows, key=lambda r: (r["id"], r["span"]))], max_labels)
+    label_text, words = F.col(label).cast("string"), F.col(text).cast("string")
+    begin = F.pmod(F.xxhash64(F.lit("span"), F.col(doc_id)), F.greatest(F.char_length(words) - span_chars, F.lit(1)).cast("long")).cast("int")
+    drawn = usable.select(label_text.alias("label"), words.substr(begin + 1, F.lit(span_chars)).alias("span"), F.col(doc_id).cast("string").alias("id"), F.xxhash64(F.lit("sample"), F.col(doc_id), words).alias("draw"))
+    # Each task keeps as many rows of a label as are wanted at most before they meet.
+    rank = F.row_number().over(Window.partitionBy("label").orderBy("draw", "id", "span"))
+    rows = drawn.withColumn("rank", rank).where(F.col("rank") <= sample_per_label).select("label", "span", "id").collect()
+    return fit([(r["label"], r["span"]) for r in sorted(rows, key=lambda r: (r["id"], r["span"]))])
 
 
 def predict(documents: DataFrame, model: Crf, text: str = "text", with_spans: bool = False) -> DataFrame:
