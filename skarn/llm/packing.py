@@ -156,9 +156,12 @@ class Schedule:
         q = self.quanta[queue]
         turn = lambda t: -(-((t + 1) << SCALE) // q) - 1  # noqa: E731  the round that serves token t
         k0, k1 = turn(first), turn(first + n - 1)
-        each = k1 - k0 + 1
+        # A queue of less than a token a round is not served in most rounds; its tokens have a round each.
+        slow = q < 1 << SCALE
+        each = np.where(slow, n, k1 - k0 + 1)
         doc = np.repeat(np.arange(len(queue)), each)
-        k = np.repeat(k0 - np.concatenate(([0], np.cumsum(each)[:-1])), each) + np.arange(len(doc))
+        step = np.arange(len(doc)) - np.repeat(np.cumsum(each) - each, each)
+        k = np.where(slow[doc], -(-((first[doc] + step + 1) << SCALE) // q[doc]) - 1, k0[doc] + step)
         low, position = np.empty(len(doc), np.int64), np.empty(len(doc), np.int64)
         high, step = np.empty(len(doc), np.int64), max(1, (1 << 21) // len(self.totals))
         for at in range(0, len(doc), step):
@@ -186,9 +189,10 @@ class Schedule:
         return doc[of], begin[of] + a - position[of] - first[doc[of]], b - a, w, a - w * self.window
 
 
-def pack(documents: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = 1, weights: Mapping[str, float] | None = None, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+def pack(documents: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int = 1, weights: Mapping[str, float] | None = None, temper: float = 1.0, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """Packs all documents: one row per piece, ``doc_id, source, start, length, ids (little-endian unsigned 32-bit), doc_tokens,
-    sequence_id, offset``. weights: target share by source (default: the corpus' own shares); sources that are not named share what their tokens would get."""
+    sequence_id, offset``. weights: target share by source (default: the corpus' own shares); sources that are not named share what their tokens would get. temper: the default shares
+    are the corpus' to this power, so that below 1 small sources get more of each window than they have of the corpus, until they run dry."""
     spark, scratch = documents.sparkSession, Scratch(documents.sparkSession, "pack")
     docs = scratch.table(tokenised(documents, tokenizer, end_id, doc_id, text, source), "ids")
     sums = scratch.table(docs.groupBy("part", "source").agg(F.sum("n").alias("tokens")), "sums")
@@ -197,7 +201,7 @@ def pack(documents: DataFrame, tokenizer: str, window: int = WINDOW, end_id: int
     large = sorted((r["source"], r["tokens"]) for r in by_source.where(F.col("tokens") * window >= total).collect())  # window rows at most
     names, totals = [s for s, _ in large], [t for _, t in large]
     totals.append(total - sum(totals))
-    shares = [float(t) for t in totals]
+    shares = [float(t) ** temper for t in totals]
     if weights:
         named = sum(weights.values()) or 1.0
         rest = sum(t for s, t in large if s not in weights) + totals[-1]

@@ -22,7 +22,7 @@ def tokenizer_path() -> str:
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
-    return pack(_documents(spark, sf_dir), tokenizer_path()).select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+    return pack(_documents(spark, sf_dir), tokenizer_path(), temper=0.7).select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
 def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
