@@ -1,7 +1,8 @@
 """Personal data by rules and by bootstrapped contextual extraction.
 
 One pass over the whole texts finds the base entities (email, ip, card, phone) and every other token that holds a digit, with the lexical patterns
-around it: the one and two words before, the word after, a key before ``=``, and the token's character shape. Base entities are the seeds. Spark then scores the
+around it: the one and two words before, the word after, a key before ``=`` or ``:``, and the token's character shape; a value of letters only takes part if it has a key. Base entities are
+the seeds, and so are long values of mixed letters and digits whose key says that they are secret. Spark then scores the
 pattern-instance graph a fixed number of rounds: a pattern is as good as the share of confident instances among the distinct instances that it holds, and an
 instance is as good as the noisy-or of its patterns. Tokens too short to identify anybody are fixed negatives. Instances above ``accept``
 are added as ``secret`` (letters and digits) or ``number`` spans; base spans always stay and are never overlapped.
@@ -32,6 +33,12 @@ RUN = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT, SPACE = re.compile(r"[0-9]"), re.compile(r"\s")
 EDGE = "\"'`.,;:!?()[]{}<>"
+#: A key and its sign before a value; keys whose values are secret; a token that may take part.
+KEY = re.compile(r"([^\W\d][\w.-]{0,39})[ \t]{0,3}[=:][ \t]{0,3}[\"'`]?$")
+SECRET_KEYS = {"token", "secret", "password", "passwd", "api_key", "apikey", "access_key", "auth_token", "private_key", "client_secret"}
+MAY = re.compile(r"[0-9=]")
+#: Code points before and behind an observation in which its neighbouring words are looked for; a word that is cut by that is none.
+BEFORE, BEHIND, SEED = 160, 80, 6
 
 
 def luhn(digits: str) -> bool:
@@ -93,11 +100,11 @@ def _shape(value: str) -> str:
 
 def observations(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int, str, list[str]]]:
     """(start, end, kind, instance, patterns): kind is that of a seed, 4 or 5 for a candidate, -1 for a negative."""
-    if not base and not DIGIT.search(text):
+    if not base and not MAY.search(text):
         return []
-    found = [(a, b, k, text[a:b], "") for a, k, b in base]
+    found, leads = [(a, b, k, text[a:b], "") for a, k, b in base], {}
     taken, pos, nxt = sorted((a, b) for a, _, b in base), 0, 0
-    while m := DIGIT.search(text, pos):
+    while m := MAY.search(text, pos):
         i = m.start()
         while nxt < len(taken) and taken[nxt][1] <= i:
             nxt += 1
@@ -120,14 +127,27 @@ def observations(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int,
             start += value.find(inner) if inner else 0
             core = inner
         letters, digits = sum(c.isalpha() for c in core), sum("0" <= c <= "9" for c in core)
-        if not core or not digits:
+        if not core or not digits and not (eq and key and letters):
             continue
-        kind = 4 if letters >= 2 and digits >= 2 and letters + digits >= 10 else 5 if not letters and digits >= 9 else -1
-        found.append((start, start + len(core), kind, core, key if eq else ""))
+        lead = len(key) + 1 if eq else 0
+        if not eq and letters + digits >= 10 and (named := KEY.search(text, max(0, start - 50), start)):
+            key, lead = named.group(1), start - named.start()
+        key = key if lead else ""
+        kind = 4 if letters >= 2 and digits >= 2 and letters + digits >= 10 else 5 if not letters and digits >= 9 else 4 if key and not digits and letters >= 10 else -1
+        if kind == 4 and digits >= 4 and letters + digits >= 20 and key.rpartition(".")[2].lower() in SECRET_KEYS:
+            kind = SEED
+        found.append((start, start + len(core), kind, core, key))
+        leads[start] = lead
     out = []
     for a, b, kind, value, key in found:
-        before = [w for w in map(_word, text[max(0, a - 80 - len(key)) : max(0, a - len(key) - 1 if key else a)].split()[-2:])]
-        after = [_word(w) for w in text[b : b + 40].split()[:2]]
+        end = a - leads.get(a, 0)
+        low, high = max(0, end - BEFORE), min(len(text), b + BEHIND)
+        left, right = text[low:end].split(), text[b:high].split()
+        if left and low and not text[low - 1].isspace() and not text[low].isspace():
+            left[0] = ""
+        if right and high < len(text) and not text[high].isspace() and not text[high - 1].isspace():
+            right[-1] = ""
+        before, after = [_word(w) for w in left[-2:]], [_word(w) for w in right[:2]]
         patterns = ["s " + _shape(value)]
         if before and before[-1]:
             patterns.append("l " + before[-1])
@@ -171,7 +191,7 @@ def scan(documents: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 def confidences(seen: DataFrame, scratch: Scratch, rounds: int = 3, weight: float = 0.5, least_support: int = 2) -> DataFrame:
     """``(instance, confidence)`` of candidates, by iterated scoring of the pattern-instance graph. seen: kind, instance, patterns."""
-    edges = scratch.table(seen.select("instance", F.when(F.col("kind").between(0, 3), 1).when(F.col("kind") == -1, -1).otherwise(0).alias("role"), F.explode("patterns").alias("pattern")).groupBy("pattern", "instance").agg(F.max("role").alias("role")), "edges")
+    edges = scratch.table(seen.select("instance", F.when(F.col("kind").between(0, 3) | (F.col("kind") == SEED), 1).when(F.col("kind") == -1, -1).otherwise(0).alias("role"), F.explode("patterns").alias("pattern")).groupBy("pattern", "instance").agg(F.max("role").alias("role")), "edges")
     scored = edges.select("pattern", "instance", "role", F.when(F.col("role") == 1, 1.0).otherwise(0.0).alias("confidence"))
     result = None
     for k in range(rounds):
@@ -189,6 +209,10 @@ def find_pii(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", a
     docs = scratch.table(scan(documents, doc_id, text), "scan")
     seen = docs.where(F.size("seen") > 0).select("row", F.explode("seen").alias("s")).select("row", "s.*")
     good = confidences(seen, scratch, rounds).where(F.col("confidence") >= accept).select("instance")
+    # A seed that patterns hold is as sure as a candidate can be; one without is a span, too.
+    seeds = seen.where(F.col("kind") == SEED).select("instance").distinct()
+    good = good.unionByName(seeds).distinct()
+    seen = seen.withColumn("kind", F.when(F.col("kind") == SEED, 4).otherwise(F.col("kind")))
     span = lambda start, rank, end: F.struct(F.col(start).alias("start"), F.col(rank).alias("rank"), F.element_at(F.array(*map(F.lit, KINDS)), F.col(rank) + 1).alias("kind"), F.col(end).alias("end"))
     added = seen.where("kind >= 4").join(good, "instance", "left_semi").groupBy("row").agg(F.collect_set(span("start", "kind", "end")).alias("added"))
     base = F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("rank"), F.element_at(F.array(*map(F.lit, KINDS)), s["kind"] + 1).alias("kind"), s["end"].alias("end")))
