@@ -7,8 +7,8 @@ quantiles of all nodes of a level are found together by distributed histograms t
 
 Groups of equal texts that weigh more than ``heavy`` of a shard (at most shards / heavy of them, so they may be listed) are kept out of the
 histograms and placed on the tree one by one: a heavy group goes whole to the side of its point, or to the lighter side if that leaves the other short, and the
-cut moves in the rest so that both sides have their bytes. A group above ``whole`` of a shard can't stay whole under the law of equal bytes: its rows are dealt by the hash of
-their id into fragments of that size, and each fragment stays whole.
+cut moves in the rest so that both sides have their bytes. A group above ``whole`` of a shard can't stay whole under the law of equal bytes: its rows are dealt into fragments of ``fragment`` of a shard at most, and
+each fragment stays whole. Rows are dealt by the hash of a row number of their own, whatever their ids are; of a group with few rows a fragment, by their place among the group's rows.
 
 Defined cases: null text has no bytes and the hash of an empty text; a row's size is its bytes plus ``overhead``; doc_id may be null or repeated; extra columns are carried through, those
 named like an output are replaced; an empty table gives an empty result; with fewer texts than shards some shards are empty.
@@ -60,30 +60,36 @@ def _route(node: Node, column: Column | None = None) -> Column:
     return F.when(F.col(_key(node.dimension)) < F.lit(node.cut), _route(node.left)).otherwise(_route(node.right))
 
 
-def shard(documents: DataFrame, shards: int = 40, doc_id: str = "doc_id", text: str = "text", overhead: int = 16, heavy: float = 1 / 64, whole: float = 0.2, tolerance: float = 1 / 2000, carry: list[str] | None = None) -> DataFrame:
+def shard(documents: DataFrame, shards: int = 40, doc_id: str = "doc_id", text: str = "text", overhead: int = 16, heavy: float = 1 / 64, whole: float = 1.0, fragment: float = 0.05, tolerance: float = 1 / 2000, carry: list[str] | None = None) -> DataFrame:
     """``carry`` columns of documents (all by default) with ``size, shard, slot``: bytes plus overhead, the shard of equal bytes, and the
     row's place in it, gapless from 0. shards: 1024 at most, as the tree is one expression; for more, shard a shard again."""
     spark, scratch = documents.sparkSession, Scratch(documents.sparkSession, "shard")
     if not 1 <= shards <= 1024:
         raise ValueError("shards must be between 1 and 1024")
     columns = [_key(k) for k in range(len(DIMENSIONS))]
-    source = without(documents, ["size", "shard", "slot", "_h1", "_h2", "_deal", *columns])
+    source = without(documents, ["size", "shard", "slot"])
     kept = [c for c in (carry or source.columns) if c in source.columns]
-    filled = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    filled = F.coalesce(F.col("text").cast("string"), F.lit(""))
     h1, h2 = hash128(filled)
-    sized = source.withColumns({"_h1": h1, "_h2": h2, "size": (F.octet_length(filled) + overhead).cast("long"), "_deal": F.xxhash64(F.lit("deal"), F.col(doc_id))})
+    # The caller's columns travel in one, so that they clash with none of ours.
+    rows = source.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), F.col(text).alias("text"))
+    sized = rows.withColumns({"_h1": h1, "_h2": h2, "size": (F.octet_length(filled) + overhead).cast("long"), "_deal": F.xxhash64(F.lit("deal"), F.monotonically_increasing_id())})
     tie = F.shiftrightunsigned(F.col("_h2"), 64 - HASH_BITS)
     keyed = sized.withColumns({_key(k): F.shiftleft(F.floor(F.least(p, F.lit(0.9999999)) * (1 << POINT_BITS)).cast("long"), HASH_BITS) + tie for k, p in enumerate(_points(filled))})
-    rows = scratch.table(keyed.select(*kept, "_h1", "_h2", "_deal", "size", *columns), "points")
+    rows = scratch.table(keyed.select("row", "_h1", "_h2", "_deal", "size", *columns), "points")  # the row numbers hold from here on
     total = rows.agg(F.sum("size")).first()[0] or 0
     target = max(1.0, total / shards)
     by_text = rows.groupBy("_h1", "_h2").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("rows"), *[F.first(c).alias(c) for c in columns])
     groups = [r.asDict() for r in by_text.where(F.col("bytes") >= heavy * target).collect()]  # shards / heavy rows at most
-    items = []
+    items, counted = [], []
     for g in sorted(groups, key=lambda g: (-g["bytes"], g["_h1"])):
-        # Dealing by hash is even enough from a hundred rows a fragment; smaller groups stay whole.
-        fragments = max(1, min(math.ceil(g["bytes"] / (whole * target)), g["rows"] // 100))
-        items += [g | {"bytes": g["bytes"] / fragments, "fragment": i, "fragments": fragments} for i in range(fragments)]
+        fragments = 1 if g["bytes"] <= whole * target else min(math.ceil(g["bytes"] / (fragment * target)), g["rows"])
+        # Dealing by hash is even enough from a hundred rows a fragment.
+        parts = [g["bytes"] / fragments] * fragments
+        if 1 < fragments and g["rows"] < 100 * fragments:
+            counted.append((g["_h1"], g["_h2"]))
+            parts = [g["bytes"] / g["rows"] * (g["rows"] // fragments + (1 <= i <= g["rows"] % fragments)) for i in range(fragments)]
+        items += [g | {"bytes": part, "fragment": i, "fragments": fragments} for i, part in enumerate(parts)]
     root = Node(list(range(shards)), items)
     rest = rows
     if groups:
@@ -106,18 +112,23 @@ def shard(documents: DataFrame, shards: int = 40, doc_id: str = "doc_id", text:
         for a, b, fragment, home in placed:
             homes.setdefault((a, b), {})[fragment] = home
         listed = spark.createDataFrame([(a, b, [x[i] for i in sorted(x)]) for (a, b), x in homes.items()], "_h1 long, _h2 long, _homes array<int>")
+        if counted:  # 100 rows a fragment at most, so few
+            few = F.broadcast(spark.createDataFrame(counted, "_h1 long, _h2 long"))
+            place = F.row_number().over(Window.partitionBy("_h1", "_h2").orderBy("_deal")).cast("long")
+            ranked = scratch.table(rows.join(few, ["_h1", "_h2"], "left_semi").withColumn("_deal", place), "counted")
+            rows = rows.join(few, ["_h1", "_h2"], "left_anti").unionByName(ranked)
         rows = rows.join(F.broadcast(listed), ["_h1", "_h2"], "left")
         chosen = F.when(F.col("_homes").isNotNull(), F.element_at("_homes", (F.pmod(F.col("_deal"), F.size("_homes")) + 1).cast("int"))).otherwise(chosen)
-    stored = scratch.table(rows.select(*kept, "_deal", "size", chosen.cast("int").alias("shard")), "rows")
-    return _slots(stored).select(*kept, "size", "shard", "slot")
+    stored = scratch.table(rows.select("row", F.xxhash64(F.monotonically_increasing_id()).alias("_deal"), "size", chosen.cast("int").alias("shard")), "rows")
+    return _slots(stored).select("row.*", "size", "shard", "slot")
 
 
 def _slots(rows: DataFrame, bucket_rows: int = 100_000) -> DataFrame:
     """Numbers rows within shards: a prefix sum over small hash buckets, then row numbers inside each bucket."""
     buckets = rows.count() // bucket_rows + 8
-    bucketed = rows.withColumn("_bucket", F.pmod(F.xxhash64(F.lit("slot"), F.col("_deal"), F.col("size")), F.lit(buckets)))
+    bucketed = rows.withColumn("_bucket", F.pmod(F.xxhash64(F.lit("slot"), F.col("_deal")), F.lit(buckets)))
     starts = bucketed.groupBy("shard", "_bucket").count().withColumn("_start", F.sum("count").over(Window.partitionBy("shard").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)))
-    numbered = bucketed.withColumn("_row", F.row_number().over(Window.partitionBy("shard", "_bucket").orderBy("_deal", "size")))
+    numbered = bucketed.withColumn("_row", F.row_number().over(Window.partitionBy("shard", "_bucket").orderBy("_deal")))
     joined = numbered.join(starts.select("shard", "_bucket", "_start"), ["shard", "_bucket"])
     return joined.withColumn("slot", (F.coalesce("_start", F.lit(0)) + F.col("_row") - 1).cast("long"))
 
