@@ -2,7 +2,11 @@
 
 A vector's two halves are quantised separately, each with its own k-means codebook, so k centroids a half make k * k cells. A query scores
 the centroids of both halves and walks the pairs in order of their summed score with a heap (each pair's successors are the next centroid
-of one half), until the cells it has met hold enough entries; those entries are reranked by the exact inner product in double precision.
+of one half), down to the summed score below which too few of its nearest are to be expected; the entries of the cells it has met are reranked by the exact inner product in double precision.
+
+How far a query walks follows from the data, not from their number: an entry's score differs from its cell's by what the query makes of the entry's residual, about normally with the residuals' variance, so the cells' counts
+and scores tell how many entries beyond any score to expect in each. The walk ends where the cells that are left hold less than ``1 - recall`` of the expected nearest. Where the vectors have clusters that
+is a few cells, where they have none it is a third or half of all.
 Codebooks are fitted on a bounded sample chosen by hash; every row is indexed.
 
 Entries are grouped by the first half's centroid and dealt into blocks of bounded size, so a group that holds a third of all rows (say copies of a
@@ -15,6 +19,7 @@ takes no part; a query finds every other id, copies too; ties go to the smaller
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -53,16 +58,16 @@ def nearest(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return near, far
 
 
-def walk(first: np.ndarray, second: np.ndarray, held: np.ndarray, enough: int) -> list[tuple[int, int]]:
-    """Pairs of centroids in order of their summed score, until their cells hold ``enough`` entries; empty cells are passed over."""
+def walk(first: np.ndarray, second: np.ndarray, held: np.ndarray, floor: float) -> list[tuple[int, int]]:
+    """Pairs of centroids in order of their summed score, down to ``floor``; empty cells are passed over."""
     a, b = np.argsort(-first, kind="stable"), np.argsort(-second, kind="stable")
-    heap, seen, out, total = [(-(first[a[0]] + second[b[0]]), 0, 0)], {(0, 0)}, [], 0
-    while heap and total < enough:
-        _, i, j = heapq.heappop(heap)
-        n = int(held[a[i], b[j]])
-        if n:
+    heap, seen, out = [(-(first[a[0]] + second[b[0]]), 0, 0)], {(0, 0)}, []
+    while heap:
+        score, i, j = heapq.heappop(heap)
+        if -score < floor:
+            break
+        if held[a[i], b[j]]:
             out.append((int(a[i]), int(b[j])))
-            total += n
         for x, y in ((i + 1, j), (i, j + 1)):
             if x < len(a) and y < len(b) and (x, y) not in seen:
                 seen.add((x, y))
@@ -70,6 +75,34 @@ def walk(first: np.ndarray, second: np.ndarray, held: np.ndarray, enough: int) -
     return out
 
 
+_erfc = np.vectorize(math.erfc, otypes=[float])
+#: The upper tail of the normal distribution, tabled.
+_TAIL_AT = np.linspace(-9.0, 9.0, 3601)
+_TAIL = 0.5 * _erfc(_TAIL_AT / math.sqrt(2.0))
+
+
+def floor_of(first: np.ndarray, second: np.ndarray, held: np.ndarray, spread: float, k: int, recall: float, bins: int = 256) -> float:
+    """The summed score down to which cells hold ``recall`` of the k entries nearest to be expected. spread: the standard deviation of an entry's score about its cell's."""
+    scores = (first[:, None] + second[None, :]).ravel()
+    n, total = held.ravel().astype(np.float64), float(held.sum())
+    low, high = float(scores.min()), float(scores.max())
+    if total <= k or high - low < 1e-12:
+        return low
+    at = np.minimum(((scores - low) * (bins / (high - low))).astype(np.int64), bins - 1)
+    count = np.bincount(at, n, minlength=bins)
+    edge = low + (high - low) / bins * np.arange(bins)
+    centre = edge + (high - low) / bins / 2
+    tail = lambda t: count * np.interp((t - centre) / max(spread, 1e-12), _TAIL_AT, _TAIL, left=1.0, right=0.0)
+    under, over = low - 9 * spread, high + 9 * spread
+    for _ in range(40):  # the score that k entries are expected to exceed
+        middle = (under + over) / 2
+        under, over = (middle, over) if tail(middle).sum() > k else (under, middle)
+    expected = tail(under)
+    missed = np.cumsum(expected)  # by a walk that ends above this bin
+    last = int(np.searchsorted(missed, (1.0 - recall) * expected.sum(), side="right"))
+    return float(edge[min(last, bins - 1)])
+
+
 def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks() if column.num_chunks != 1 else column.chunk(0)
@@ -102,10 +135,9 @@ def usable(vector: Column) -> Column:
     return vector.isNotNull() & finite & F.exists(vector, lambda x: x != 0)
 
 
-def neighbours(vectors: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_id", vector: str = "embedding", share: float = 0.4, least: int = 2000, most: int = 128) -> DataFrame:
+def neighbours(vectors: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_id", vector: str = "embedding", recall: float = 0.97, most: int = 128) -> DataFrame:
     """``query_id, rank, vec_id, score``: for each row that ``queries`` holds of, its k largest inner products among all other rows.
-    share, least: the share of entries, and the number at least, that a query's cells hold together (0.4 keeps recall above 0.9 even where the
-    vectors have no clusters); most: centroids a half, at most."""
+    recall: the share of them that the walk is to find in expectation; most: centroids a half, at most."""
     spark, scratch = vectors.sparkSession, Scratch(vectors.sparkSession, "index")
     v = F.col(vector).cast("array<double>")
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v"), queries.alias("is_query")).where(F.col("vec_id").isNotNull() & usable(F.col("v")))
@@ -120,6 +152,8 @@ def neighbours(vectors: DataFrame, queries: Column, k: int = 20, id_col: str = "
     known = np.array([r["v"] for r in sample])
     books = (kmeans(known[:, :half], size), kmeans(known[:, half:], size) if half < width else np.zeros((1, 0)))
     across = len(books[1])
+    # The sample's residuals, an independent part for each half.
+    rest = [float(nearest(x, c)[1].mean()) / max(1, x.shape[1]) if x.shape[1] else 0.0 for x, c in ((known[:, :half], books[0]), (known[:, half:], books[1]))]
 
     def assign(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         x = _matrix(batch.column(1))
@@ -132,7 +166,6 @@ def neighbours(vectors: DataFrame, queries: Column, k: int = 20, id_col: str = "
     for r in index.groupBy("i", "j").count().collect():  # most * most cells at most
         held[r["i"], r["j"]] = r["count"]
     salts = np.maximum(1, -(-held.sum(axis=1) // BLOCK_ROWS))
-    enough = max(least, int(share * total))
     asked = index.where("is_query")
     parts = max(1, -(-asked.count() // QUERY_ROWS))
 
@@ -142,7 +175,8 @@ def neighbours(vectors: DataFrame, queries: Column, k: int = 20, id_col: str = "
         cells, salt, who, lists = [], [], [], []
         for q in range(len(x)):
             by: dict[int, list[int]] = {}
-            for a, b in walk(first[q], second[q], held, enough):
+            spread = math.sqrt(float((x[q, :half] ** 2).sum()) * rest[0] + float((x[q, half:] ** 2).sum()) * rest[1])
+            for a, b in walk(first[q], second[q], held, floor_of(first[q], second[q], held, spread, k, recall)):
                 by.setdefault(a, []).append(b)
             for a, bs in by.items():
                 for s in range(salts[a]):
