@@ -29,10 +29,14 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 _SHIPPED: set[str] = set()
+#: Bytes of an Arrow batch: Spark's own limit and the one that these operators set in its place, so that a batch of long texts takes little of a worker's memory.
+BATCH_BYTES, DEFAULT_BATCH_BYTES, OUR_BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 1 << 26, 1 << 23
 
 
 def ship(spark: SparkSession) -> None:
-    """Gives this package to the Python workers, once an application, unless PYTHONPATH already does."""
+    """Gives this package to the Python workers, once an application, unless PYTHONPATH already does, and bounds Arrow batches where the session hasn't done so."""
+    if spark.conf.get(BATCH_BYTES, None) in (None, f"{DEFAULT_BATCH_BYTES}b"):
+        spark.conf.set(BATCH_BYTES, f"{OUR_BATCH_BYTES}b")
     root, context = Path(__file__).resolve().parents[2], spark.sparkContext
     if context.applicationId in _SHIPPED or str(root) in os.environ.get("PYTHONPATH", "").split(os.pathsep):
         return
@@ -123,6 +127,11 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     return scratch.table(labels, "labels")
 
 
+def broadcast_if_few(table: DataFrame, rows: int = 1_000_000) -> DataFrame:
+    """A written table of a few longs a row, marked to be broadcast if it has so many rows at most; else joins shuffle."""
+    return F.broadcast(table) if table.count() <= rows else table
+
+
 def arrow_map(df: DataFrame, per_batch: Callable, schema: str) -> DataFrame:
     """mapInArrow with a function of one record batch at a time."""
 

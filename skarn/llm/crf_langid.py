@@ -221,9 +221,12 @@ def train(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", labe
     label_text, words = F.col(label).cast("string"), F.col(text).cast("string")
     begin = F.pmod(F.xxhash64(F.lit("span"), F.col(doc_id)), F.greatest(F.char_length(words) - span_chars, F.lit(1)).cast("long")).cast("int")
     drawn = usable.select(label_text.alias("label"), words.substr(begin + 1, F.lit(span_chars)).alias("span"), F.col(doc_id).cast("string").alias("id"), F.xxhash64(F.lit("sample"), F.col(doc_id), words).alias("draw"))
-    # Each task keeps as many rows of a label as are wanted at most before they meet.
-    rank = F.row_number().over(Window.partitionBy("label").orderBy("draw", "id", "span"))
-    rows = drawn.withColumn("rank", rank).where(F.col("rank") <= sample_per_label).select("label", "span", "id").collect()
+    # First the largest hash of each label's sample, from hashes alone; each task keeps as many as are wanted at most before they meet.
+    rank = lambda *order: F.row_number().over(Window.partitionBy("label").orderBy(*order))
+    largest = drawn.select("label", "draw").withColumn("rank", rank("draw")).where(F.col("rank") <= sample_per_label).groupBy("label").agg(F.max("draw").alias("largest"))
+    largest = drawn.sparkSession.createDataFrame(largest.collect(), "label string, largest long")  # a row for each label
+    chosen = drawn.join(F.broadcast(largest), "label").where(F.col("draw") <= F.col("largest"))
+    rows = chosen.withColumn("rank", rank("draw", "id", "span")).where(F.col("rank") <= sample_per_label).select("label", "span", "id").collect()
     return fit([(r["label"], r["span"]) for r in sorted(rows, key=lambda r: (r["id"], r["span"]))])
 
 
