@@ -21,6 +21,7 @@ from collections.abc import Iterator, Mapping
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,7 +29,7 @@ from .common import Scratch
 
 WINDOW, SCALE = 2048, 16
 #: Words whose ids a Python worker keeps; texts that are encoded together.
-CACHE, ROWS = 1_000_000, 1000
+CACHE, ROWS = 1_000_000, 2500
 #: A word with signs before and after it: the pre-tokenizer parts them.
 _PARTS = re.compile(r"([^\w']*)([^\W\d_]+)([^\w']*)")
 
@@ -69,27 +70,36 @@ class WordIds:
             self.cache.update(zip(part, [packed[a:b] for a, b in zip([0, *ends], ends, strict=False)], strict=True))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        split, folded, others = [], [], []
-        for text in texts:
-            text, kind = text or "", others
+        whole, folded = [], np.zeros(len(texts), bool)
+        special: dict[int, str] = {}
+        for i, text in enumerate(texts):
+            text = text or ""
             if any(token in text for token in self.added):  # the tokenizer finds these before it parts words
-                split.append([text])
-                kind.append(split[-1])
-                continue
+                special[i] = text
+                text = ""
             try:
                 text.encode("latin-1")
-                text, kind = text.lower(), folded
+                text, folded[i] = text.lower(), True
             except UnicodeEncodeError:
                 pass
-            split.append(text.replace("\n", " ").split(" "))
-            kind.append(split[-1])
-        cache = self.cache
+            whole.append(text.replace("\n", " "))
+        # Words become numbers of the batch's distinct words, so that Python sees each word once a batch.
+        split = pc.split_pattern(pa.array(whole, pa.large_string()), " ")
+        coded = split.flatten().dictionary_encode()
+        at, number, words = split.offsets.to_numpy(), coded.indices.to_numpy(), coded.dictionary.to_pylist()
+        cache, plain = self.cache, np.zeros(len(words), bool)
         if len(cache) > CACHE:
             cache.clear()
-        new = lambda words: [w for w in words if w not in cache]  # noqa: E731  a set less the cache's keys would walk the whole cache
-        letters, rest, parted = set(), set(), []
-        for w in new(set().union(*folded)):
-            if w.isalpha():
+        plain[number[np.repeat(folded, np.diff(at))]] = True
+        letters, rest, parted, others = set(), set(), [], set()
+        get = cache.get
+        pieces = [get(w) for w in words]
+        missing = [i for i, x in enumerate(pieces) if x is None]
+        for i in missing:
+            w = words[i]
+            if not plain[i]:
+                others.add(w)
+            elif w.isalpha():
                 letters.add(w)
             elif (m := _PARTS.fullmatch(w)) and (parts := m.groups())[1].isalpha():
                 parted.append((w, parts))
@@ -97,13 +107,25 @@ class WordIds:
                 rest.update((parts[0], parts[2]))
             else:
                 rest.add(w)
+        new = lambda words: [w for w in words if w not in cache]
         self._encode_plain(new(letters))
         self._encode(new(rest))
         for w, (before, word, after) in parted:
             cache[w] = cache[before] + cache[word] + cache[after]
-        self._encode(new(set().union(*others)))
-        get = cache.__getitem__
-        return [b"".join(map(get, words)) for words in split]
+        self._encode(new(others | set(special.values())))
+        for i in missing:
+            pieces[i] = cache[words[i]]
+        width = self.dtype.itemsize
+        n = np.fromiter(map(len, pieces), np.int64, len(pieces)) // width
+        known, begin = np.frombuffer(b"".join(pieces), self.dtype), np.cumsum(n) - n
+        count = n[number]
+        end = np.cumsum(count)
+        ids = known[np.repeat((begin[number] - end + count).astype(np.int32), count) + np.arange(end[-1] if len(end) else 0, dtype=np.int32)]
+        cut = np.concatenate(([0], end))[at].tolist()
+        out = [ids[a:b].tobytes() for a, b in zip(cut, cut[1:], strict=False)]
+        for i, text in special.items():
+            out[i] = cache.pop(text)
+        return out
 
 
 _ENCODERS: dict[str, WordIds] = {}
