@@ -44,16 +44,14 @@ def min_hops(edges: DataFrame, seeds: DataFrame, depth: int = 5) -> DataFrame:
     return reach_hops(edges, seeds, depth).groupBy("target").agg(F.min("hops").alias("hops"))
 
 
-def reachable(edges: DataFrame, seeds: DataFrame, with_seeds: bool = False, most_rounds: int = 200) -> DataFrame:
+def reachable(edges: DataFrame, seeds: DataFrame, with_seeds: bool = False) -> DataFrame:
     """Nodes reached from the seeds, to the fixpoint. Without ``with_seeds`` a seed is reached only if it is entered again."""
     steps = _cut(edges.select("source", "target").distinct())
     start = seeds.select("id").distinct()
     seen = frontier = _cut(start if with_seeds else steps.join(start.withColumnRenamed("id", "source"), "source", "left_semi").select(F.col("target").alias("id")).distinct())
-    for _ in range(most_rounds):
+    while not frontier.isEmpty():
         ahead = steps.join(frontier.withColumnRenamed("id", "source"), "source", "left_semi").select(F.col("target").alias("id")).distinct()
         frontier = _cut(ahead.join(seen, "id", "left_anti"))
-        if frontier.isEmpty():
-            break
         seen = _cut(seen.unionByName(frontier))
     return seen
 
