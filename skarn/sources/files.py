@@ -13,8 +13,12 @@ from ..functions.scalars import clean_text
 from ..functions.text import matches_any
 
 
-def read_files(spark: SparkSession, root: str, glob: str | None = None, most_bytes: int | None = 1_000_000, ignored: list[str] | None = None) -> DataFrame:
-    """(path, length, content): text files below a folder; larger files, hidden folders and ignored globs are skipped, bad UTF-8 is replaced, control characters go."""
+#: The largest file that text search reads.
+SEARCH_BYTES = 1_000_000
+
+
+def read_files(spark: SparkSession, root: str, glob: str | None = None, most_bytes: int | None = None, ignored: list[str] | None = None) -> DataFrame:
+    """(path, length, content): text files below a folder; files above ``most_bytes`` (give ``SEARCH_BYTES`` for text search; a repository walk has no limit), hidden folders and ignored globs are skipped, bad UTF-8 is replaced, control characters go."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if glob:
         reader = reader.option("pathGlobFilter", glob)
