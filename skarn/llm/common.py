@@ -67,6 +67,10 @@ class Scratch:
         (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def release(self) -> None:
+        """Lets Spark delete shuffle files of finished jobs now: it does so when the driver's collector finds them unreachable, which may be long after."""
+        self.spark.sparkContext._jvm.System.gc()
+
     def drop(self, path: str | None = None) -> None:
         """Deletes one table, or all; whatever was derived from it lazily can't be read any more."""
         path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path or self.base)
