@@ -145,11 +145,11 @@ def _(t: Inputs) -> DataFrame:
     return j.both_differences(t("before").where("n > 5"), t("after").where("n > 12"), "entity")
 
 
-@query("j15_longest_prefix", ", pre AS (SELECT DISTINCT split_part(path, '/', 1) AS prefix FROM urls UNION SELECT DISTINCT concat(split_part(path, '/', 1), '/', split_part(path, '/', 2)) FROM urls WHERE page_id > 50) SELECT page_id, (SELECT prefix FROM pre WHERE urls.path = prefix OR urls.path LIKE concat(prefix, '/%') ORDER BY length(prefix) DESC LIMIT 1) AS prefix FROM urls", "urls")
+@query("j15_longest_prefix", ", pre AS (SELECT DISTINCT split_part(path, '/', 1) AS prefix FROM urls UNION SELECT DISTINCT concat(split_part(path, '/', 1), '/', split_part(path, '/', 2)) FROM urls) SELECT page_id, (SELECT prefix FROM pre WHERE urls.path = prefix OR urls.path LIKE concat(prefix, '/%') ORDER BY length(prefix) DESC LIMIT 1) AS prefix FROM urls", "urls")
 def _(t: Inputs) -> DataFrame:
     urls = t("urls")
     part = F.split("path", "/")
-    prefixes = urls.select(part[0].alias("prefix")).union(urls.where("page_id > 50").select(F.concat(part[0], F.lit("/"), F.coalesce(F.get(part, F.lit(1)), F.lit(""))))).distinct()
+    prefixes = urls.select(part[0].alias("prefix")).union(urls.select(F.concat(part[0], F.lit("/"), F.coalesce(F.get(part, F.lit(1)), F.lit(""))))).distinct()
     return j.longest_prefix(urls, prefixes.where(~F.col("prefix").endswith("/"))).select("page_id", "prefix")
 
 

@@ -80,9 +80,10 @@ def _(t: Inputs) -> DataFrame:
     return j.shared_commits(p.eligible_commits(t("commit_files"))).groupBy("file_a", "file_b").agg(F.count(F.lit(1)).alias("shared"))
 
 
-@query("j14_untested_symbols", "SELECT id FROM symbols WHERE id NOT IN (SELECT tested_symbol_id FROM mapping WHERE tested_file_id < 5)", "symbols", "mapping")
+@query("j14_untested_symbols", "SELECT id FROM symbols WHERE id NOT IN (SELECT tested_symbol_id FROM mapping WHERE test_symbol_id IN (SELECT id FROM symbols WHERE entrypoint_kind = 'TEST'))", "symbols", "mapping")
 def _(t: Inputs) -> DataFrame:
-    tested = t("mapping").where("tested_file_id < 5").select(F.col("tested_symbol_id").alias("id"))
+    tests = t("symbols").where("entrypoint_kind = 'TEST'").select(F.col("id").alias("test_symbol_id"))
+    tested = t("mapping").join(tests, "test_symbol_id", "left_semi").select(F.col("tested_symbol_id").alias("id"))
     return t("symbols").join(tested, "id", "left_anti").select("id")
 
 

@@ -146,11 +146,11 @@ def _(t: Inputs) -> DataFrame:
     return g.sync(nodes, t("links"), nodes.where("id = 'n3'"), nodes.where("id = 'n3'"), fresh)[1]
 
 
-@query("u4_sdk_delta", ", b AS (SELECT DISTINCT event_type AS sdk, concat('f', user_id % 5) AS f FROM events WHERE ts < TIMESTAMP '2024-01-15 00:00:00' AND event_type <> 'click'), a AS (SELECT DISTINCT event_type AS sdk, concat('f', user_id % 5) AS f FROM events WHERE ts >= TIMESTAMP '2024-01-15 00:00:00' AND event_type <> 'view' AND user_id % 5 < 4) SELECT coalesce(x.sdk, y.sdk) AS sdk, CASE WHEN x.sdk IS NULL THEN 'added' WHEN y.sdk IS NULL THEN 'removed' ELSE 'modified' END AS change FROM (SELECT sdk, list_sort(list(f)) AS fs FROM b GROUP BY 1) x FULL JOIN (SELECT sdk, list_sort(list(f)) AS fs FROM a GROUP BY 1) y ON x.sdk = y.sdk WHERE x.sdk IS NULL OR y.sdk IS NULL OR x.fs <> y.fs", "seeds")
+@query("u4_sdk_delta", ", b AS (SELECT DISTINCT event_type AS sdk, concat('f', user_id) AS f FROM events WHERE ts < TIMESTAMP '2024-01-15 00:00:00' AND event_type <> 'click'), a AS (SELECT DISTINCT event_type AS sdk, concat('f', user_id) AS f FROM events WHERE ts >= TIMESTAMP '2024-01-15 00:00:00' AND event_type <> 'view' AND value > 300) SELECT coalesce(x.sdk, y.sdk) AS sdk, CASE WHEN x.sdk IS NULL THEN 'added' WHEN y.sdk IS NULL THEN 'removed' ELSE 'modified' END AS change FROM (SELECT sdk, list_sort(list(f)) AS fs FROM b GROUP BY 1) x FULL JOIN (SELECT sdk, list_sort(list(f)) AS fs FROM a GROUP BY 1) y ON x.sdk = y.sdk WHERE x.sdk IS NULL OR y.sdk IS NULL OR x.fs <> y.fs", "seeds")
 def _(t: Inputs) -> DataFrame:
-    e = t.table("events").select("ts", F.col("event_type").alias("import"), F.concat(F.lit("f"), F.col("user_id") % 5).alias("file_path"), "user_id")
+    e = t.table("events").select("ts", F.col("event_type").alias("import"), F.concat(F.lit("f"), "user_id").alias("file_path"), "value")
     cut = F.expr("TIMESTAMP_NTZ '2024-01-15 00:00:00'")
-    return sv.sdk_delta(e.where((F.col("ts") < cut) & (F.col("import") != "click")), e.where((F.col("ts") >= cut) & (F.col("import") != "view") & (F.col("user_id") % 5 < 4)), ["CLICK", "view", "err", "sign", "purch"])
+    return sv.sdk_delta(e.where((F.col("ts") < cut) & (F.col("import") != "click")), e.where((F.col("ts") >= cut) & (F.col("import") != "view") & (F.col("value") > 300)), ["CLICK", "view", "err", "sign", "purch"])
 
 
 @query("u10_deleted_files", "SELECT id, file_id FROM routes WHERE file_id NOT IN (SELECT id FROM files WHERE service_name IS NULL)", "routes", "files")
