@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -59,9 +60,7 @@ class Index:
     def regex(self, pattern: str, limit: int | None = None, longest_line: int = 1000) -> DataFrame:
         """(doc, line, content): trimmed lines that match; lines of more bytes than ``longest_line`` are skipped, as the feature is defined."""
         docs = self.docs.join(self.candidates(pattern_trigrams(pattern)), "doc", "left_semi")
-        lines = docs.select("doc", F.posexplode(F.split("content", r"\r?\n")).alias("p", "l"))
-        out = lines.where((F.octet_length("l") <= longest_line) & F.col("l").rlike(pattern)).select("doc", (F.col("p") + 1).alias("line"), F.trim("l").alias("content"))
-        return out if limit is None else out.orderBy("doc", "line").limit(limit)
+        return _matching_lines(docs.select("doc", "content"), pattern, limit, longest_line)
 
     def fuzzy(self, term: str, distance: int = 2, limit: int | None = 10) -> DataFrame:
         """(doc, term, distance): terms within an edit distance, nearest first; a transposition is two edits."""
@@ -83,6 +82,41 @@ def _query_tokens(query: str) -> list[str]:
     return [t for t in re.split(r"[^\w]+|_", spaced.lower()) if t]
 
 
+def _matching_lines(docs: DataFrame, pattern: str, limit: int | None, longest_line: int) -> DataFrame:
+    lines = docs.select("doc", F.posexplode(F.split("content", r"\r?\n")).alias("p", "l"))
+    out = lines.where((F.octet_length("l") <= longest_line) & F.col("l").rlike(pattern)).select("doc", (F.col("p") + 1).alias("line"), F.trim("l").alias("content"))
+    return out if limit is None else out.orderBy("doc", "line").limit(limit)
+
+
+def regex_scan(rows: DataFrame, pattern: str, limit: int | None = None, doc: str = "doc_id", content: str = "text", longest_line: int = 1000) -> DataFrame:
+    """:meth:`Index.regex` for one pattern, without an index: a single pass, in which texts without the pattern's trigrams are left out before they are split."""
+    text = F.lower(F.col(content))
+    held = reduce(lambda a, g: a & text.contains(g), sorted(set(pattern_trigrams(pattern))), F.lit(True))
+    return _matching_lines(rows.where(held).select(F.col(doc).alias("doc"), F.coalesce(F.col(content), F.lit("")).alias("content")), pattern, limit, longest_line)
+
+
+def bm25_scan(rows: DataFrame, query: str, limit: int | None = 10, doc: str = "doc_id", content: str = "text") -> DataFrame:
+    """:meth:`Index.bm25` for one query, without an index: one pass for the statistics, one for the scores of texts that hold a term; only a row of statistics is shuffled."""
+    terms = sorted(set(_query_tokens(query)))
+    tokens = rows.select(F.col(doc).alias("doc"), F.col(content).alias("content"), code_tokens(F.coalesce(F.col(content), F.lit(""))).alias("tokens"))
+    counts = [(F.size("tokens") - F.size(F.array_remove("tokens", term))).alias(f"tf{i}") for i, term in enumerate(terms)]
+    stats = tokens.select(F.size("tokens").alias("length"), *counts).agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))])
+    # A token is a piece of the lower-cased text; lower-casing depends on neighbours for a few other letters, so only ASCII terms are looked up in it.
+    lower = F.lower(F.col("content"))
+    held = reduce(lambda a, term: a | lower.contains(term), terms, F.lit(False)) if all(map(str.isascii, terms)) else F.lit(True)
+    scored = tokens.where(held).select("doc", F.size("tokens").alias("length"), *counts).crossJoin(F.broadcast(stats))  # one row
+
+    def part(i: int) -> Column:
+        tf, df = F.col(f"tf{i}").cast("double"), F.col(f"df{i}")
+        idf = F.log(F.lit(1.0) + (F.col("n") - df + 0.5) / (df + 0.5))
+        return F.when(tf > 0, idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("length") / F.col("mean"))))
+
+    found = reduce(lambda a, i: a | (F.col(f"tf{i}") > 0), range(len(terms)), F.lit(False))
+    score = reduce(lambda a, i: a + F.coalesce(part(i), F.lit(0.0)), range(len(terms)), F.lit(0.0))
+    out = scored.where(found).select("doc", score.alias("score")).orderBy(F.desc(F.round("score", 9)), "doc")
+    return out if limit is None else out.limit(limit)
+
+
 def search(index: Index, query: str, limit: int = 10) -> DataFrame:
     """Ranked search with the fuzzy fallback when it finds nothing."""
     ranked = index.bm25(query, limit)

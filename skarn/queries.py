@@ -424,7 +424,7 @@ def _(t: Inputs) -> DataFrame:
 
 @query("x4_regex_lines", ", l AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents), e AS (SELECT doc_id, unnest(ls) AS l, generate_subscripts(ls, 1) AS i FROM l) SELECT doc_id AS doc, i AS line, trim(l) AS content FROM e WHERE strlen(l) <= 1000 AND regexp_matches(l, 'Licensed under (the|CC)')", "seeds")
 def _(t: Inputs) -> DataFrame:
-    return _index(t).regex("Licensed under (the|CC)").select("doc", F.col("line").cast("long").alias("line"), "content")
+    return q.regex_scan(t.table("documents"), "Licensed under (the|CC)").select("doc", F.col("line").cast("long").alias("line"), "content")
 
 
 _TOK = "tok AS (SELECT doc_id AS doc, unnest(regexp_split_to_array(lower(regexp_replace(regexp_replace(text, '([\\p{Ll}])([\\p{Lu}])', '\\1 \\2', 'g'), '([\\p{Lu}])([\\p{Lu}][\\p{Ll}])', '\\1 \\2', 'g')), '[^\\p{L}\\p{N}]+')) AS term FROM documents), tk AS (SELECT * FROM tok WHERE term <> '')"
@@ -432,7 +432,7 @@ _TOK = "tok AS (SELECT doc_id AS doc, unnest(regexp_split_to_array(lower(regexp_
 
 @query("x6_bm25", f", {_TOK}, dl AS (SELECT d.doc_id AS doc, count(term) AS l FROM documents d LEFT JOIN tk ON tk.doc = d.doc_id GROUP BY 1), st AS (SELECT count(*) AS n, avg(l) AS m FROM dl), tf AS (SELECT doc, term, count(*) AS tf FROM tk WHERE term IN ('license', 'apache', 'public') GROUP BY 1, 2), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1), sc AS (SELECT tf.doc, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * l / m))) AS score FROM tf JOIN df USING (term) JOIN dl ON dl.doc = tf.doc, st GROUP BY 1) SELECT doc, round(score, 5) AS score FROM sc ORDER BY round(score, 9) DESC, doc LIMIT 10", "seeds")
 def _(t: Inputs) -> DataFrame:
-    return _index(t).bm25("Apache license public").select("doc", F.round("score", 5).alias("score"))
+    return q.bm25_scan(t.table("documents"), "Apache license public").select("doc", F.round("score", 5).alias("score"))
 
 
 @query("x7_fuzzy", f", {_TOK} SELECT term, levenshtein(term, 'lisence') AS distance, count(DISTINCT doc) AS docs FROM tk WHERE levenshtein(term, 'lisence') <= 2 GROUP BY 1, 2", "seeds")

@@ -69,7 +69,7 @@ def _(t: Inputs) -> DataFrame:
     return t("entries").where("category = 'ARCHITECTURE'").orderBy(F.desc("committed_at"), "tx_id").limit(30).select("tx_id")
 
 
-@query("l20_bridge_chain")
+@query("l20_bridge_chain", "SELECT CAST(conv_id AS VARCHAR) AS file, CAST(turn AS BIGINT) AS seq, ok AS accepted, CAST(coalesce(max(CASE WHEN ok THEN turn % 3 END) OVER (PARTITION BY conv_id ORDER BY turn, d ROWS UNBOUNDED PRECEDING), 0) AS INTEGER) AS privacy_so_far FROM (SELECT conv_id, turn, d, (d = 1 AND dense_rank() OVER (PARTITION BY conv_id ORDER BY turn) - 1 = turn) AS ok FROM (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id, turn) AS d FROM conversations) a) b")
 def _(t: Inputs) -> DataFrame:
     c = t.table("conversations").select(F.col("conv_id").cast("string").alias("file"), F.col("turn").alias("seq"), F.concat_ws("-", "conv_id", "turn").alias("hash"), F.when(F.col("turn") > 0, F.concat_ws("-", "conv_id", F.col("turn") - 1)).alias("parent_hash"), (F.col("turn") % 3).cast("int").alias("privacy"))
     return p.chain_accept(c)
@@ -209,9 +209,10 @@ def _(t: Inputs) -> DataFrame:
     return t.table("documents").select("doc_id", s.content_hash(F.col("text")).alias("hash"))
 
 
-@query("f13_json_arrays", "SELECT event_id, 3 AS n FROM events")
+@query("f13_json_arrays", "SELECT event_id, CASE WHEN event_type = 'error' THEN 0 WHEN value > 100 THEN 3 ELSE 2 END AS n FROM events")
 def _(t: Inputs) -> DataFrame:
-    text = F.concat(F.lit('["'), F.col("event_type"), F.lit('","b","c"]'))
+    last = F.when(F.col("value") > 100, ',"c"]').otherwise("]")
+    text = F.when(F.col("event_type") != "error", F.concat(F.lit('["'), F.col("event_type"), F.lit('","b"'), last)).otherwise("[not json")
     return t.table("events").select("event_id", F.size(s.json_strings(text)).alias("n"))
 
 
@@ -230,9 +231,9 @@ def _(t: Inputs) -> DataFrame:
     return pred.ci_failure_scores(hits, o).select("job_name", F.round("score", 5).alias("score"))
 
 
-@query("c13_search_regex", ", l AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents), e AS (SELECT doc_id, unnest(ls) AS l, generate_subscripts(ls, 1) AS i FROM l) SELECT doc_id AS doc, i AS line FROM e WHERE strlen(l) <= 1000 AND regexp_matches(l, 'pass(word|phrase)=[0-9a-f]{6,}')", "seeds")
+@query("c13_search_regex", ", l AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents), e AS (SELECT doc_id, unnest(ls) AS l, generate_subscripts(ls, 1) AS i FROM l) SELECT doc_id AS doc, i AS line FROM e WHERE strlen(l) <= 1000 AND regexp_matches(l, '[Vv]ersion [0-9]+(\\.[0-9]+)*')", "seeds")
 def _(t: Inputs) -> DataFrame:
-    return _index(t).regex("pass(word|phrase)=[0-9a-f]{6,}").select("doc", F.col("line").cast("long").alias("line"))
+    return _index(t).regex(r"[Vv]ersion [0-9]+(\.[0-9]+)*").select("doc", F.col("line").cast("long").alias("line"))
 
 
 @query("c18_environment_delta", ", b AS (SELECT DISTINCT event_type AS v FROM events WHERE ts < TIMESTAMP '2024-01-02 00:00:00' AND value > 150), a AS (SELECT DISTINCT event_type AS v FROM events WHERE value > 400) SELECT v, 'left_only' AS side FROM b WHERE v NOT IN (SELECT v FROM a) UNION ALL SELECT v, 'right_only' FROM a WHERE v NOT IN (SELECT v FROM b)", "seeds")

@@ -15,7 +15,7 @@ from .plans import ledger as led
 from .plans import prediction as pred
 from .plans import risk as rk
 from .plans import services as sv
-from .queries import Inputs, query
+from .queries import _HOT, Inputs, query
 
 
 @query("l7_forbidden_terms", "SELECT o_orderkey AS tx_id, term FROM orders, (VALUES ('URGENT'), ('low')) t(term) WHERE contains(lower(concat(o_orderpriority, ' ', o_orderstatus)), lower(term))")
@@ -54,9 +54,15 @@ def _(t: Inputs) -> DataFrame:
     return rows.select("file_id", F.size("routes").cast("long").alias("routes"), F.coalesce(F.get("routes", F.lit(0))["path"], F.lit("")).alias("first"))
 
 
-@query("l18_deploy_tiers", "SELECT path, 'CiWorkflow' AS manifest_type, 2 AS risk_tier FROM repo_files WHERE path LIKE '.github/workflows/%' AND path LIKE '%.yaml'", "repo_files")
+@query("l18_deploy_tiers", "SELECT path, 'CiWorkflow' AS manifest_type, CASE WHEN path LIKE '%1_.yaml' THEN 3 ELSE 2 END AS risk_tier FROM repo_files WHERE path LIKE '.github/workflows/%' AND path LIKE '%.yaml'", "repo_files")
 def _(t: Inputs) -> DataFrame:
-    return p.deploy_tiers(sv.deploy_manifests(t("repo_files")).withColumn("coupled", F.lit(False)))
+    return p.deploy_tiers(sv.deploy_manifests(t("repo_files")).withColumn("coupled", F.col("path").like("%1_.yaml")))
+
+
+@query("l18_mixed_tiers", ", m AS (SELECT replace(path, '.py', '.tf') AS path, CASE WHEN path LIKE '%.py' THEN 'Terraform' ELSE 'CiWorkflow' END AS manifest_type FROM repo_files WHERE path LIKE 'tools/%.py' OR (path LIKE '.github/workflows/%' AND path LIKE '%.yaml')) SELECT path, manifest_type, CASE WHEN (SELECT count(DISTINCT manifest_type) FROM m) > 1 THEN 3 ELSE 2 END AS risk_tier FROM m", "repo_files")
+def _(t: Inputs) -> DataFrame:
+    path = F.when(F.col("path").startswith("tools/"), F.replace("path", F.lit(".py"), F.lit(".tf"))).otherwise(F.col("path"))
+    return p.deploy_tiers(sv.deploy_manifests(t("repo_files").select(path.alias("path"))).withColumn("coupled", F.lit(False)))
 
 
 @query("l19_first_rows", "SELECT entity, tx_id FROM (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY committed_at, tx_id) AS r FROM entries) z WHERE r = 1", "entries")
@@ -90,7 +96,7 @@ def _(t: Inputs) -> DataFrame:
     return j.with_fallback(t("files").select(F.col("file_path").alias("file")), top(t("symbols").where("is_public")), top(t("symbols")), "file", "complexity")
 
 
-@query("j8_hotspots_with_centrality")
+@query("j8_hotspots_with_centrality", _HOT + ", cen AS (SELECT file_path AS file, max(file_id) AS reachable, max(cyclomatic_complexity) / 100.0 AS pr FROM symbols GROUP BY 1) SELECT sc.file, round(ln(1 + 1000 * score) + CASE WHEN cen.file IS NULL THEN 0 ELSE ln(1 + reachable) * 0.1 + pr * 0.3 END, 5)::DOUBLE AS display FROM sc LEFT JOIN cen ON cen.file = sc.file ORDER BY score DESC, sc.file LIMIT 50", "commit_files", "symbols")
 def _(t: Inputs) -> DataFrame:
     central = t("symbols").groupBy(F.col("file_path").alias("file")).agg(F.max("file_id").alias("reachable"), (F.max("cyclomatic_complexity") / 100.0).alias("rank"))
     return h.hotspots(t("commit_files"), t("symbols"), half_life=100, centrality=central).select("file", F.round("display", 5).alias("display"))
