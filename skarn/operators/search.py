@@ -98,13 +98,14 @@ def regex_scan(rows: DataFrame, pattern: str, limit: int | None = None, doc: str
 def bm25_scan(rows: DataFrame, query: str, limit: int | None = 10, doc: str = "doc_id", content: str = "text") -> DataFrame:
     """:meth:`Index.bm25` for one query, without an index: one pass for the statistics, one for the scores of texts that hold a term; only a row of statistics is shuffled."""
     terms = sorted(set(_query_tokens(query)))
-    tokens = rows.select(F.col(doc).alias("doc"), F.col(content).alias("content"), code_tokens(F.coalesce(F.col(content), F.lit(""))).alias("tokens"))
-    counts = [(F.size("tokens") - F.size(F.array_remove("tokens", term))).alias(f"tf{i}") for i, term in enumerate(terms)]
-    stats = tokens.select(F.size("tokens").alias("length"), *counts).agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))])
+    # The generator keeps the optimiser from tokenising anew for each column.
+    count = lambda ts: F.struct(F.size(ts).alias("length"), *[(F.size(ts) - F.size(F.array_remove(ts, term))).alias(f"tf{i}") for i, term in enumerate(terms)])
+    counted = lambda df: df.select(F.col(doc).alias("doc"), F.inline(F.transform(F.array(code_tokens(F.coalesce(F.col(content), F.lit("")))), lambda ts: count(ts))))
+    stats = counted(rows).agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))])
     # A token is a piece of the lower-cased text; lower-casing depends on neighbours for a few other letters, so only ASCII terms are looked up in it.
-    lower = F.lower(F.col("content"))
+    lower = F.lower(F.col(content))
     held = reduce(lambda a, term: a | lower.contains(term), terms, F.lit(False)) if all(map(str.isascii, terms)) else F.lit(True)
-    scored = tokens.where(held).select("doc", F.size("tokens").alias("length"), *counts).crossJoin(F.broadcast(stats))  # one row
+    scored = counted(rows.where(held)).crossJoin(F.broadcast(stats))  # one row
 
     def part(i: int) -> Column:
         tf, df = F.col(f"tf{i}").cast("double"), F.col(f"df{i}")
