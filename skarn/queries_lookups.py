@@ -54,9 +54,9 @@ def _(t: Inputs) -> DataFrame:
     return rows.select("file_id", F.size("routes").cast("long").alias("routes"), F.coalesce(F.get("routes", F.lit(0))["path"], F.lit("")).alias("first"))
 
 
-@query("l18_deploy_tiers", "SELECT path, 'CiWorkflow' AS manifest_type, CASE WHEN path LIKE '%1_.yaml' THEN 3 ELSE 2 END AS risk_tier FROM repo_files WHERE path LIKE '.github/workflows/%' AND path LIKE '%.yaml'", "repo_files")
+@query("l18_deploy_tiers", "SELECT path, 'CiWorkflow' AS manifest_type, CASE WHEN path LIKE '%7_.yaml' THEN 3 ELSE 2 END AS risk_tier FROM repo_files WHERE path LIKE '.github/workflows/%' AND path LIKE '%.yaml'", "repo_files")
 def _(t: Inputs) -> DataFrame:
-    return p.deploy_tiers(sv.deploy_manifests(t("repo_files")).withColumn("coupled", F.col("path").like("%1_.yaml")))
+    return p.deploy_tiers(sv.deploy_manifests(t("repo_files")).withColumn("coupled", F.col("path").like("%7_.yaml")))
 
 
 @query("l18_mixed_tiers", ", m AS (SELECT replace(path, '.py', '.tf') AS path, CASE WHEN path LIKE '%.py' THEN 'Terraform' ELSE 'CiWorkflow' END AS manifest_type FROM repo_files WHERE path LIKE 'tools/%.py' OR (path LIKE '.github/workflows/%' AND path LIKE '%.yaml')) SELECT path, manifest_type, CASE WHEN (SELECT count(DISTINCT manifest_type) FROM m) > 1 THEN 3 ELSE 2 END AS risk_tier FROM m", "repo_files")
