@@ -103,6 +103,12 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .prefix_trie import conversation_trie
+
+    return conversation_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -131,4 +137,17 @@ def oracle_sql() -> dict[str, str]:
             SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(f.k) AS n_dropped,
                    sha256(coalesce(string_agg(l, chr(10) ORDER BY i) FILTER (WHERE f.k IS NULL), '')) AS kept_sha256
             FROM k LEFT JOIN f USING (k) GROUP BY r""",
+        # crc32 as a fold over the id's digits, eight bits each. A path is its turns' hashes, 64 characters a turn.
+        "op11_prefix_trie": """
+            WITH t AS (SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) - 1 AS pos, sha256(sha256(coalesce(role, '')) || coalesce(text, '')) AS x, length(coalesce(text, '')) AS len FROM conversations WHERE conv_id IS NOT NULL),
+            c AS (SELECT c, count(*) AS total, c - c % 100 AS base, CAST(c AS VARCHAR) AS s FROM t GROUP BY c),
+            h AS (SELECT c, total, base, xor(list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(range(1, length(s) + 1), lambda i: [ascii(substr(s, i::INT, 1))::BIGINT, 0, 0, 0, 0, 0, 0, 0]))), lambda a, b: xor(xor(a, b) >> 1, (xor(a, b) & 1) * 3988292384)), 4294967295) % 6 AS h FROM c),
+            m AS (SELECT h.c, h.base, h.h, least(h.h, coalesce(b.total, 0)) AS m, least(h.h, coalesce(b.total, 0)) + greatest(h.total - h.h, 0) AS n FROM h LEFT JOIN h b ON h.base = b.c),
+            r AS (SELECT m.c, t.pos + 1 AS d, t.x, t.len, m.n FROM m JOIN t ON t.c = m.base WHERE t.pos < m.m UNION ALL SELECT m.c, t.pos - m.h + m.m + 1, t.x, t.len, m.n FROM m JOIN t ON t.c = m.c WHERE t.pos >= m.h),
+            p AS (SELECT c, d, string_agg(x, '') OVER (PARTITION BY c ORDER BY d) AS k, len, n FROM r UNION ALL SELECT c, 0, '', 0, n FROM m),
+            q AS (SELECT d, k, min(c) AS c, count(*) AS n_convs, max(len) AS len, coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (WHERE d = n), '') AS ends FROM p GROUP BY d, k),
+            u AS (SELECT q.d, q.k, q.c, q.n_convs, q.len, q.ends, o.c AS parent, (SELECT count(*) FROM q y WHERE y.d = q.d + 1 AND left(y.k, 64 * q.d::INT) = q.k) AS n_children FROM q LEFT JOIN q o ON q.d > 0 AND o.d = q.d - 1 AND o.k = left(q.k, 64 * (q.d::INT - 1)))
+            SELECT any_value(u.c) AS conv_id, u.d AS depth, any_value(u.parent) AS parent_conv_id, any_value(u.n_convs) AS n_convs, any_value(u.n_children) AS n_children,
+                   count(*) FILTER (WHERE v.n_children = 0) AS n_leaves, CAST(sum((v.n_convs - 1) * v.len) AS BIGINT) AS saved_tokens, sha256(any_value(u.ends)) AS ends_sha256
+            FROM u JOIN u v ON starts_with(v.k, u.k) GROUP BY u.d, u.k""",
     }
