@@ -109,6 +109,12 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
 
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .wavelet_search import rank_documents
+
+    return rank_documents(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -124,6 +130,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
 
+_TERMS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
 _KEY = r"translate(trim(l, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
@@ -137,6 +144,15 @@ def oracle_sql() -> dict[str, str]:
             SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(f.k) AS n_dropped,
                    sha256(coalesce(string_agg(l, chr(10) ORDER BY i) FILTER (WHERE f.k IS NULL), '')) AS kept_sha256
             FROM k LEFT JOIN f USING (k) GROUP BY r""",
+        "op12_ranked_search": f"""
+            WITH d AS (SELECT row_number() OVER () AS r, doc_id, unnest({_TERMS}) AS t FROM documents),
+            n AS (SELECT r, any_value(doc_id) AS doc_id, count(*) AS n FROM d GROUP BY r),
+            s AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS total FROM n),
+            f AS (SELECT r, t, count(*) AS tf FROM d GROUP BY r, t),
+            w AS (SELECT t, CAST(floor(1000 * ln((2 * any_value(docs) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM f, s GROUP BY t),
+            b AS (SELECT row_number() OVER () AS q, item_id, unnest(list_distinct({_TERMS})) AS t FROM benchmark),
+            p AS (SELECT q, item_id, n.r, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // total)))) AS BIGINT) AS score FROM b JOIN w USING (t) JOIN f USING (t) JOIN n ON n.r = f.r, s GROUP BY q, item_id, n.r, doc_id)
+            SELECT item_id, CAST(rank AS INT) AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id) AS rank FROM p WHERE score > 0) WHERE rank <= 10""",
         # crc32 as a fold over the id's digits, eight bits each. A path is its turns' hashes, 64 characters a turn.
         "op11_prefix_trie": """
             WITH t AS (SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) - 1 AS pos, sha256(sha256(coalesce(role, '')) || coalesce(text, '')) AS x, length(coalesce(text, '')) AS len FROM conversations WHERE conv_id IS NOT NULL),
