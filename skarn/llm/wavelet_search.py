@@ -22,7 +22,6 @@ gives an empty result; other columns are not read.
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,14 +31,15 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, arrow_map
 
-#: A shard ends at so many postings; shards of a file, so that a reader's batch is bounded; nodes expanded in one step.
-POSTINGS, SHARDS_A_FILE, STEP = 1 << 20, 4, 96
+#: A shard ends at so many postings; documents that are numbered together; shards of a file, so that a reader's batch is bounded; nodes expanded in one step.
+POSTINGS, ROWS, SHARDS_A_FILE, STEP = 1 << 20, 1000, 4, 128
 #: Bytes of queries that are broadcast together.
 QUERY_BYTES = 8 << 20
 
 _TERM = np.zeros(256, bool)
 _TERM[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
-_FOLD = bytes((c + 32 if 0x41 <= c <= 0x5A else c) if _TERM[c] else 32 for c in range(256))
+_LOWER = np.array([c + 32 if 0x41 <= c <= 0x5A else c for c in range(256)], np.uint8)
+_FOLD = np.where(_TERM, _LOWER, 32).astype(np.uint8).tobytes()
 
 
 def terms(text: bytes) -> list[bytes]:
@@ -47,19 +47,25 @@ def terms(text: bytes) -> list[bytes]:
     return text.translate(_FOLD).split()
 
 
+def _inside(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of a column of texts: all bytes, which of them belong to terms, which begin one, and the number of terms up to each text's begin (and the end)."""
+    column = column.cast(pa.large_binary())
+    _, offsets, data = column.buffers()
+    at = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
+    raw = np.frombuffer(data, np.uint8)[at[0] : at[-1]]
+    inside = _TERM[raw]
+    begins = inside.copy()
+    begins[1:] &= ~inside[:-1]
+    first = (at[:-1] - at[0])[at[:-1] < at[1:]]
+    begins[first] = inside[first]
+    return raw, inside, begins, np.concatenate(([0], np.cumsum(begins)))[at - at[0]]
+
+
 def corpus_size(documents: DataFrame, text: str = "text") -> tuple[int, int]:
     """Documents with a term, and terms."""
 
     def per_batch(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        column = batch.column(0).cast(pa.large_binary())
-        _, offsets, data = column.buffers()
-        at = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
-        inside = _TERM[np.frombuffer(data, np.uint8)[at[0] : at[-1]]]
-        begins = inside.copy()
-        begins[1:] &= ~inside[:-1]
-        first = (at[:-1] - at[0])[at[:-1] < at[1:]]
-        begins[first] = inside[first]
-        n = np.diff(np.concatenate(([0], np.cumsum(begins)))[at - at[0]])
+        n = np.diff(_inside(batch.column(0))[3])
         yield pa.RecordBatch.from_arrays([pa.array([int((n > 0).sum())]), pa.array([int(n.sum())])], ["n", "total"])
 
     row = arrow_map(documents.select(F.col(text).cast("string").alias("text")).where("text <> ''"), per_batch, "n long, total long").agg(F.sum("n").alias("n"), F.sum("total").alias("total")).first()
@@ -67,53 +73,61 @@ def corpus_size(documents: DataFrame, text: str = "text") -> tuple[int, int]:
 
 
 class Builder:
-    """Collects documents of a task and gives a shard."""
+    """Collects a task's batches of documents and gives a shard."""
 
     def __init__(self, n: int, total: int) -> None:
         self.n, self.total = n, total
         self.clear()
 
     def clear(self) -> None:
-        self.number: dict[bytes, int] = {}
+        self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # document, term (by batch), impact
+        self.words: list[pa.Array] = []
         self.ids: list[int | None] = []
-        self.term: list[np.ndarray] = []
-        self.impact: list[np.ndarray] = []
         self.postings = 0
 
-    def add(self, doc_id: int | None, text: bytes) -> None:
-        found = terms(text)
-        if not found:
+    def add(self, ids: list[int | None], texts: pa.Array) -> None:
+        raw, inside, begins, upto = _inside(texts)
+        n = np.diff(upto)
+        if not n.sum():
             return
-        m = 10 + 90 * len(found) * self.n // self.total
-        counts = Counter(found)
-        number = self.number
-        self.ids.append(doc_id)
-        self.term.append(np.fromiter((number.setdefault(t, len(number)) for t in counts), np.int32, len(counts)))
-        tf = np.fromiter(counts.values(), np.int64, len(counts))
-        self.impact.append((10**9 * tf // (1000 * tf + 8 * m)).astype(np.int32))
-        self.postings += len(counts)
+        # The terms' bytes stand one after another once the others are gone.
+        starts = np.cumsum(inside)[begins] - 1
+        held = _LOWER[raw[inside]]
+        offsets = np.append(starts, len(held)).astype(np.int64)
+        coded = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(held)]).dictionary_encode()
+        some = np.flatnonzero(n)
+        doc = np.repeat(np.arange(len(some), dtype=np.int64), n[some])
+        pair, tf = np.unique((doc << 32) + coded.indices.to_numpy(), return_counts=True)
+        doc, term = pair >> 32, pair & 0xFFFFFFFF
+        m = 10 + 90 * n[some] * self.n // self.total
+        self.parts.append(((doc + len(self.ids)).astype(np.int32), term.astype(np.int32), (10**9 * tf // (1000 * tf + 8 * m[doc])).astype(np.int32)))
+        self.words.append(coded.dictionary)
+        self.ids += [ids[i] for i in some.tolist()]
+        self.postings += len(pair)
 
     def shard(self) -> dict[str, bytes | int]:
-        """Columns of a shard: documents in order of id, terms in order of bytes, ends of their lists, impacts by list (highest first), and the bits of the documents' numbers, level by level."""
+        """Columns of a shard: documents in order of id, terms, ends of their lists, impacts by list (highest first), and the bits of the documents' numbers, level by level."""
         order = sorted(range(len(self.ids)), key=lambda i: (self.ids[i] is None, self.ids[i] or 0))
         held = [self.ids[i] for i in order]
         some = sum(i is not None for i in held)
-        words = sorted(self.number)
-        place = np.empty(len(words), np.int32)
-        place[[self.number[w] for w in words]] = np.arange(len(words), dtype=np.int32)
-        doc = np.repeat(np.arange(len(order), dtype=np.int32), [len(self.term[i]) for i in order])
-        term, impact = place[np.concatenate([self.term[i] for i in order])], np.concatenate([self.impact[i] for i in order])
+        number = np.empty(len(order), np.int32)
+        number[order] = np.arange(len(order), dtype=np.int32)
+        coded = pa.concat_arrays(self.words).dictionary_encode()  # the batches' terms under one number each
+        same, at = coded.indices.to_numpy(), np.cumsum([0, *map(len, self.words)])
+        doc = number[np.concatenate([d for d, _, _ in self.parts])]
+        term = np.concatenate([same[at[k] + t] for k, (_, t, _) in enumerate(self.parts)])
+        impact = np.concatenate([x for _, _, x in self.parts])
         by = np.argsort((term.astype(np.int64) << 32) + (1_000_000 - impact), kind="stable")
         doc, impact = doc[by], impact[by]
         height = max(1, (len(order) - 1).bit_length())
-        bits, at = [], doc
+        bits, now = [], doc
         for level in range(height):
-            bit = (at >> (height - 1 - level)) & 1
-            bits.append(np.packbits(bit.astype(bool)).tobytes())
-            at = np.concatenate((at[bit == 0], at[bit == 1]))
+            bit = ((now >> (height - 1 - level)) & 1).astype(bool)
+            bits.append(np.packbits(bit).tobytes())
+            now = np.concatenate((now[~bit], now[bit]))
         return {
-            "docs": len(order), "postings": len(doc), "ids": np.array(held[:some], "<i8").tobytes(), "words": b" ".join(words), "ends": np.cumsum(np.bincount(term, minlength=len(words))).astype("<i4").tobytes(),
-            "impacts": impact.astype("<i4").tobytes(), "bits": b"".join(bits),
+            "docs": len(order), "postings": len(doc), "ids": np.array(held[:some], "<i8").tobytes(), "words": b" ".join(coded.dictionary.to_pylist()),
+            "ends": np.cumsum(np.bincount(term, minlength=len(coded.dictionary))).astype("<i4").tobytes(), "impacts": impact.astype("<i4").tobytes(), "bits": b"".join(bits),
         }
 
 
@@ -121,7 +135,7 @@ _SHARD = "docs long, postings long, ids binary, words binary, ends binary, impac
 
 
 def build(documents: DataFrame, path: str, size: tuple[int, int], doc_id: str = "doc_id", text: str = "text", postings: int = POSTINGS) -> DataFrame:
-    """Writes the shards of documents to ``path`` and returns them. A shard has ``postings`` postings, and at most one document beyond."""
+    """Writes the shards of documents to ``path`` and returns them. A shard ends with the batch (of bounded bytes) in which it reaches ``postings`` postings."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         builder = Builder(*size)
@@ -132,15 +146,16 @@ def build(documents: DataFrame, path: str, size: tuple[int, int], doc_id: str =
             return pa.RecordBatch.from_arrays([pa.array([v], pa.int64() if isinstance(v, int) else pa.binary()) for v in shard.values()], list(shard))
 
         for batch in batches:
-            for i, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                builder.add(i, t.as_buffer().to_pybytes())
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
+                builder.add(part.column(0).to_pylist(), part.column(1))
                 if builder.postings >= postings:
                     yield flush()
         if builder.ids:
             yield flush()
 
     rows = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).where("text <> ''")
-    rows.select("doc_id", F.encode("text", "UTF-8").alias("text")).mapInArrow(run, _SHARD).write.option("compression", "zstd").option("maxRecordsPerFile", SHARDS_A_FILE).parquet(path)
+    rows.mapInArrow(run, _SHARD).write.option("compression", "zstd").option("maxRecordsPerFile", SHARDS_A_FILE).parquet(path)
     return documents.sparkSession.read.schema(_SHARD).parquet(path)
 
 
@@ -176,52 +191,57 @@ class Shard:
         return int(self.ids[doc]) if doc < len(self.ids) else None
 
     def best(self, weights: np.ndarray, left: np.ndarray, right: np.ndarray, k: int, top: list[tuple]) -> list[tuple]:
-        """The k best of ``top`` and this shard's documents as ``(-score, no id, id)``, in order."""
-        zeros, impacts, n = self.zeros.ravel(), self.impacts.ravel(), self.n
-
-        def bounds(level: np.ndarray, l: np.ndarray, r: np.ndarray) -> np.ndarray:  # noqa: E741
-            held = l < r
-            first = impacts[np.where(held, level[:, None] * n + l, 0)]
-            return np.where(held, first, 0) @ weights
+        """The k best of ``top`` and this shard's documents as ``(-score, no id, id)``, in order.
 
-        level, prefix = np.zeros(1, np.int64), np.zeros(1, np.int64)
-        l, r = left[None, :], right[None, :]  # noqa: E741
-        bound = bounds(level, l, r)
+        Nodes: level, prefix of the document numbers, bound, and a run of ranges, which are only those of terms that occur below the node."""
+        zeros, impacts, n = self.zeros.ravel(), self.impacts.ravel(), self.n
+        pool = np.array([left, right, weights], np.int64)  # ranges of all nodes so far
+        used = len(left)
+        level, prefix, begin, count = (np.array([x], np.int64) for x in (0, 0, 0, used))
+        bound = np.array([int(impacts[left] @ weights)])
         while len(bound):
             if len(top) == k:  # what can't come before the k-th any more goes
                 least, key = -top[-1][0], top[-1][1:]
-                first = prefix << (self.height - level)
                 keep = bound > least
                 for i in np.flatnonzero(bound == least).tolist():
-                    doc = self.id(int(first[i]))
+                    doc = self.id(int(prefix[i]) << int(self.height - level[i]))
                     keep[i] = (doc is None, doc or 0) < key
                 if not keep.all():
-                    level, prefix, l, r, bound = level[keep], prefix[keep], l[keep], r[keep], bound[keep]  # noqa: E741
+                    level, prefix, begin, count, bound = level[keep], prefix[keep], begin[keep], count[keep], bound[keep]
                     continue
             pick = np.argpartition(bound, len(bound) - STEP)[-STEP:] if len(bound) > STEP else np.arange(len(bound))
-            rest = np.ones(len(bound), bool)
-            rest[pick] = False
-            lv, lp, rp = level[pick], l[pick], r[pick]
-            row = lv[:, None] * (n + 1)
-            lz, rz = zeros[row + lp].astype(np.int64), zeros[row + rp].astype(np.int64)
-            base = self.least[lv][:, None]
-            child_l, child_r = np.concatenate((lz, base + lp - lz)), np.concatenate((rz, base + rp - rz))
-            child_level = np.concatenate((lv, lv)) + 1
-            child_prefix = np.concatenate((prefix[pick] * 2, prefix[pick] * 2 + 1))
-            child = bounds(child_level, child_l, child_r)
-            some, leaf = child > 0, child_level == self.height
-            done = np.flatnonzero(some & leaf)
+            m, runs = len(pick), count[pick]
+            node = np.repeat(np.arange(m), runs)
+            at = np.arange(len(node)) + np.repeat(begin[pick] - np.cumsum(runs) + runs, runs)
+            l, r, w = pool[0, at], pool[1, at], pool[2, at]  # noqa: E741
+            lv = level[pick][node]
+            lz, rz = zeros[lv * (n + 1) + l].astype(np.int64), zeros[lv * (n + 1) + r].astype(np.int64)
+            base = self.least[lv]
+            child_l, child_r = np.concatenate((lz, base + l - lz)), np.concatenate((rz, base + r - rz))
+            held = child_l < child_r
+            child_l, child_r, child_w = child_l[held], child_r[held], np.concatenate((w, w))[held]
+            child = np.concatenate((node, node + m))[held]
+            part = child_w * impacts[(np.concatenate((lv, lv))[held] + 1) * n + child_l]
+            runs = np.bincount(child, minlength=2 * m)
+            some = np.flatnonzero(runs)
+            first = (np.cumsum(runs) - runs)[some]
+            fresh_bound = np.add.reduceat(part, first)
+            fresh_level, fresh_prefix = level[pick][some % m] + 1, prefix[pick][some % m] * 2 + (some >= m)
+            if used + len(child) > pool.shape[1]:
+                pool = np.concatenate((pool, np.empty((3, max(pool.shape[1], len(child))), np.int64)), axis=1)
+            pool[:, used : used + len(child)] = child_l, child_r, child_w
+            leaf = fresh_level == self.height
+            done = np.flatnonzero(leaf)
+            if len(done) > 4 * k:
+                done = done[np.lexsort((fresh_prefix[done], -fresh_bound[done]))][:k]
             if len(done):
-                if len(done) > 4 * k:  # the k best scores, with all that equal the last
-                    least = np.partition(child[done], len(done) - k)[len(done) - k]
-                    done = done[child[done] >= least]
-                    done = done[np.lexsort((child_prefix[done], -child[done]))][:k]
-                fresh = [(-int(child[i]), (doc := self.id(int(child_prefix[i]))) is None, doc or 0) for i in done.tolist()]
-                top = sorted(top + fresh)[:k]
-            go = some & ~leaf
-            level, prefix = np.concatenate((level[rest], child_level[go])), np.concatenate((prefix[rest], child_prefix[go]))
-            l, r = np.concatenate((l[rest], child_l[go])), np.concatenate((r[rest], child_r[go]))  # noqa: E741
-            bound = np.concatenate((bound[rest], child[go]))
+                found = [(-int(fresh_bound[i]), (doc := self.id(int(fresh_prefix[i]))) is None, doc or 0) for i in done.tolist()]
+                top = sorted(top + found)[:k]
+            rest, go = np.ones(len(bound), bool), ~leaf
+            rest[pick] = False
+            level, prefix, bound = np.concatenate((level[rest], fresh_level[go])), np.concatenate((prefix[rest], fresh_prefix[go])), np.concatenate((bound[rest], fresh_bound[go]))
+            begin, count = np.concatenate((begin[rest], used + first[go])), np.concatenate((count[rest], runs[some][go]))
+            used += len(child)
         return top
 
 
