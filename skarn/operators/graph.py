@@ -5,17 +5,15 @@ Loops keep a frontier, cut lineage by checkpoints in the shared folder, and stop
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import shared_folder
+
 
 def _cut(df: DataFrame) -> DataFrame:
-    """Cuts lineage; the folder is the session's, one of our own only where none is set."""
-    spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="skarn-"))
+    """Cuts lineage by a checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

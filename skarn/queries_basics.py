@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame
@@ -20,6 +19,7 @@ from .plans import history as h
 from .plans import prediction as pred
 from .plans import services as sv
 from .queries import NOW, Inputs, _index, now, query
+from .session import shared_folder
 from .streaming import watch as w
 
 
@@ -262,8 +262,7 @@ def _(t: Inputs) -> DataFrame:
 
 def _streamed(t: Inputs, transform, mode: str) -> DataFrame:
     """Runs a streaming query over the events until all are read; the last result, written below the shared folder."""
-    base = t.spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="skarn-stream-")
-    base = f"{base.rstrip('/')}/skarn-stream-{uuid.uuid4().hex}"
+    base = f"{shared_folder(t.spark)}/skarn-stream-{uuid.uuid4().hex}"
     batch = t.table("events")
     # A glob, as a stream reads folders or patterns.
     stream = transform(w.watch(t.spark, f"{t.sf_dir}/event[s].parquet", batch.schema))

@@ -1,7 +1,7 @@
-"""Structured Streaming: watch batches, drift state, incremental sync, coupling alerts, graph deltas.
+"""Structured Streaming: watch batches, event-time debounce, drift state, coupling alerts; the graph's sync and deltas are in ``graph_store``.
 
-File events are a stream ``(ts, path, kind, seq)``. Batches are micro-batches with a processing-time trigger (the debounce); state is kept by a
-streaming aggregate, or by tables that ``foreachBatch`` merges. Watermarks are offered as an extension.
+File events are a stream ``(ts, path, kind, seq)``. Batches are micro-batches with a processing-time trigger, or sessions of event time; state is kept by a
+streaming aggregate, or by tables that ``foreachBatch`` merges.
 """
 
 from __future__ import annotations
@@ -30,6 +30,16 @@ def debounced(events: DataFrame, handle: Callable[[DataFrame, int], None], check
     return writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)
 
 
+def quiet_sessions(events: DataFrame, gap: str = "1 second", lateness: str = "10 minutes", extensions: list[str] | None = None) -> DataFrame:
+    """(path, start, end, kind, events): changes of a path coalesced until it has been quiet for ``gap`` of event time, with its last meaningful kind. Sessions
+    depend on the events' times only, not on their arrival or on a trigger, up to ``lateness``; an event that comes later than that is dropped. Works on batches and streams alike."""
+    rows = events.where(F.regexp_extract("path", r"\.([^./]*)$", 1).isin(extensions)) if extensions else events
+    rows = rows.withWatermark("ts", lateness) if events.isStreaming else rows
+    last = F.max_by("kind", F.struct((F.col("kind") != "Unknown").alias("known"), F.col("ts"), F.col("seq")))
+    found = rows.groupBy(F.session_window("ts", gap), "path").agg(last.alias("kind"), F.count(F.lit(1)).alias("events"))
+    return found.select("path", F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "kind", "events")
+
+
 def persist_batches(path: str) -> Callable[[DataFrame, int], None]:
     """A handler that appends each batch under its number; written again on replay, so a batch is stored once."""
     return lambda batch, epoch: batch.withColumn("batch", F.lit(epoch)).write.mode("overwrite").parquet(f"{path}/batch={epoch}")

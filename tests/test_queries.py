@@ -9,6 +9,7 @@ import pytest
 
 import skarn.queries_basics  # noqa: F401
 import skarn.queries_lookups  # noqa: F401
+import skarn.queries_streams  # noqa: F401
 from skarn.bindings import TABLES
 from skarn.queries import QUERIES, SQL
 
