@@ -34,7 +34,7 @@ def test_stages_take_effect(spark, tmp_path):
 
 def test_every_operator_is_registered():
     names = set(entry.queries())
-    assert {f"op{n}" for n in range(1, 11)} <= {n.split("_")[0] for n in names} and "pipeline" in names
+    assert {f"op{n}" for n in range(1, 14)} <= {n.split("_")[0] for n in names} and "pipeline" in names
     assert set(entry.oracle_sql()) <= names
 
 
@@ -77,3 +77,27 @@ def test_one_row_of_each_component_stays_whatever_the_ids(spark):
     rows = [(1, a, "en", "s"), (1, a, "en", "s"), (2, a, "en", "s"), (2, b, "en", "s"), (None, b + " end", "en", "s"), (None, c, "en", "s"), (None, c, "en", "t")]
     kept = corpus_pipeline.near_copies(spark, frame(spark, rows), "").collect()
     assert sorted((r["doc_id"] or 0, r["text"]) for r in kept) == sorted([(1, a), (2, b), (0, c)])
+
+
+def test_near_copies_of_very_long_texts_link_beside_a_text_that_holds_both(spark, monkeypatch):
+    import random
+
+    import corpus_pipeline
+    from skarn.llm import set_copies
+    from skarn.llm.set_copies import _hash, shingles
+
+    monkeypatch.setattr(set_copies, "REPEATED", 1)  # else the sample, which holds all of so few texts, keeps the longer one out of the others' keys
+    rng, base = random.Random(8), prose(4242, 30_000, 10**9).split()
+    texts = []
+    for k in range(2):
+        words = list(base)
+        for at in rng.sample(range(len(words)), 140):
+            words[at] = f"edit{k}x{at}"
+        texts.append(" ".join(words))
+    a, b = map(_shingles, texts)
+    assert 0.89 < len(a & b) / len(a | b) < 0.92
+    nodes = [_hash(shingles(t)) for t in texts]
+    longer = next(t for s in range(200) if _hash(shingles(t := " ".join(base) + " " + prose(9000 + s, 28_000, 10**9))) < min(nodes))
+    docs = frame(spark, [(1, texts[0], "en", "s"), (2, texts[1], "en", "s"), (3, longer, "en", "s")])
+    stage = dict(corpus_pipeline.STAGES)["near_copies"]
+    assert sorted(r["doc_id"] for r in stage(spark, docs, "").collect()) == [1, 3]
