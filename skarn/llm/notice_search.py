@@ -3,7 +3,7 @@
 A text is normalised to its words (A-Z lower-cased; runs of ASCII letters, digits and non-ASCII characters) joined by single spaces. A phrase is found
 where its words stand consecutively. A notice allows ``errors`` character edits: cut into ``errors`` + 1 pieces, one piece of a true match must
 stand unchanged (pigeonhole), so an Aho-Corasick automaton over all pieces locates candidates in one scan, and the regex library's
-bounded-error matching verifies the candidate's neighbourhood and reports the span and the number of edits.
+bounded-error matching verifies each candidate's own window (the notice's length and its edits) and reports the span and the number of edits, so time is linear in the text.
 
 Defined cases: null text counts as empty (no words, no labels, score 0); every row has its own result, so doc_id may be null or repeated; other columns are
 not read; an empty table gives an empty result.
@@ -11,6 +11,8 @@ not read; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import bisect
+import heapq
 from collections.abc import Iterator, Mapping
 
 import pyarrow as pa
@@ -75,28 +77,32 @@ class Notices:
         return len(tokens), sorted(exact), self._fuzzy(joined.decode("utf-8", "surrogatepass")) if tokens else []
 
     def _fuzzy(self, joined: str) -> list[tuple[int, int, str, float]]:
-        # A window is where the notice would lie if the seed is in place, moved by at most its edits; touching windows of a notice merge.
-        windows: dict[int, list[list[int]]] = {}
+        # A window is where the notice would lie if the seed is in place, moved by at most its edits; seeds of one notice mostly agree on it.
+        windows: set[tuple[int, int, int]] = set()
         for end, places in self.automaton.iter(joined):
             for k, _, b in places:
                 _, _, length, errors = self.patterns[k]
-                start = max(0, end + 1 - b - errors)
-                stop = min(len(joined), end + 1 - b + length + errors)
-                known = windows.setdefault(k, [])
-                if known and start <= known[-1][1]:
-                    known[-1] = [min(known[-1][0], start), max(known[-1][1], stop)]
-                else:
-                    known.append([start, stop])
-        found = []
-        for k, spans in windows.items():
-            pattern, label, length, _ = self.patterns[k]
-            todo = list(spans)
-            while todo:  # the pattern gives the best match of a range first; others may lie on both sides of it
-                start, stop = todo.pop()
-                m = pattern.search(joined, start, stop)
-                if m and m.end() > m.start():
-                    found.append((m.start(), m.end(), label, 1.0 - sum(m.fuzzy_counts) / length))
-                    todo += [(start, m.start()), (m.end(), stop)]
+                windows.add((k, max(0, end + 1 - b - errors), min(len(joined), end + 1 - b + length + errors)))
+        found, taken = [], {k: [] for k in range(len(self.patterns))}
+        heap: list[tuple[int, int, int, int, int, int]] = []
+
+        def look(k: int, start: int, stop: int) -> None:
+            pattern, _, length, errors = self.patterns[k]
+            if stop - start >= length - errors and (m := pattern.search(joined, start, stop)) and m.end() > m.start():
+                heapq.heappush(heap, (sum(m.fuzzy_counts), m.start(), m.end(), k, start, stop))
+
+        for window in windows:
+            look(*window)
+        while heap:  # of matches that overlap the one with the fewest edits counts; what it leaves of the other's window is searched again
+            edits, begin, end, k, start, stop = heapq.heappop(heap)
+            spans, i = taken[k], bisect.bisect(taken[k], (begin, end))
+            clash = next((s for s in spans[max(0, i - 1) : i + 1] if s[0] < end and begin < s[1]), None)
+            if clash:
+                look(k, start, min(stop, clash[0]))
+                look(k, max(start, clash[1]), stop)
+            else:
+                spans.insert(i, (begin, end))
+                found.append((begin, end, self.patterns[k][1], 1.0 - edits / self.patterns[k][2]))
         out, counted, upto = [], 0, 0
         for start, end, label, similarity in sorted(found):
             counted += joined.count(" ", upto, start + 1)

@@ -189,3 +189,16 @@ def test_benchmark_items_equal_brute_force(spark):
     assert len(want) > 40
     bench = spark.createDataFrame(items, "item_id long, text string")
     assert {(r["doc_id"], r["item_id"]) for r in latent_decontam.contaminated(frame(spark, rows), bench).collect()} == want
+
+
+def test_near_notices_take_time_in_proportion_to_the_text():
+    import time
+
+    finder = notice_search.Notices()
+    took = []
+    for k in (500, 4000):
+        start = time.process_time()
+        _, _, fuzzy = finder.search("relesed under the mit licence " * k)
+        took.append(time.process_time() - start)
+        assert len(fuzzy) == k and {f[2] for f in fuzzy} == {"mit"} and {round(f[3], 3) for f in fuzzy} == {0.933}
+    assert took[1] < 30 * took[0]  # 8 times the text
