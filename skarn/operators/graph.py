@@ -12,9 +12,13 @@ from ..session import shared_folder
 
 
 def _cut(df: DataFrame) -> DataFrame:
-    """Cuts lineage by a checkpoint in the shared folder."""
+    """Cuts lineage by a checkpoint in the shared folder; kept until it is written, as Spark would compute it twice."""
     shared_folder(df.sparkSession)
-    return df.checkpoint()
+    kept = df.persist()
+    try:
+        return kept.checkpoint()
+    finally:
+        kept.unpersist()
 
 
 def reach_hops(edges: DataFrame, seeds: DataFrame, depth: int = 5) -> DataFrame:
@@ -101,6 +105,61 @@ def communities(edges: DataFrame, rounds: int = 10) -> DataFrame:
     return labels
 
 
+def _undirected(edges: DataFrame) -> DataFrame:
+    """``id, other, w``: each undirected edge in both directions, once, of weight 1."""
+    once = edges.where("source <> target").select(F.least("source", "target").alias("id"), F.greatest("source", "target").alias("other")).distinct().withColumn("w", F.lit(1.0))
+    return once.unionByName(once.select(F.col("other").alias("id"), F.col("id").alias("other"), "w"))
+
+
+def modularity(edges: DataFrame, labels: DataFrame, resolution: float = 1.0) -> float:
+    """The modularity of ``labels(id, community)`` on the undirected simple graph of the edges; 0 without edges."""
+    ends = _undirected(edges).join(labels.select("id", F.col("community").alias("c")), "id").join(labels.select(F.col("id").alias("other"), F.col("community").alias("d")), "other")
+    parts = ends.groupBy("c").agg(F.sum("w").alias("degree"), F.sum(F.when(F.col("c") == F.col("d"), F.col("w")).otherwise(0.0)).alias("inner"))
+    row = parts.agg(F.sum("degree").alias("total"), F.sum("inner").alias("inner"), F.sum(F.col("degree") * F.col("degree")).alias("squares")).first()
+    return row["inner"] / row["total"] - resolution * row["squares"] / row["total"] ** 2 if row["total"] else 0.0
+
+
+def modularity_communities(edges: DataFrame, resolution: float = 1.0, rounds: int = 12, levels: int = 10) -> DataFrame:
+    """(id, community): communities by modularity, level by level; a community is named by its smallest node.
+
+    On a level, nodes move to the neighbouring community of the largest gain (their own on ties, then the smallest). All nodes are looked at together, but in each round only a
+    random half may move, or neighbours would swap places for ever; a level ends when two rounds in a row move none. Then communities become the nodes of a smaller graph, whose
+    edges are summed, until a level moves nothing. A hub's edges are summed by partial aggregates, by the communities at their other ends."""
+    links = _cut(_undirected(edges))
+    total = links.agg(F.sum("w")).first()[0]
+    labels = _cut(links.select("id").distinct().withColumn("community", F.col("id")))
+    if not total:
+        return labels
+    for level in range(levels):
+        degree = _cut(links.groupBy("id").agg(F.sum("w").alias("k")))
+        place = degree.withColumn("community", F.col("id"))
+        quiet, changed = 0, False
+        for turn in range(rounds):
+            weight = place.groupBy("community").agg(F.sum("k").alias("sum"))
+            there = links.where("id <> other").join(place.select(F.col("id").alias("other"), "community"), "other").groupBy("id", "community").agg(F.sum("w").alias("inner"))
+            here = place.select("id", "community", F.lit(0.0).alias("inner"))
+            options = there.unionByName(here).groupBy("id", "community").agg(F.sum("inner").alias("inner")).join(place.select("id", "k", F.col("community").alias("own")), "id").join(weight, "community")
+            at_home = F.col("community") == F.col("own")
+            gain = F.col("inner") - resolution * F.col("k") * (F.col("sum") - F.when(at_home, F.col("k")).otherwise(0.0)) / total
+            ranked = F.struct((-F.round(gain, 9)).alias("loss"), (~at_home).alias("away"), F.col("community").alias("to"))
+            may = F.pmod(F.xxhash64(F.lit(level), F.lit(turn), "id"), F.lit(2)) == 0
+            best = options.groupBy("id").agg(F.min(ranked).alias("best"), F.first("k").alias("k"), F.first("own").alias("own"))
+            place = _cut(best.select("id", "k", "own", F.when(may, F.col("best.to")).otherwise(F.col("own")).alias("community")))
+            quiet = quiet + 1 if place.where("community <> own").isEmpty() else 0
+            changed |= not quiet
+            place = place.drop("own")
+            if quiet == 2:
+                break
+        if not changed:
+            break
+        moved = place.select(F.col("id").alias("community"), F.col("community").alias("to"))
+        labels = _cut(labels.join(moved, "community").select("id", F.col("to").alias("community")))
+        source, target = place.select("id", F.col("community").alias("a")), place.select(F.col("id").alias("other"), F.col("community").alias("b"))
+        links = _cut(links.join(source, "id").join(target, "other").groupBy(F.col("a").alias("id"), F.col("b").alias("other")).agg(F.sum("w").alias("w")))
+    names = labels.groupBy("community").agg(F.min("id").alias("name"))
+    return labels.join(names, "community").select("id", F.col("name").alias("community"))
+
+
 def neighbourhood(edges: DataFrame, roots: DataFrame, depth: int) -> tuple[DataFrame, DataFrame]:
     """Nodes (id, depth) within ``depth`` steps in either direction, and the edges among them."""
     both = edges.select("source", "target").union(edges.select("target", "source")).distinct()
