@@ -74,12 +74,14 @@ class SearchIndex:
     spark: SparkSession
     path: str
     buckets: int = 32
+    #: Whether vocabularies get neighbourhoods; without, fuzzy lookups compare with all terms.
+    neighbourhoods: bool = True
 
     # Manifest
 
     @classmethod
-    def create(cls, spark: SparkSession, path: str, buckets: int = 32) -> SearchIndex:
-        index = cls(spark, path.rstrip("/"), buckets)
+    def create(cls, spark: SparkSession, path: str, buckets: int = 32, neighbourhoods: bool = True) -> SearchIndex:
+        index = cls(spark, path.rstrip("/"), buckets, neighbourhoods)
         index._publish(0, [], [])
         return index
 
@@ -133,9 +135,10 @@ class SearchIndex:
         blocks = postings.groupBy("field", "term", "block").agg(F.count(F.lit(1)).alias("n"), F.max("tf").alias("most_tf"), F.min("length").alias("least_length"))
         self._write(blocks.select("*", segment, self._bucket("field", "term")), "blocks", number, "field", "term")
         vocabulary = postings.where("field = 'content'").select("term").distinct()
-        near = vocabulary.where(F.char_length("term") <= LONG).select(F.explode(deletions(F.col("term"))).alias("v"), "term").select(F.xxhash64("v").alias("variant"), "term", segment)
+        longest = LONG if self.neighbourhoods else 0
+        near = vocabulary.where(F.char_length("term") <= longest).select(F.explode(deletions(F.col("term"))).alias("v"), "term").select(F.xxhash64("v").alias("variant"), "term", segment)
         self._write(near.select("*", self._bucket("variant")), "near", number, "variant")
-        self._write(vocabulary.where(F.char_length("term") > LONG).select("term", segment), "long", number)
+        self._write(vocabulary.where(F.char_length("term") > longest).select("term", segment), "long", number)
 
     def add(self, rows: DataFrame, doc: str = "doc_id", content: str = "text", path: str | None = None) -> int:
         """Adds or replaces documents; the number of the write."""
@@ -266,12 +269,12 @@ class SearchIndex:
         """``term, distance`` of all content terms of the segments within ``edits`` (2 at most)."""
         if not 0 <= edits <= EDITS:
             raise ValueError(f"at most {EDITS} edits")
-        state, wanted = self._state(), term.lower()
+        state, wanted, longest = self._state(), term.lower(), LONG if self.neighbourhoods else 0
         asked = self.spark.createDataFrame([(wanted,)], "w string").select(F.explode(deletions(F.col("w"), edits)).alias("v")).select(F.xxhash64("v").alias("variant")).distinct()
-        pairs = [(r["variant"], r["bucket"]) for r in asked.select("variant", self._bucket("variant")).collect()] if len(wanted) <= LONG + edits else []
+        pairs = [(r["variant"], r["bucket"]) for r in asked.select("variant", self._bucket("variant")).collect()] if len(wanted) <= longest + edits else []
         near = self._read("near", state[1] if pairs else [], _NEAR).where(F.col("bucket").isin(sorted({b for _, b in pairs})))
         found = near.join(F.broadcast(self.spark.createDataFrame([(v,) for v, _ in pairs], "variant long")), "variant").select("term")
-        if len(wanted) + edits > LONG:
+        if len(wanted) + edits > longest:
             found = found.unionByName(self._read("long", state[1], _LONG).where(F.abs(F.char_length("term") - len(wanted)) <= edits).select("term"))
 
         def measured(batches):

@@ -22,9 +22,9 @@ _BM25 = """tf AS (SELECT field, doc, term, count(*) AS tf FROM tk WHERE term IN
 sc AS (SELECT tf.doc, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * l / m))) AS score FROM tf JOIN df USING (field, term) JOIN dl USING (field, doc) JOIN st USING (field) GROUP BY 1)"""
 
 
-def _built(t: Inputs) -> SearchIndex:
+def _built(t: Inputs, neighbourhoods: bool = False) -> SearchIndex:
     docs = t.table("documents").select("doc_id", "text", "lang", "source", F.expr(_PATH).alias("path"))
-    index = SearchIndex.create(t.spark, f"{shared_folder(t.spark)}/skarn-index-{uuid.uuid4().hex}", buckets=8)
+    index = SearchIndex.create(t.spark, f"{shared_folder(t.spark)}/skarn-index-{uuid.uuid4().hex}", buckets=8, neighbourhoods=neighbourhoods)
     first = F.coalesce(F.col("lang") == "en", F.lit(False))
     index.add(docs.where(first).withColumn("text", F.concat(F.lit("old version "), F.coalesce("text", F.lit("")))), path="path")
     index.add(docs, path="path")
@@ -39,7 +39,7 @@ def _(t: Inputs) -> DataFrame:
 
 @query("x7_index_fuzzy", f"WITH {_LIVE} SELECT term, damerau_levenshtein(term, 'lciense') AS distance, count(DISTINCT doc) AS docs FROM tk WHERE field = 'content' AND damerau_levenshtein(term, 'lciense') <= 2 GROUP BY 1, 2")
 def _(t: Inputs) -> DataFrame:
-    found = _built(t).fuzzy("lciense", None)
+    found = _built(t, True).fuzzy("lciense", None)
     return found.groupBy("term", F.col("distance").cast("long").alias("distance")).agg(F.count_distinct("doc").alias("docs"))
 
 

@@ -44,7 +44,7 @@ def _stored(t: Inputs) -> gs.GraphStore:
     for part in range(4):  # arrivals, one after another
         events.where(F.least(F.floor((F.dayofmonth("ts") - 1) / 8), F.lit(3)) == part).coalesce(1).write.mode("append").parquet(f"{base}/in")
     store = gs.GraphStore.create(t.spark, f"{base}/graph", buckets=8)
-    handle = gs.keep_in_step(store, _indexed, compact_every=2)
+    handle = gs.keep_in_step(store, _indexed, compact_every=3)
     w.watch(t.spark, f"{base}/in", events.schema).writeStream.option("checkpointLocation", f"{base}/state").foreachBatch(handle).trigger(availableNow=True).start().awaitTermination()
     return store
 

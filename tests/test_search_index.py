@@ -122,3 +122,10 @@ def test_a_merge_changes_no_answer(built):
     index.merge()
     assert len(index._state()[1]) == 1 and ranked(index, "alpha license", 20) == before == plain_rank(live, "alpha license", 20)
     assert {r["term"] for r in index.terms_near("license").collect()} <= {t for _, _, text in live for t in tokens(text or "")}
+
+
+def test_without_neighbourhoods_all_terms_are_compared(spark, tmp_path):
+    index = SearchIndex.create(spark, str(tmp_path), 2, neighbourhoods=False)
+    index.add(spark.createDataFrame([(1, "p", "license licnese other"), (2, "p", "a " + "x" * 40)], SCHEMA), path="path")
+    assert sorted(map(tuple, index.terms_near("license").collect())) == [("license", 0), ("licnese", 1)]
+    assert [tuple(r) for r in index.terms_near("b").collect()] == [("a", 1)]
