@@ -190,9 +190,8 @@ class SearchIndex:
         numbers = [r[0] for r in self.spark.createDataFrame([(field, t) for t in terms], "field string, term string").select(self._bucket("field", "term")).distinct().collect()]
         return F.col("bucket").isin(numbers) & (F.col("field") == field) & F.col("term").isin(terms)
 
-    def _scored(self, terms: list[str], state: tuple, blocks: DataFrame | None, keep: DataFrame | None) -> DataFrame:
-        """``doc, score`` of live documents with a term, of the given blocks only."""
-        parts = self._weights(terms, state)
+    def _scored(self, terms: list[str], parts: DataFrame, state: tuple, blocks: DataFrame | None, keep: DataFrame | None) -> DataFrame:
+        """``doc, score`` of live documents with a term, of the given blocks only; parts: of :meth:`_weights`."""
         hits = self._live("postings", _POSTINGS, state, self._of("content", terms) | self._of("path", terms))
         if blocks is not None:
             hits = hits.join(blocks, ["segment", "block"], "left_semi")
@@ -206,7 +205,9 @@ class SearchIndex:
         stats = self._live("docs", _DOCS, state).agg(F.count(F.lit(1)).alias("n"), F.greatest(F.avg("content_length"), F.lit(1e-9)).alias("content"), F.greatest(F.avg("path_length"), F.lit(1e-9)).alias("path"))
         df = self._live("postings", _POSTINGS, state, self._of("content", terms) | self._of("path", terms)).groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"))
         idf = F.log(F.lit(1.0) + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-        return df.crossJoin(F.broadcast(stats)).select("field", "term", idf.alias("idf"), F.when(F.col("field") == "path", F.col("path")).otherwise(F.col("content")).alias("mean"))
+        found = df.crossJoin(F.broadcast(stats)).select("field", "term", idf.alias("idf"), F.when(F.col("field") == "path", F.col("path")).otherwise(F.col("content")).alias("mean"))
+        rows = [tuple(r) for r in found.collect()]  # two rows a term of the query; computed once for all that uses them
+        return self.spark.createDataFrame(rows, "field string, term string, idf double, mean double")
 
     def candidates(self, grams: list[str], state: tuple | None = None) -> DataFrame | None:
         """``doc`` of live documents that hold all trigrams; None where there are none to ask for."""
@@ -225,16 +226,17 @@ class SearchIndex:
         keep = self.candidates([query.lower()[i : i + 3] for i in range(len(query) - 2)], state) if word else None
         best = lambda scored: scored.orderBy(F.desc(F.round("score", 9)), "doc").limit(limit)
         bound = F.col("idf") * _impact(F.col("most_tf").cast("double"), F.col("least_length"), F.col("mean"))
-        summaries = self._read("blocks", state[1], _BLOCKS).where(self._of("content", terms) | self._of("path", terms)).join(F.broadcast(self._weights(terms, state)), ["field", "term"])
+        parts = self._weights(terms, state)
+        summaries = self._read("blocks", state[1], _BLOCKS).where(self._of("content", terms) | self._of("path", terms)).join(F.broadcast(parts), ["field", "term"])
         bounds = summaries.groupBy("segment", "block").agg(F.sum(bound).alias("bound"))
         first = [(r["segment"], r["block"]) for r in bounds.orderBy(F.desc("bound"), "segment", "block").limit(WAVE + 1).collect()]
         if len(first) <= WAVE:
-            return best(self._scored(terms, state, None, keep))
+            return best(self._scored(terms, parts, state, None, keep))
         wave = F.broadcast(self.spark.createDataFrame(first[:WAVE], "segment long, block long"))
-        found = [(r["doc"], r["score"]) for r in best(self._scored(terms, state, wave, keep)).collect()]  # at most ``limit`` rows
+        found = [(r["doc"], r["score"]) for r in best(self._scored(terms, parts, state, wave, keep)).collect()]  # at most ``limit`` rows
         rest = bounds.join(wave, ["segment", "block"], "left_anti")
         rest = rest.where(F.col("bound") >= found[-1][1] - 1e-9) if len(found) == limit else rest
-        more = best(self._scored(terms, state, rest.select("segment", "block"), keep))
+        more = best(self._scored(terms, parts, state, rest.select("segment", "block"), keep))
         return best(self.spark.createDataFrame(found, "doc long, score double").unionByName(more))
 
     def search(self, query: str, limit: int = 10, prefilter: bool = True) -> DataFrame:
