@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import cosine, finite, norm
+from .many_patterns import find_patterns
 
 
 def structural_coupling(edges: DataFrame, symbols: DataFrame, files: DataFrame, changed: DataFrame) -> DataFrame:
@@ -164,11 +165,9 @@ def pattern_join(nodes: DataFrame, edges: DataFrame, source_category: str, relat
     return out.select("source", "target").distinct()
 
 
-def containment(texts: DataFrame, needles: DataFrame, text: str, needle: str) -> DataFrame:
-    """Pairs in which the text holds the needle; a needle list is configuration-sized by nature and checked to be."""
-    if needles.limit(10_001).count() > 10_000:
-        raise ValueError("containment takes at most 10,000 needles; block them")
-    return texts.join(F.broadcast(needles), F.contains(F.col(text), F.col(needle)))
+def containment(texts: DataFrame, needles: DataFrame, text: str, needle: str, key: str = "doc_id") -> DataFrame:
+    """Pairs in which the text holds the needle; any number of either. Null and empty needles are in no text."""
+    return find_patterns(texts, needles, key, text, needle)
 
 
 def import_suffixes(imports: DataFrame, changed: DataFrame) -> DataFrame:

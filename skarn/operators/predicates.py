@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import glob_regex, matches_any
+from .many_patterns import find_patterns
 
 
 def path_filter(path: Column, exact: str | None = None, directory: str | None = None, language: str | None = None) -> Column:
@@ -108,11 +109,10 @@ def validators(rows: DataFrame, category: str) -> DataFrame:
 
 def forbidden_terms(rules: DataFrame, actions: DataFrame) -> DataFrame:
     """Violations (tx_id, term): rules that start with ``NO `` whose term is in the planned action or the entity, in any case."""
-    banned = rules.where(F.upper("rule").startswith("NO ")).select(F.trim(F.expr("substring(rule, 4)")).alias("term"), "glob")
-    if banned.limit(10_001).count() > 10_000:
-        raise ValueError("at most 10,000 rules are broadcast")
-    text = F.lower(F.concat_ws(" ", "action", "entity"))
-    return actions.join(F.broadcast(banned), F.contains(text, F.lower(F.col("term"))) & (F.col("glob").isNull() | F.rlike(F.col("entity"), F.col("glob")))).select("tx_id", "term").distinct()
+    banned = rules.where(F.upper("rule").startswith("NO ")).select(F.trim(F.expr("substring(rule, 4)")).alias("term"), "glob").withColumn("_term", F.lower("term"))
+    text = actions.select("tx_id", "entity", F.lower(F.concat_ws(" ", "action", "entity")).alias("_text"))
+    found = find_patterns(text, banned, "tx_id", "_text", "_term")
+    return found.where(F.col("glob").isNull() | F.rlike("entity", F.col("glob"))).select("tx_id", "term").distinct()
 
 
 def exported_interfaces(snapshots: DataFrame, symbols: DataFrame) -> DataFrame:
