@@ -1,13 +1,14 @@
 """Many patterns in many texts as an equi-join on sampled grams; no limit on either side.
 
 Each text gives, of every few neighbouring grams (runs of characters), the one with the smallest hash. A text that holds a pattern holds all its neighbourhoods,
-so all grams that the pattern gives. A pattern is looked up by the rarest of them; what meets is verified on the whole text, so the result is exact.
+so all grams that the pattern gives; where the pattern must stand between word boundaries, its words serve instead. A pattern is looked up by the rarest of them; what meets is verified on the whole text, so the result is exact.
 A few small patterns are broadcast instead, after a check of their number and size.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -68,6 +69,11 @@ def _sampled(rows: DataFrame, key: Column, value: Column, *how) -> DataFrame:
     return narrow.mapInArrow(_sampler(*how), f"key {narrow.schema['key'].dataType.simpleString()}, gram long")
 
 
+def _words(value: Column) -> Column:
+    """Hashes of the distinct words of a text, in the sense of the boundaries of :func:`_holds`."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(value, F.lit(r"(?U)\w+"), F.lit(0)), lambda w: F.xxhash64(w)))
+
+
 def _holds(text: Column, pattern: Column, words: bool) -> Column:
     if not words:
         return F.contains(text, pattern)
@@ -92,20 +98,25 @@ def find_patterns(texts: DataFrame, patterns: DataFrame, key: str, text: str, pa
         return texts.join(F.broadcast(patterns), _holds(column(text), column(pattern), words))
 
     distinct = patterns.select(column(pattern).alias("p")).distinct()
-    wanted = _cut(_sampled(distinct, F.col("p"), F.col("p"), list(TIERS), True).select(F.col("key").alias("p"), "gram"))
-    lengths = distinct.select(F.char_length("p").alias("n")).select(F.coalesce(*[F.when(F.col("n") >= least, least) for least, _ in TIERS]).alias("least")).distinct()
+    # Between boundaries every word of the pattern is a whole word of the text; a pattern without words goes by grams.
+    named = distinct.select("p", F.explode(_words(F.col("p"))).alias("gram")) if words else None
+    rest = distinct.where(~F.rlike("p", F.lit(r"(?U)\w"))) if words else distinct
+    wanted = _sampled(rest, F.col("p"), F.col("p"), list(TIERS), True).select(F.col("key").alias("p"), "gram")
+    wanted = _cut(wanted if named is None else wanted.unionByName(named))
+    lengths = rest.select(F.char_length("p").alias("n")).select(F.coalesce(*[F.when(F.col("n") >= least, least) for least, _ in TIERS]).alias("least")).distinct()
     used = {r["least"] for r in lengths.collect()}  # at most one row a tier
     tiers = [t for t in TIERS if t[0] in used]
-    grams = wanted.select("gram").distinct()
-    context = texts.sparkSession.sparkContext
-    if grams.limit(most_known + 1).count() <= most_known:
-        import numpy as np
-
-        known = np.sort(np.array([r["gram"] for r in grams.collect()], np.int64))
-        hits = _sampled(texts, column(key), column(text), tiers, False, context.broadcast(known))
-    else:
-        hits = _sampled(texts, column(key), column(text), tiers, False).join(grams, "gram", "left_semi")
-    hits = _cut(hits.select("key", "gram"))
+    grams, hits = wanted.select("gram").distinct(), []
+    if tiers:
+        known = None
+        if grams.limit(most_known + 1).count() <= most_known:
+            import numpy as np
+
+            known = texts.sparkSession.sparkContext.broadcast(np.sort(np.array([r["gram"] for r in grams.collect()], np.int64)))
+        hits.append(_sampled(texts, column(key), column(text), tiers, False, known).select("key", "gram"))
+    if words:
+        hits.append(texts.select(column(key).alias("key"), F.explode(_words(column(text))).alias("gram")))
+    hits = _cut(reduce(DataFrame.unionByName, hits).join(grams, "gram", "left_semi").select("key", "gram"))
     often = hits.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
     # A pattern with a gram that no text has is in none.
     rarest = wanted.join(often, "gram", "left").groupBy("p").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("r")).where("r.n > 0")
