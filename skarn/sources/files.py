@@ -70,6 +70,38 @@ def git_log(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("commit", F.timestamp_seconds("ts").alias("commit_ts"), "is_merge", "file")
 
 
+def _dumps(spark: SparkSession, path: str, parse: Callable[[str, str], Iterable[tuple]], schema: str) -> DataFrame:
+    return parsed(spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("content")), parse, schema)
+
+
+def git_commits(spark: SparkSession, path: str) -> DataFrame:
+    """(repo, commit, commit_ts, parents) of dumps as in :func:`git_log`, one file a repository, named by it."""
+
+    def parse(name: str, text: str) -> Iterator[tuple]:
+        for line in text.splitlines():
+            if line.startswith("@"):
+                commit, stamp, *parents = line[1:].split(" ")
+                yield name, commit, int(stamp), [p for p in parents if p]
+
+    rows = _dumps(spark, path, parse, "repo string, commit string, ts long, parents array<string>")
+    return rows.select("repo", "commit", F.timestamp_seconds("ts").alias("commit_ts"), "parents")
+
+
+def git_changes(spark: SparkSession, path: str) -> DataFrame:
+    """(repo, commit, file, old_file) of the same dumps; a rename or copy has an old file."""
+
+    def parse(name: str, text: str) -> Iterator[tuple]:
+        commit = None
+        for line in text.splitlines():
+            if line.startswith("@"):
+                commit = line[1:].split(" ")[0]
+            elif "\t" in line and commit:
+                _, *paths = line.split("\t")
+                yield name, commit, paths[-1], paths[0] if len(paths) > 1 else None
+
+    return _dumps(spark, path, parse, "repo string, commit string, file string, old_file string")
+
+
 def lcov(files: DataFrame) -> DataFrame:
     """(test_file, file_path, confidence): covered source files of lcov traces, at each end of record."""
 

@@ -14,6 +14,7 @@ import skarn.queries_patterns  # noqa: F401
 import skarn.queries_search  # noqa: F401
 import skarn.queries_streams  # noqa: F401
 import skarn.queries_vectors  # noqa: F401
+import skarn.queries_walks  # noqa: F401
 from skarn.bindings import TABLES
 from skarn.queries import QUERIES, SQL
 
