@@ -8,6 +8,7 @@ import os
 import pytest
 
 import skarn.queries_basics  # noqa: F401
+import skarn.queries_files  # noqa: F401
 import skarn.queries_graph  # noqa: F401
 import skarn.queries_lookups  # noqa: F401
 import skarn.queries_patterns  # noqa: F401
