@@ -36,6 +36,9 @@ BINDINGS: dict[str, str] = {
     "score_b": "SELECT concat('f', user_id % 120) AS path, max(value) / 1000 AS score FROM {events} WHERE event_type = 'view' OR value > 50 GROUP BY 1",
     "history": "SELECT concat('f', user_id) AS file_path, avg(value) AS score, CAST(CAST(ts AS DATE) AS TIMESTAMP) AS timestamp FROM {events} GROUP BY 1, 3",
     "watch": "SELECT event_id AS seq, ts, concat('src/f', user_id, CASE WHEN user_id % 3 = 0 THEN '.rs' ELSE '.txt' END) AS path, CASE WHEN event_type = 'error' THEN 'Unknown' ELSE event_type END AS kind FROM {events}",
+    "service_routes": "SELECT concat(CASE o_custkey % 8 WHEN 0 THEN 'src' WHEN 1 THEN 'src/tests' WHEN 2 THEN 'docs/a' WHEN 3 THEN 'web/mod' WHEN 4 THEN 'a/b/c/d' WHEN 5 THEN 'tools' WHEN 6 THEN 'a/b/x' ELSE 'svc/pay/in/api' END, '/f', o_custkey, '.rs') AS path, concat('h', o_custkey % 400) AS handler FROM {orders} WHERE o_orderstatus = 'F'",
+    "service_calls": "SELECT concat(CASE l_suppkey % 8 WHEN 0 THEN 'src' WHEN 1 THEN 'src/tests' WHEN 2 THEN 'docs/a' WHEN 3 THEN 'web/mod' WHEN 4 THEN 'a/b/c/d' WHEN 5 THEN 'tools' WHEN 6 THEN 'a/b/x' ELSE 'svc/pay/in/api' END, '/f', l_suppkey, '.rs') AS caller_file, concat('h', l_partkey % 900) AS caller_name, concat('h', (l_partkey * 7 + l_suppkey) % 1200) AS callee_name, CASE WHEN l_linenumber % 2 = 0 THEN concat(CASE l_partkey % 8 WHEN 0 THEN 'src' WHEN 1 THEN 'src/tests' WHEN 2 THEN 'docs/a' WHEN 3 THEN 'web/mod' WHEN 4 THEN 'a/b/c/d' WHEN 5 THEN 'tools' WHEN 6 THEN 'a/b/x' ELSE 'svc/pay/in/api' END, '/f', l_partkey, '.rs') END AS callee_file FROM {lineitem} WHERE l_returnflag = 'R'",
+    "service_models": "SELECT concat(CASE p_size % 8 WHEN 0 THEN 'src' WHEN 1 THEN 'src/tests' WHEN 2 THEN 'docs/a' WHEN 3 THEN 'web/mod' WHEN 4 THEN 'a/b/c/d' WHEN 5 THEN 'tools' WHEN 6 THEN 'a/b/x' ELSE 'svc/pay/in/api' END, '/f', p_size, '.rs') AS path, concat('h', p_partkey % 1500) AS model FROM {part}",
     "repo_files": "SELECT DISTINCT concat(CASE l_suppkey % 8 WHEN 0 THEN 'src' WHEN 1 THEN 'src/tests' WHEN 2 THEN 'docs/a' WHEN 3 THEN 'web/mod' WHEN 4 THEN 'vendor/x/y' WHEN 5 THEN 'tools' WHEN 6 THEN '.github/workflows' ELSE 'a/b/c' END, '/f', l_suppkey, CASE l_suppkey % 5 WHEN 0 THEN '.rs' WHEN 1 THEN '.py' WHEN 2 THEN '.md' WHEN 3 THEN '.yaml' ELSE '_test.go' END) AS path FROM {lineitem}",
 }
 

@@ -41,11 +41,14 @@ def service_map(files: DataFrame, services: DataFrame, calls: DataFrame) -> tupl
 
 
 def assign_in_order(files: DataFrame, services: DataFrame) -> DataFrame:
-    """(path, service): the first service by name whose root is a plain prefix of the path. Services are configuration, read to the driver."""
-    claimed: Column = F.lit(None).cast("string")
-    for r in reversed(services.orderBy("service").collect()):
-        claimed = F.when(F.col("path").startswith(r["root"]), F.lit(r["service"])).otherwise(claimed)
-    return files.select("path", claimed.alias("service")).where("service is not null")
+    """(path, service): the first service by name whose root is a plain prefix of the path (an empty root is one of every path).
+    Paths are cut to each length that a root has, and the cuts joined with the roots, so there may be any number of services."""
+    paths = files.where("path is not null").select("path").distinct()
+    lengths = services.agg(F.array_sort(F.collect_set(F.char_length("root"))).alias("_lengths"))  # one row, as long as the longest root at most
+    cuts = F.transform(F.filter("_lengths", lambda n: n <= F.char_length("path")), lambda n: F.substring("path", F.lit(1), n))
+    tried = paths.crossJoin(F.broadcast(lengths)).select("path", F.explode(cuts).alias("root"))
+    first = tried.join(services.select("root", "service"), "root").groupBy("path").agg(F.min("service").alias("service"))
+    return files.join(first, "path").select("path", "service")
 
 
 def directories(files: DataFrame) -> DataFrame:

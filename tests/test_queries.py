@@ -13,6 +13,7 @@ import skarn.queries_graph  # noqa: F401
 import skarn.queries_lookups  # noqa: F401
 import skarn.queries_patterns  # noqa: F401
 import skarn.queries_search  # noqa: F401
+import skarn.queries_services  # noqa: F401
 import skarn.queries_streams  # noqa: F401
 import skarn.queries_vectors  # noqa: F401
 import skarn.queries_walks  # noqa: F401
