@@ -96,7 +96,17 @@ def find_patterns(texts: DataFrame, patterns: DataFrame, key: str, text: str, pa
     size = patterns.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length(column(pattern))), F.lit(0)).alias("bytes")).first()
     if size["n"] <= few and size["bytes"] <= few_bytes:
         return texts.join(F.broadcast(patterns), _holds(column(text), column(pattern), words))
+    if not words:
+        return _anchored(texts, patterns, key, text, pattern, False, most_known)
+    # A pattern that is a word is one of the text's words, so nothing has to be verified and the text doesn't travel unless the caller wants it.
+    single = F.rlike(column(pattern), F.lit(r"(?U)^\w+\z"))
+    each = texts.withColumn("_mp word", F.explode(F.array_distinct(F.regexp_extract_all(column(text), F.lit(r"(?U)\w+"), F.lit(0)))))
+    found, rest = each.join(patterns.where(single), F.col("`_mp word`") == column(pattern)).drop("_mp word"), patterns.where(~single)
+    return found if rest.isEmpty() else found.unionByName(_anchored(texts, rest, key, text, pattern, True, most_known))
+
 
+def _anchored(texts: DataFrame, patterns: DataFrame, key: str, text: str, pattern: str, words: bool, most_known: int) -> DataFrame:
+    column = lambda name: F.col(f"`{name}`")
     distinct = patterns.select(column(pattern).alias("p")).distinct()
     # Between boundaries every word of the pattern is a whole word of the text; a pattern without words goes by grams.
     named = distinct.select("p", F.explode(_words(F.col("p"))).alias("gram")) if words else None
@@ -132,6 +142,6 @@ def symbol_dependencies(files: DataFrame, symbols: DataFrame, interfaces: DataFr
     named = find_patterns(files.select("path", "content"), wanted, "path", "content", "symbol", words=True).select("path", "symbol")
     imported = find_patterns(files.select("path", F.explode("imports").alias("import")).distinct(), wanted, "path", "import", "symbol").select("path", "symbol")
     exported = files.select("path", F.explode("exports").alias("symbol")).join(wanted, "symbol", "left_semi").select("path", "symbol")
-    uses = named.unionByName(imported).unionByName(exported).distinct()
-    local = symbols.select("path", F.col("symbol_name").alias("local_symbol")).distinct()
-    return uses.join(local, "path").join(interfaces.select("sibling", "symbol").distinct(), "symbol").select("sibling", "local_symbol", F.col("symbol").alias("remote_symbol")).distinct()
+    uses = named.unionByName(imported).unionByName(exported)
+    pairs = uses.join(symbols.select("path", F.col("symbol_name").alias("local_symbol")).distinct(), "path").select("local_symbol", "symbol").distinct()
+    return pairs.join(interfaces.select("sibling", "symbol").distinct(), "symbol").select("sibling", "local_symbol", F.col("symbol").alias("remote_symbol"))
