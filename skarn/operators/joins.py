@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import cosine, finite, norm
+from ..session import shared_folder
 from .many_patterns import find_patterns
 
 
@@ -101,7 +102,24 @@ def route_consumers(routes: DataFrame, dependencies: DataFrame, changed: DataFra
     return hit.join(dependencies.select(F.col("pattern").alias("path_pattern"), "service"), "path_pattern", "left").groupBy("path_pattern").agg(F.count_distinct("service").alias("consumers"))
 
 
-def similar_pairs(vectors: DataFrame, threshold: float, id_col: str = "id", vector: str = "embedding", block: Column | None = None, rows_per_tile: int = 2048) -> DataFrame:
+def _usable(vectors: DataFrame, id_col: str, vector: str, *more: Column) -> DataFrame:
+    """``id, v`` and more of vectors that have a cosine; floats stay floats, which halves what is moved."""
+    v, kept = F.col(vector), vectors.schema[vector].dataType.simpleString() == "array<float>"
+    rows = vectors.select(F.col(id_col).alias("id"), (v if kept else F.transform(v, lambda x: x.cast("double"))).alias("v"), *more)
+    return rows.where(finite(F.col("v")) & (norm(F.col("v")) > 0))
+
+
+def _unit_rows(column, rows):
+    """The matrix of some rows of a list column, all of one length, as doubles of unit length."""
+    import numpy as np
+    import pyarrow as pa
+
+    x = column.take(pa.array(rows)).combine_chunks()
+    x = (x.chunk(0) if isinstance(x, pa.ChunkedArray) else x).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(rows), -1)
+    return x / np.sqrt((x * x).sum(axis=1))[:, None]
+
+
+def similar_pairs(vectors: DataFrame, threshold: float, id_col: str = "id", vector: str = "embedding", block: Column | None = None, rows_per_tile: int = 16384) -> DataFrame:
     """(a, b, similarity) of pairs above the threshold, a < b. ``block``: pairs meet only within a block (for instance a bucket of a
     locality-sensitive hash); without it all rows meet, which is exact and quadratic, as the operation is defined.
 
@@ -110,7 +128,7 @@ def similar_pairs(vectors: DataFrame, threshold: float, id_col: str = "id", vect
     import pyarrow as pa
 
     kind = vectors.schema[id_col].dataType.simpleString()
-    rows = vectors.select(F.col(id_col).alias("id"), F.transform(vector, lambda v: v.cast("double")).alias("v"), (block if block is not None else F.lit(0)).cast("string").alias("block")).where(finite(F.col("v")) & (norm(F.col("v")) > 0) & F.col("id").isNotNull())
+    rows = _usable(vectors, id_col, vector, (block if block is not None else F.lit(0)).cast("string").alias("block")).where("id is not null")
     tiles = max(1, -(-vectors.count() // rows_per_tile))
     tile = F.pmod(F.xxhash64("id"), F.lit(tiles))
     others = F.transform(F.sequence(F.lit(0).cast("long"), F.lit(tiles - 1).cast("long")), lambda k: F.struct(F.least(F.col("tile"), k).alias("i"), F.greatest(F.col("tile"), k).alias("j")))
@@ -118,34 +136,75 @@ def similar_pairs(vectors: DataFrame, threshold: float, id_col: str = "id", vect
 
     def compare(table: pa.Table) -> pa.Table:
         import numpy as np
+        import pyarrow.compute as pc
 
-        found: tuple[list, list, list] = ([], [], [])
-        sizes = np.array([len(x) for x in table.column("v")])
-        at, j = table.column("tile").to_numpy(), table.column("j")[0].as_py()
-        ids = np.array(table.column("id").to_pylist())
+        found: list[tuple] = []
+        sizes = pc.list_value_length(table.column("v")).to_numpy()
+        at, i, j = table.column("tile").to_numpy(), table.column("i")[0].as_py(), table.column("j")[0].as_py()
+        ids = table.column("id").to_numpy()
         for size in np.unique(sizes):
             own = np.flatnonzero(sizes == size)
-            x = np.array(table.column("v").take(pa.array(own)).to_pylist())
-            x /= np.sqrt((x * x).sum(axis=1))[:, None]
-            left, right = np.flatnonzero(at[own] == table.column("i")[0].as_py()), np.flatnonzero(at[own] == j)
-            for k in range(0, len(left), 512):
-                part = left[k : k + 512]
-                close = x[part] @ x[right].T
+            x = _unit_rows(table.column("v"), own)
+            left, right = np.flatnonzero(at[own] == i), np.flatnonzero(at[own] == j)
+            other = np.ascontiguousarray(x[right].T)
+            for k in range(0, len(left), 256):
+                part = left[k : k + 256]
+                close = x[part] @ other
                 r, c = np.nonzero(close > threshold)
                 a, b = ids[own[part[r]]], ids[own[right[c]]]
-                once = a < b if np.array_equal(left, right) else a != b
-                low, high = np.where(a < b, a, b), np.where(a < b, b, a)
-                for column, values in zip(found, (low[once], high[once], np.clip(close[r, c], -1, 1)[once]), strict=True):
-                    column.extend(values.tolist())
-        return pa.table({"a": pa.array(found[0], table.schema.field("id").type), "b": pa.array(found[1], table.schema.field("id").type), "similarity": pa.array(found[2], pa.float64())})
+                once = a < b if i == j else a != b
+                swap = (a > b)[once]
+                a, b = a[once], b[once]
+                found.append((np.where(swap, b, a), np.where(swap, a, b), np.clip(close[r, c], -1, 1)[once]))
+        kinds = [table.schema.field("id").type] * 2 + [pa.float64()]
+        return pa.table({n: pa.array(np.concatenate([f[k] for f in found]) if found else [], kinds[k]) for k, n in enumerate(("a", "b", "similarity"))})
 
     return dealt.groupBy("block", "i", "j").applyInArrow(compare, f"a {kind}, b {kind}, similarity double")
 
 
-def best_endpoints(files: DataFrame, endpoints: DataFrame, threshold: float = 0.5, limit: int = 10) -> DataFrame:
-    """(endpoint, path, similarity): each endpoint's best file at the threshold or above, the best ``limit`` of them. files(path, embedding) are the changed files."""
-    pairs = endpoints.select("endpoint", F.col("embedding").alias("_e")).crossJoin(files.select("path", F.col("embedding").alias("_f")))
-    scored = pairs.select("endpoint", "path", cosine(F.col("_e"), F.col("_f")).alias("similarity")).where(F.col("similarity") >= threshold)
+def best_endpoints(files: DataFrame, endpoints: DataFrame, threshold: float = 0.5, limit: int = 10, rows_per_tile: int = 16384) -> DataFrame:
+    """(endpoint, path, similarity): each endpoint's best file at the threshold or above, the best ``limit`` of them. files(path, embedding) are the changed files.
+
+    All pairs are compared, as tiles of endpoints and of files, a matrix product in one task. A tile gives what may be an endpoint's best there, up to rounding;
+    what may be among the best ``limit`` of all is scored again from its vectors, so ties are those of equal vectors. Files with the same vector count as the first one."""
+    import pyarrow as pa
+
+    slack = 1e-9
+    e, f = _usable(endpoints, "endpoint", "embedding"), _usable(files, "path", "embedding").groupBy("v").agg(F.min("id").alias("id"))
+    wide = next((t for t in ("double", "float") if f"array<{t}>" in (e.schema["v"].dataType.simpleString(), f.schema["v"].dataType.simpleString())), "double")
+    tiles = [max(1, -(-d.count() // rows_per_tile)) for d in (endpoints, files)]
+    upto = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    v, one, two = F.col("v").cast(f"array<{wide}>").alias("v"), e.schema["id"].dataType, f.schema["id"].dataType
+    left = e.select(F.col("id").alias("endpoint"), F.lit(None).cast(two).alias("path"), v, F.lit(True).alias("asks"), F.pmod(F.xxhash64("id", "v"), F.lit(tiles[0])).cast("int").alias("i"), upto(tiles[1]).alias("j"))
+    right = f.select(F.lit(None).cast(one).alias("endpoint"), F.col("id").alias("path"), v, F.lit(False).alias("asks"), upto(tiles[0]).alias("i"), F.pmod(F.xxhash64("id", "v"), F.lit(tiles[1])).cast("int").alias("j"))
+
+    def compare(table: pa.Table) -> pa.Table:
+        import numpy as np
+        import pyarrow.compute as pc
+
+        sizes, asks = pc.list_value_length(table.column("v")).to_numpy(), table.column("asks").to_numpy()
+        found: list[tuple] = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        for size in np.unique(sizes):
+            here, there = np.flatnonzero((sizes == size) & asks), np.flatnonzero((sizes == size) & ~asks)
+            if not len(here) or not len(there):
+                continue
+            x, y = _unit_rows(table.column("v"), here), np.ascontiguousarray(_unit_rows(table.column("v"), there).T)
+            for k in range(0, len(here), 256):
+                close = x[k : k + 256] @ y
+                r, c = np.nonzero(close >= np.maximum(close.max(axis=1), threshold)[:, None] - slack)
+                found.append((here[k + r], there[c], close[r, c]))
+        which, what, close = (np.concatenate([part[n] for part in found]) for n in range(3))
+        return pa.table({"endpoint": table.column("endpoint").take(pa.array(which)), "path": table.column("path").take(pa.array(what)), "close": pa.array(close)})
+
+    some = left.unionByName(right).groupBy("i", "j").applyInArrow(compare, f"endpoint {one.simpleString()}, path {two.simpleString()}, close double")
+    shared_folder(files.sparkSession)
+    some = some.checkpoint()
+    first = some.groupBy("endpoint").agg(F.max("close").alias("_best"))
+    last = first.orderBy(F.desc("_best")).limit(limit).agg(F.min("_best").alias("_last"))
+    near = first.crossJoin(F.broadcast(last)).where(F.col("_best") >= F.col("_last") - 2 * slack).select(F.col("endpoint").alias("_e"), "_best")
+    pairs = some.join(near, F.col("endpoint").eqNullSafe(F.col("_e"))).where(F.col("close") >= F.col("_best") - 2 * slack).select("endpoint", "path").distinct()
+    pairs = pairs.join(e.select(F.col("id").alias("_e"), F.col("v").alias("_ev")), F.col("endpoint").eqNullSafe(F.col("_e"))).join(f.select(F.col("id").alias("_p"), F.col("v").alias("_fv")), F.col("path").eqNullSafe(F.col("_p")))
+    scored = pairs.select("endpoint", "path", cosine(F.col("_ev"), F.col("_fv")).alias("similarity")).where(F.col("similarity") >= threshold)
     best = scored.groupBy("endpoint").agg(F.min(F.struct((-F.col("similarity")).alias("s"), F.col("path").alias("path"))).alias("b"))
     return best.select("endpoint", "b.path", (-F.col("b.s")).alias("similarity")).orderBy(F.desc("similarity"), "path", "endpoint").limit(limit)
 
