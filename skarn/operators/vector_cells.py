@@ -5,8 +5,8 @@ a metric, so a vector at angle d from a pivot is at least d - radius from all of
 query's nearest cells, which bounds its k-th angle, and then only cells within reach of that bound; a join sends a vector to the cells within reach of the threshold.
 Where vectors cluster, most cells are out of reach; where they don't, more are read, but the result is the same. ``visit`` caps the cells of a query, for an approximate answer.
 
-An index is a table in cell order, so that a reader skips other cells; queries come in blocks of bounded size, and no vector is shuffled to a query. Cells of any size are
-split into tiles in the join, so no task holds more than two tiles.
+An index is a table in cell order, so that a reader skips other cells; queries come in blocks of bounded size, and no vector is shuffled to a query. The join takes
+neighbouring cells as groups of a tile's rows; cells of any size are split into tiles, so no task holds more than two tiles.
 
 Defined cases: vectors that are null, zero, not finite or of another length than the index take no part; neither do null ids; ids may repeat, rows count by themselves. Scores are
 rounded to 12 decimals before they are compared, ties go to the smaller id; an empty table has no answers.
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from ..functions.vectors import finite, norm
 
 #: Most pivots; bytes of queries that are broadcast together; candidates that a task keeps before it reduces them; rows of a tile; decimals of a score.
-PIVOTS, QUERY_BYTES, KEPT, TILE, DECIMALS = 4096, 8 << 20, 1 << 19, 2048, 12
+PIVOTS, QUERY_BYTES, KEPT, TILE, DECIMALS = 4096, 8 << 20, 1 << 19, 16384, 12
 #: What rounding may add to an angle.
 SLACK = 1e-7
 
@@ -43,6 +43,24 @@ def _matrix(column: pa.ListArray, size: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, size)
 
 
+def _groups(pivots: np.ndarray, count: np.ndarray, most: int) -> np.ndarray:
+    """The group of each cell: neighbouring cells together have ``most`` rows at most; a larger cell is a group of its own."""
+    order, open_ = [], [np.arange(len(pivots))]
+    while open_:
+        some = open_.pop()
+        if len(some) < 3:
+            order.extend(some.tolist())
+            continue
+        some = some[np.argsort(pivots[some][:, pivots[some].var(axis=0).argmax()], kind="stable")]
+        open_ += [some[len(some) // 2 :], some[: len(some) // 2]]
+    group, rows, n = np.zeros(len(pivots), np.int32), 0, 0
+    for cell in order:
+        if rows and rows + count[cell] > most:
+            n, rows = n + 1, 0
+        group[cell], rows = n, rows + count[cell]
+    return group
+
+
 def _angles(cosines: np.ndarray) -> np.ndarray:
     return np.arccos(np.clip(cosines, -1.0, 1.0))
 
@@ -186,18 +204,23 @@ class Cells:
     # Join
 
     def pairs(self, threshold: float, tile: int = TILE) -> DataFrame:
-        """``a, b, similarity`` of all pairs of rows with a cosine above the threshold, a <= b, each once."""
-        size, reach = self.pivots.shape[1], math.acos(max(-1.0, min(1.0, threshold))) + SLACK
-        shared = self.spark.sparkContext.broadcast((self.pivots, self.radius, self.count))
+        """``a, b, similarity`` of all pairs of rows with a cosine above the threshold, a <= b, each once. Cells meet in groups, and a vector goes to a group once, so that
+        it is copied as often as there are groups of a tile's rows at most, not cells."""
+        group, size = _groups(self.pivots, self.count, min(tile, max(1024, int(self.count.sum()) // 16))), self.pivots.shape[1]
+        reach = math.acos(max(-1.0, min(1.0, threshold))) + SLACK
+        starts = np.flatnonzero(np.diff(np.sort(group), prepend=-1))
+        by_group = np.argsort(group, kind="stable")
+        shared = self.spark.sparkContext.broadcast((self.pivots[by_group], self.radius[by_group], self.count[by_group], group, starts))
 
         def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            pivots, radius, count = shared.value
+            pivots, radius, count, group, starts = shared.value
             for batch in batches:
                 for at in range(0, batch.num_rows, 1024):
                     part = batch.slice(at, 1024)
-                    home = part.column(0).to_numpy()
+                    home = group[part.column(0).to_numpy()]
                     goes = (_angles(_matrix(part.column(3), size) @ pivots.T) - radius[None, :] <= reach) & (count > 0)[None, :]
-                    goes &= np.arange(len(pivots))[None, :] > home[:, None]  # of two cells, the first one's vectors go
+                    goes = np.logical_or.reduceat(goes, starts, axis=1)
+                    goes &= np.arange(len(starts))[None, :] > home[:, None]  # of two groups, the first one's vectors go
                     row, cell = np.nonzero(goes)
                     row, cell, guest = np.concatenate((np.arange(len(home)), row)), np.concatenate((home, cell)), np.arange(len(home) + len(row)) >= len(home)
                     moved = part.take(pa.array(row))
@@ -224,13 +247,16 @@ class Cells:
             left = np.flatnonzero(~guest & (at == table.column("i")[0].as_py()))
             right, same = (np.flatnonzero(guest), False) if j < 0 else (np.flatnonzero(~guest & (at == j)), j == table.column("i")[0].as_py())
             found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
-            for k in range(0, len(left), 512):
-                part = left[k : k + 512]
-                score = np.round(v[part] @ v[right].T, DECIMALS)
-                r, c = np.nonzero(score > threshold)
+            other = np.ascontiguousarray(v[right].T)
+            for k in range(0, len(left), 256):
+                part = left[k : k + 256]
+                score = v[part] @ other
+                r, c = np.nonzero(score > threshold - 10.0**-DECIMALS)
+                score = np.round(score[r, c], DECIMALS)
+                r, c, score = r[score > threshold], c[score > threshold], score[score > threshold]
                 once = part[r] < right[c] if same else np.ones(len(r), bool)
                 x, y = ids[part[r]][once], ids[right[c]][once]
-                found.append((np.minimum(x, y), np.maximum(x, y), score[r, c][once]))
+                found.append((np.minimum(x, y), np.maximum(x, y), score[once]))
             return pa.table({n: pa.array(np.concatenate([f[i] for f in found])) for i, n in enumerate(("a", "b", "similarity"))})
 
         return dealt.groupBy("cell", "i", "j").applyInArrow(compare, "a long, b long, similarity double")
