@@ -1,6 +1,6 @@
 """A persisted inverted index: segments, tombstones and merges, block-max ranked search, snippets, and fuzzy terms by deletion neighbourhoods.
 
-Every :meth:`SearchIndex.add` writes a segment: documents by hash of their id, postings of three fields (content, path, trigrams) by hash of the term and in its order, summaries of
+Every :meth:`SearchIndex.add` writes a segment: documents by hash of their id, postings of two fields (content, path) by hash of the term and in its order, each document's trigrams by hash of the trigram, summaries of
 blocks of documents, and the deletion neighbourhood of its vocabulary. A query reads the hash partitions of its own terms. A manifest, written last, says which segments are
 live, so a writer that dies changes nothing; there is one writer at a time. A document that is added again or deleted gets a tombstone with the
 number of the write, which hides it in all older segments; :meth:`SearchIndex.merge` writes what is live as one segment and drops tombstones.
@@ -16,17 +16,21 @@ Defined cases: null content and path are empty; null ids are dropped; of an id t
 
 from __future__ import annotations
 
+import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import code_tokens, pattern_trigrams, trigrams
+from ..functions.text import code_tokens, pattern_trigrams
 from .search import B, K1, _matching_lines, _query_tokens
 
 _DOCS = "doc long, path string, content string, content_length long, path_length long, line_count long, block long, segment long, bucket int"
 _POSTINGS = "field string, term string, doc long, tf long, positions array<int>, length long, block long, segment long, bucket int"
+_GRAMS = "doc long, terms array<string>, segment long, bucket int"
 _BLOCKS = "field string, term string, block long, n long, most_tf long, least_length long, segment long, bucket int"
 _NEAR = "variant long, term string, segment long, bucket int"
 _LONG = "term string, segment long"
@@ -67,6 +71,56 @@ def _impact(tf: Column, length: Column, mean: Column) -> Column:
     return tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean))
 
 
+def _postings(batches: Iterator[pa.RecordBatch], most: int = 1 << 16) -> Iterator[pa.RecordBatch]:
+    """``field, term, doc, tf, positions, length, block`` of ``doc, block, content_length, path_length, content, path`` (tokens), a bounded number at a time."""
+    kinds = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.int64(), pa.int64()]
+    names = ["field", "term", "doc", "tf", "positions", "length", "block"]
+    held: list[tuple] = []
+
+    def batch_of() -> pa.RecordBatch:
+        out = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held, strict=True), kinds, strict=True)], names)
+        held.clear()
+        return out
+
+    for batch in batches:
+        for n in range(batch.num_rows):
+            doc, block, *lengths = (batch.column(c)[n].as_py() for c in range(4))
+            for field, length, column in (("content", lengths[0], 4), ("path", lengths[1], 5)):
+                places: dict[str, list[int]] = {}
+                for at, term in enumerate(batch.column(column)[n].as_py()):
+                    places.setdefault(term, []).append(at)
+                held.extend((field, term, doc, len(at), at, length, block) for term, at in places.items())
+            if len(held) >= most:
+                yield batch_of()
+    if held:
+        yield batch_of()
+
+
+def gram_bucket(gram: str, buckets: int) -> int:
+    return zlib.crc32(gram.encode("utf-8", "surrogatepass")) % buckets
+
+
+def _grams(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+    """``doc, terms, bucket``: the distinct trigrams of ``doc, content``, a row for each bucket that has some."""
+    known: dict[str, int] = {}
+    for batch in batches:
+        for first in range(0, batch.num_rows, 256):
+            docs, terms, where = [], [], []
+            for doc, text in zip(*(batch.column(c).slice(first, 256).to_pylist() for c in (0, 1)), strict=True):
+                dealt: dict[int, list[str]] = {}
+                for g in set(map("".join, zip(text, text[1:], text[2:], strict=False))):
+                    if (b := known.get(g)) is None:
+                        if len(known) > 1 << 18:
+                            known.clear()
+                        b = known[g] = gram_bucket(g, buckets)
+                    dealt.setdefault(b, []).append(g)
+                for b, some in dealt.items():
+                    docs.append(doc)
+                    terms.append(sorted(some))
+                    where.append(b)
+            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(terms, pa.list_(pa.string())), pa.array(where, pa.int32())], ["doc", "terms", "bucket"])
+
+
 @dataclass
 class SearchIndex:
     """An index of documents ``(doc, path, content)`` below ``path``."""
@@ -125,13 +179,15 @@ class SearchIndex:
         )
         self._write(docs, "docs", number, "doc")
         docs = self._read("docs", [number], _DOCS)
-        placed = lambda field, length: docs.select(F.lit(field).alias("field"), "doc", "block", F.col(length).alias("length"), F.posexplode(code_tokens(F.col(field))).alias("at", "term"))
-        counted = placed("content", "content_length").unionByName(placed("path", "path_length")).groupBy("field", "term", "doc", "block", "length").agg(F.sort_array(F.collect_list("at")).alias("positions"))
-        grams = docs.select(F.lit("gram").alias("field"), F.explode(trigrams(F.lower("content"))).alias("term"), "doc", F.lit(1).cast("long").alias("tf"), F.lit(None).cast("array<int>").alias("positions"), "content_length", "block")
-        words = counted.select("field", "term", "doc", F.size("positions").cast("long").alias("tf"), "positions", "length", "block")
-        postings = words.unionByName(grams.withColumnRenamed("content_length", "length")).select("*", segment, self._bucket("field", "term"))
+        # A document's tokens are in one row, so its postings are made there; only finished ones are dealt out. Its trigrams go out as one row a bucket.
+        tokens = docs.select("doc", "block", "content_length", "path_length", code_tokens(F.col("content")).alias("content"), code_tokens(F.col("path")).alias("path"))
+        words = tokens.mapInArrow(_postings, "field string, term string, doc long, tf long, positions array<int>, length long, block long")
+        buckets = self.buckets
+        grams = docs.select("doc", F.lower("content").alias("content")).mapInArrow(lambda batches: _grams(batches, buckets), "doc long, terms array<string>, bucket int")
+        self._write(grams.select("doc", "terms", segment, "bucket"), "grams", number, "doc")
+        postings = words.select("*", segment, self._bucket("field", "term"))
         self._write(postings, "postings", number, "field", "term", "doc")
-        postings = self._read("postings", [number], _POSTINGS).where("field <> 'gram'")
+        postings = self._read("postings", [number], _POSTINGS)
         blocks = postings.groupBy("field", "term", "block").agg(F.count(F.lit(1)).alias("n"), F.max("tf").alias("most_tf"), F.min("length").alias("least_length"))
         self._write(blocks.select("*", segment, self._bucket("field", "term")), "blocks", number, "field", "term")
         vocabulary = postings.where("field = 'content'").select("term").distinct()
@@ -214,8 +270,10 @@ class SearchIndex:
         wanted = sorted(set(grams))
         if not wanted:
             return None
-        held = self._live("postings", _POSTINGS, state or self._state(), self._of("gram", wanted))
-        return held.groupBy("doc").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == len(wanted)).select("doc")
+        numbers = sorted({gram_bucket(g, self.buckets) for g in wanted})
+        held = self._live("grams", _GRAMS, state or self._state(), F.col("bucket").isin(numbers))
+        some = F.size(F.array_intersect("terms", F.array(*[F.lit(g) for g in wanted])))
+        return held.groupBy("doc").agg(F.sum(some).alias("n")).where(F.col("n") == len(wanted)).select("doc")
 
     def ranked(self, query: str, limit: int = 10, prefilter: bool = True) -> DataFrame:
         """``doc, score`` of the best documents; ties by doc. prefilter: for a query of letters, digits and underscores, documents must hold all its trigrams."""
