@@ -191,6 +191,16 @@ def test_benchmark_items_equal_brute_force(spark):
     assert {(r["doc_id"], r["item_id"]) for r in latent_decontam.contaminated(frame(spark, rows), bench).collect()} == want
 
 
+def test_windows_of_an_item_are_confirmed_by_falling_cosine():
+    item = prose(31, 40, 20000)
+    words = [w for i, w in enumerate(item.split()) if i % 5]
+    text = f"{prose(32, 100, 20000)} {' '.join(words)} {prose(33, 120, 20000)} {item} {prose(34, 100, 20000)}"
+    vectors = np.random.default_rng(1).standard_normal((latent_decontam.FEATURES, 24)).astype(np.float32)
+    idf = np.ones(latent_decontam.FEATURES, np.float32)
+    ((found, cosine, share, _),) = latent_decontam.search(latent_decontam.word_hashes(text), latent_decontam.Items([(7, item)], idf, vectors, 8, 0.6), idf, vectors, 0.6, 0.75)
+    assert (found, share) == (7, 1.0) and cosine > 0.7  # the whole copy, not the earlier one that lacks every fifth word
+
+
 def test_near_notices_take_time_in_proportion_to_the_text():
     import time
 
