@@ -1,9 +1,10 @@
-"""Near copies by the exact Jaccard similarity of word shingles.
+"""Near copies by SimHash and the exact Jaccard similarity of word shingles.
 
-Two texts link if their sets of five-word shingles have a similarity of 0.8 or more. Under any order of all shingles such sets share one of
+Two texts link if their sets of five-word shingles have a similarity of 0.8 or more. Candidates come first from fingerprints of the sets, which vantage-point trees bring together within three
+bits (:mod:`vp_simhash`); they are verified on the whole sets. What differs in more bits is found exactly: under any order of all shingles such sets share one of
 the first ``n - ceil(0.8 n) + 1`` of their n shingles, so texts meet by an equi-join on these and no linked pair is missed. The order puts
 shingles first that a sample of the texts doesn't repeat; the sample decides about speed only. Sizes, positions and counts of shingles in cells rule out most of the pairs
-that meet by chance; the others are verified on the whole sets. Texts first meet the smallest text of each shingle; pairs of all others are
+that meet by chance; the others are verified on the whole sets. Texts that fingerprints haven't joined first meet the smallest text of each shingle; pairs of all others are
 only formed where a shingle still joins different components, so a dense group of copies costs one pair per member and shingle.
 
 Defined cases: null text counts as empty; texts without words are copies of each other, fewer words than a shingle give the whole sequence as
@@ -21,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, arrow_map, broadcast_if_few, components, hash128, unused
+from .vp_simhash import links as fingerprint_links
 
 WORDS = 5
 #: Texts of the sample, and the most repeated shingles of it that are put last.
@@ -50,6 +52,14 @@ def _hash(held: np.ndarray) -> int:
     return xxh64_intdigest(held.tobytes(), 42) - (1 << 63)
 
 
+def _fingerprint(held: np.ndarray) -> int:
+    """The majority bits of a set's shingles, as a signed integer."""
+    counts = np.zeros(64, np.int64)
+    for at in range(0, len(held), 8192):
+        counts += np.unpackbits(held[at : at + 8192].view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * counts > len(held)).view(np.int64)[0])
+
+
 def _counts(held: np.ndarray) -> bytes:
     """How many shingles of a set fall into each of ``CELLS`` cells; empty if a cell has too many for a byte. Two sets share no more than the lesser count of each cell."""
     n = np.bincount((held & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS)
@@ -57,18 +67,19 @@ def _counts(held: np.ndarray) -> bytes:
 
 
 def _nodes(texts: DataFrame) -> DataFrame:
-    """``row, doc_id, h1, h2, node, counts, cells`` of ``row, doc_id, h1, h2, text``. cells: the counts as numbers, empty if one is above 127."""
+    """``row, doc_id, h1, h2, node, fp, counts, cells`` of ``row, doc_id, h1, h2, text``. cells: the counts as numbers, empty if one is above 127."""
 
     def per_batch(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        nodes, counts, cells = [], [], []
+        nodes, fps, counts, cells = [], [], [], []
         for text in batch.column(4):
             held = shingles(text.as_py())
             nodes.append(_hash(held))
+            fps.append(_fingerprint(held))
             counts.append(_counts(held))
             cells.append(np.frombuffer(counts[-1], np.int8) if counts[-1] and max(counts[-1]) < 128 else np.zeros(0, np.int8))
-        yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(nodes, pa.int64()), pa.array(counts, pa.binary()), pa.array(cells, pa.list_(pa.int8()))], ["row", "doc_id", "h1", "h2", "node", "counts", "cells"])
+        yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(nodes, pa.int64()), pa.array(fps, pa.int64()), pa.array(counts, pa.binary()), pa.array(cells, pa.list_(pa.int8()))], ["row", "doc_id", "h1", "h2", "node", "fp", "counts", "cells"])
 
-    return arrow_map(texts, per_batch, "row long, doc_id long, h1 long, h2 long, node long, counts binary, cells array<tinyint>")
+    return arrow_map(texts, per_batch, "row long, doc_id long, h1 long, h2 long, node long, fp long, counts binary, cells array<tinyint>")
 
 
 def _repeated(texts: DataFrame, total: int) -> tuple[np.ndarray, np.ndarray]:
@@ -169,10 +180,22 @@ def _verified(pairs: DataFrame, texts: DataFrame, rows: DataFrame, scratch: Scra
     return links
 
 
+def _fingerprinted(rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """Pairs ``(a, b)`` of nodes within three bits of each other, or joined by such: a spanning forest of each group, and all nodes of a fingerprint with the smallest."""
+    nodes = scratch.table(rows.select("node", "fp").distinct(), "fingerprints")
+    least = scratch.table(nodes.groupBy("fp").agg(F.min("node").alias("least")), "least")
+    of = lambda c: least.select(F.col("fp").alias(c), F.col("least").alias(f"least_{c}"))
+    apart = fingerprint_links(least.select("fp"), scratch).distinct().join(of("a"), "a").join(of("b"), "b").select(F.col("least_a").alias("a"), F.col("least_b").alias("b"))
+    return scratch.table(nodes.join(least, "fp").where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b")).unionByName(apart), "close")
+
+
 def _components(texts: DataFrame, rows: DataFrame, scratch: Scratch) -> DataFrame:
     """``(node, root)`` of the linked sets."""
     from pyspark.sql import Window
 
+    close = _fingerprinted(rows, scratch)
+    known = _verified(close, texts, rows, scratch)
+    roots = components(known, scratch)
     key = Window.partitionBy("key")
     prefixes = _prefixes(texts, *_repeated(texts, rows.count()))
     shared = scratch.table(prefixes.withColumn("least", F.min(F.struct("node", "place")).over(key)).withColumn("last", F.max("node").over(key)).where("least.node <> last").drop("last"), "shared")
@@ -180,7 +203,10 @@ def _components(texts: DataFrame, rows: DataFrame, scratch: Scratch) -> DataFram
     scratch.release()
     near = shared.where((F.col("node") != F.col("least.node")) & _may_link(F.col("place"), F.col("least.place")))
     pairs = scratch.table(near.select(F.col("least.node").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
-    links = _verified(pairs, texts, rows, scratch)
+    root = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
+    joined = F.coalesce(F.col("root_a") == F.col("root_b"), F.lit(False))
+    pairs = scratch.table(pairs.join(root("a"), "a", "left").join(root("b"), "b", "left").where(~joined).select("a", "b"), "pairs")
+    links = scratch.table(_verified(pairs, texts, rows, scratch).unionByName(known), "links")
     labels = components(links, scratch)
 
     # Keys that still join components are compared in full, but for pairs whose counts rule them out before the join gives them out.

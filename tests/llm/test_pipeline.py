@@ -70,6 +70,21 @@ def test_near_copies_by_similarity_against_brute_force(spark, none):
     assert corpus_pipeline.near_copies(spark, none, "").collect() == []
 
 
+def test_near_copies_link_by_fingerprints_and_the_exact_join_finds_the_rest(spark, monkeypatch):
+    import corpus_pipeline
+    from skarn.llm import set_copies
+
+    close, far = prose(21, 900).split(), prose(22, 60).split()
+    rows = [(1, " ".join(close), "en", "s"), (2, " ".join(close[:-1]), "en", "s"), (3, " ".join(far), "en", "s"), (4, " ".join([*far[:-3], "x", "y", "z"]), "en", "s")]
+    bits = [set_copies._fingerprint(set_copies.shingles(t)) for _, t, _, _ in rows]
+    assert (bits[0] ^ bits[1]).bit_count() <= 3 < ((bits[2] ^ bits[3]) & (2**64 - 1)).bit_count()
+    kept = lambda: sorted(r["doc_id"] for r in corpus_pipeline.near_copies(spark, frame(spark, rows), "").collect())
+    assert kept() == [1, 3]
+    prefixes = set_copies._prefixes
+    monkeypatch.setattr(set_copies, "_prefixes", lambda *a: prefixes(*a).where("false"))
+    assert kept() == [1, 3, 4]
+
+
 def test_one_row_of_each_component_stays_whatever_the_ids(spark):
     import corpus_pipeline
 
