@@ -41,11 +41,11 @@ def _stored(t: Inputs) -> gs.GraphStore:
     base = f"{shared_folder(t.spark)}/skarn-graph-{uuid.uuid4().hex}"
     kind = F.when(F.col("event_type") == "error", "Remove").otherwise("Modify")
     events = t.table("events").select("ts", F.expr(_FILE).alias("path"), kind.alias("kind"), F.col("event_id").alias("seq"), F.col("user_id").alias("user"), "value")
-    for part in range(4):  # arrivals, one after another
-        events.where(F.least(F.floor((F.dayofmonth("ts") - 1) / 8), F.lit(3)) == part).coalesce(1).write.mode("append").parquet(f"{base}/in")
     store = gs.GraphStore.create(t.spark, f"{base}/graph", buckets=8)
     handle = gs.keep_in_step(store, _indexed, compact_every=3)
-    w.watch(t.spark, f"{base}/in", events.schema).writeStream.option("checkpointLocation", f"{base}/state").foreachBatch(handle).trigger(availableNow=True).start().awaitTermination()
+    for part in range(4):  # arrivals, one after another, each of any number of files
+        events.where(F.least(F.floor((F.dayofmonth("ts") - 1) / 8), F.lit(3)) == part).write.mode("append").parquet(f"{base}/in")
+        w.watch(t.spark, f"{base}/in", events.schema, files_per_batch=1 << 30).writeStream.option("checkpointLocation", f"{base}/state").foreachBatch(handle).trigger(availableNow=True).start().awaitTermination()
     return store
 
 

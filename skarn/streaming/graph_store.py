@@ -24,6 +24,8 @@ NODE, EDGE = ["label", "category", "risk_score"], ["source", "target", "relation
 _NODES = "file string, id string, label string, category string, risk_score double, put boolean, epoch long, bucket int"
 _EDGES = "source string, target string, relation string, put boolean, epoch long, bucket int"
 _MARKS = "kind string, epoch long, files_processed long, nodes_added long, nodes_removed long, edges_added long, edges_removed long"
+#: Tasks that may write a bucket of a log.
+WRITERS = 16
 #: The initial graph's epoch; streams count from 0.
 FIRST = -1
 
@@ -51,7 +53,9 @@ class GraphStore:
     # Layout
 
     def _write(self, rows: DataFrame, table: str, epoch: int) -> None:
-        rows.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/{table}/log={epoch}")
+        # A bucket is written by several tasks where it is large; adaptive execution puts small parts together.
+        part = F.pmod(F.xxhash64("id" if "id" in rows.columns else "target"), F.lit(WRITERS))
+        rows.repartition("bucket", part).write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/{table}/log={epoch}")
 
     def _mark(self, kind: str, epoch: int, *counts: int) -> None:
         row = (kind, epoch, *(counts or (0,) * 5))

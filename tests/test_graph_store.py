@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import time
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -135,3 +136,16 @@ def test_sessions_do_not_depend_on_arrival(spark, tmp_path):
         run = stream.writeStream.outputMode("append").option("checkpointLocation", str(tmp_path / f"cp{order}")).format("memory").queryName(f"sessions{order}").trigger(availableNow=True).start()
         run.awaitTermination()
         assert rows(spark.table(f"sessions{order}")) == want
+
+
+def test_an_arrival_of_many_files_is_one_epoch(spark, tmp_path):
+    from skarn.queries import Inputs
+    from skarn.queries_streams import _stored
+
+    rows = spark.range(0, 60_000, 1, 4).selectExpr("id AS event_id", "timestamp_seconds(1704067200 + id % 30 * 86400) AS ts", "id % 900 AS user_id", "IF(id % 50 = 7, 'error', 'view') AS event_type", "double(id % 100) AS value", "CAST(NULL AS STRING) AS props")
+    rows.write.parquet(f"{tmp_path}/events.parquet")
+    assert rows.rdd.getNumPartitions() == 4
+    store = _stored(Inputs(spark, str(tmp_path)))
+    assert store.epochs() == [-1, 0, 1, 2, 3]
+    landed = {p.name for p in Path(store.path).parent.glob("in/part-*.parquet")}
+    assert len(landed) > 4  # one a part before
