@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 
 from ..session import shared_folder
 
+#: Rows of links for each part of the tables of a level of communities, where Spark's shuffles give more parts than that.
+PART_ROWS = 1 << 16
+
 
 def _cut(df: DataFrame) -> DataFrame:
     """Cuts lineage by a checkpoint in the shared folder; kept until it is written, as Spark would compute it twice."""
@@ -131,20 +134,23 @@ def modularity_communities(edges: DataFrame, resolution: float = 1.0, rounds: in
     if not total:
         return labels
     for level in range(levels):
-        degree = _cut(links.groupBy("id").agg(F.sum("w").alias("k")))
+        # Tables that stay for many rounds lie in as many parts as their rows need: small graphs would spend all their time on starting tasks.
+        parts = links.count() // PART_ROWS + 1
+        degree = _cut(links.groupBy("id").agg(F.sum("w").alias("k")).coalesce(parts))
         place = degree.withColumn("community", F.col("id"))
+        # What a round needs of a link's own end is on the link, so that only two shuffles of a round are of the links' size besides their join.
+        ends = _cut(links.where("id <> other").join(degree, "id").select("id", "k", "other", "w").coalesce(parts))
         quiet, changed = 0, False
         for turn in range(rounds):
-            weight = place.groupBy("community").agg(F.sum("k").alias("sum"))
-            there = links.where("id <> other").join(place.select(F.col("id").alias("other"), "community"), "other").groupBy("id", "community").agg(F.sum("w").alias("inner"))
-            here = place.select("id", "community", F.lit(0.0).alias("inner"))
-            options = there.unionByName(here).groupBy("id", "community").agg(F.sum("inner").alias("inner")).join(place.select("id", "k", F.col("community").alias("own")), "id").join(weight, "community")
-            at_home = F.col("community") == F.col("own")
-            gain = F.col("inner") - resolution * F.col("k") * (F.col("sum") - F.when(at_home, F.col("k")).otherwise(0.0)) / total
-            ranked = F.struct((-F.round(gain, 9)).alias("loss"), (~at_home).alias("away"), F.col("community").alias("to"))
+            known = place.join(place.groupBy("community").agg(F.sum("k").alias("sum")), "community")
+            there = ends.join(known.select(F.col("id").alias("other"), "community", "sum"), "other").select("id", "k", "community", "sum", "w", F.lit(False).alias("own"))
+            here = known.select("id", "k", "community", "sum", F.lit(0.0).alias("w"), F.lit(True).alias("own"))
+            options = there.unionByName(here).groupBy("id", "community").agg(F.sum("w").alias("inner"), F.max("k").alias("k"), F.max("sum").alias("sum"), F.max("own").alias("own"))
+            gain = F.col("inner") - resolution * F.col("k") * (F.col("sum") - F.when(F.col("own"), F.col("k")).otherwise(0.0)) / total
+            ranked = F.struct((-F.round(gain, 9)).alias("loss"), (~F.col("own")).alias("away"), F.col("community").alias("to"))
             may = F.pmod(F.xxhash64(F.lit(level), F.lit(turn), "id"), F.lit(2)) == 0
-            best = options.groupBy("id").agg(F.min(ranked).alias("best"), F.first("k").alias("k"), F.first("own").alias("own"))
-            place = _cut(best.select("id", "k", "own", F.when(may, F.col("best.to")).otherwise(F.col("own")).alias("community")))
+            best = options.groupBy("id").agg(F.min(ranked).alias("best"), F.max("k").alias("k"), F.max(F.when(F.col("own"), F.col("community"))).alias("own"))
+            place = _cut(best.select("id", "k", "own", F.when(may, F.col("best.to")).otherwise(F.col("own")).alias("community")).coalesce(parts))
             quiet = quiet + 1 if place.where("community <> own").isEmpty() else 0
             changed |= not quiet
             place = place.drop("own")
@@ -155,7 +161,7 @@ def modularity_communities(edges: DataFrame, resolution: float = 1.0, rounds: in
         moved = place.select(F.col("id").alias("community"), F.col("community").alias("to"))
         labels = _cut(labels.join(moved, "community").select("id", F.col("to").alias("community")))
         source, target = place.select("id", F.col("community").alias("a")), place.select(F.col("id").alias("other"), F.col("community").alias("b"))
-        links = _cut(links.join(source, "id").join(target, "other").groupBy(F.col("a").alias("id"), F.col("b").alias("other")).agg(F.sum("w").alias("w")))
+        links = _cut(links.join(source, "id").join(target, "other").groupBy(F.col("a").alias("id"), F.col("b").alias("other")).agg(F.sum("w").alias("w")).coalesce(parts))
     names = labels.groupBy("community").agg(F.min("id").alias("name"))
     return labels.join(names, "community").select("id", F.col("name").alias("community"))
 

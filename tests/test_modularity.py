@@ -43,3 +43,18 @@ def test_a_ring_of_cliques_and_empty_graphs(spark):
     found = {r["id"]: r["community"] for r in modularity_communities(graph(spark, edges)).collect()}
     assert found == {f"c{c}{i}": f"c{c}0" for c in range(6) for i in range(5)}
     assert modularity_communities(graph(spark, [])).collect() == [] and modularity(graph(spark, []), spark.createDataFrame([], "id string, community string")) == 0.0
+
+
+def test_a_small_graph_starts_few_tasks(spark):
+    edges = graph(spark, [(f"c{c}{i}", f"c{c}{j}") for c in range(6) for i in range(5) for j in range(i)] + [(f"c{c}0", f"c{(c + 1) % 6}4") for c in range(6)])
+    context, parts = spark.sparkContext, spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "24")
+    context.setJobGroup("few tasks", "communities of 30 nodes")
+    try:
+        modularity_communities(edges, rounds=4, levels=2)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        context.setLocalProperty("spark.jobGroup.id", None)
+    jobs = [context.statusTracker().getJobInfo(i) for i in context.statusTracker().getJobIdsForGroup("few tasks")]
+    stages = {i: context.statusTracker().getStageInfo(i) for j in jobs for i in j.stageIds}
+    assert sum(s.numCompletedTasks for s in stages.values() if s) < 1200
