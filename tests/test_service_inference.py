@@ -56,3 +56,20 @@ def test_many_services_in_order(spark):
     files = spark.createDataFrame([("src/x.rs",), ("srcs/y.rs",), ("é/z",), (None,)], "path string")
     services = spark.createDataFrame([("b", "src"), ("a", "srcs/"), ("c", "é"), ("zz", "src/")] + [(f"s{i}", f"n{i}/") for i in range(500)], "service string, root string")
     assert sorted(map(tuple, assign_in_order(files, services).collect())) == [("src/x.rs", "b"), ("srcs/y.rs", "a"), ("é/z", "c")]
+
+
+def test_calls_meet_folders_once_a_file(spark):
+    """A file has one base, however many folders hold members above it; odd paths and missing ends are placed as by the folders themselves."""
+    make = spark.createDataFrame
+    held = make([("", "s"), ("a", "s"), ("a/b", "s"), ("a/b", "t"), ("/x", "u"), ("top", "t"), ("a/b/c", "v")], "directory string, symbol string")
+    services = make([(d, f"<{d}>") for d in ("", "a", "a/b", "a/b/c", "/x", "top")], "directory string, name string")
+    files = ["a/b/c/f.py", "a/b/f.py", "a\\b\\g.py", "f.py", "top", "top/f.py", "/x/f.py", "/y/f.py", "z/f.py"]
+    bases = {r["file"]: (r["base"], r["top"]) for r in s._bases(make([(f,) for f in files * 3 + [None]], "file string"), held).collect()}
+    assert bases == {"a/b/c/f.py": ("a/b/c", False), "a/b/f.py": ("a/b", False), "a\\b\\g.py": ("a/b", False), "f.py": ("", True), "top": ("top", True), "top/f.py": ("top", False), "/x/f.py": ("/x", False), "/y/f.py": ("", False), "z/f.py": (None, False)}
+    uses = make([(symbol, f) for symbol in "stuvw" for f in [*files, None]] + [(None, "f.py")], "symbol string, file string")
+    got = {(r["symbol"], r["file"]): r["service"] for r in s.symbol_services(uses, services, held).collect()}
+    own = {("s", "a/b/c/f.py"): "<a/b>", ("s", "a/b/f.py"): "<a/b>", ("s", "a\\b\\g.py"): "<a/b>", ("s", "f.py"): "<>", ("s", "top"): "<>", ("s", "/x/f.py"): "<>", ("s", "/y/f.py"): "<>"}
+    own |= {("t", f): "<a/b>" for f in files[:3]} | {("t", f): "<top>" for f in files[4:6]}
+    assert got == own | {(k, f): d for k, d in (("u", "</x>"), ("v", "<a/b/c>")) for f in [*files, None]}
+    calls = make([("s", "a/b/f.py", "u", None), ("s", "a/b/f.py", "u", None), ("t", None, "u", "f.py"), ("t", "top", "v", "z/f.py"), (None, None, "u", None)], "caller_name string, caller_file string, callee_name string, callee_file string")
+    assert {tuple(r) for r in s.service_calls(calls, services, held).collect()} == {("<a/b>", "</x>", 2), ("<top>", "<a/b/c>", 1)}
