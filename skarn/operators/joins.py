@@ -39,7 +39,9 @@ def call_projection(edges: DataFrame, symbols: DataFrame) -> DataFrame:
     """(source, target) by qualified name; an unresolved callee keeps its text, calls without either are dropped."""
     names = symbols.select("id", "qualified_name")
     out = edges.join(names.select(F.col("id").alias("caller_symbol_id"), F.col("qualified_name").alias("source")), "caller_symbol_id")
-    out = out.join(names.select(F.col("id").alias("callee_symbol_id"), F.col("qualified_name").alias("_t")), "callee_symbol_id", "left")
+    # Calls without a callee stay where they are: as keys of an outer join they would all go to one task.
+    known = out.where("callee_symbol_id is not null").join(names.select(F.col("id").alias("callee_symbol_id"), F.col("qualified_name").alias("_t")), "callee_symbol_id", "left")
+    out = known.unionByName(out.where("callee_symbol_id is null").withColumn("_t", F.lit(None).cast("string")))
     return out.select("source", F.coalesce("_t", "unresolved_callee").alias("target"), "confidence").where("target is not null")
 
 

@@ -109,3 +109,30 @@ def test_index_deals_out_finished_postings(spark, tmp_path):
     got = [(r["doc"], g) for r in grams.collect() for g in r["terms"]]
     assert len(got) == len(want) and set(got) == want
     assert {r["doc"] for r in index.candidates(["e 😀", " 😀é", "xyz"][1:]).collect()} == {i for i, t in texts if t and " 😀é" in t and "xyz" in t}
+
+
+def test_calls_without_a_callee_are_not_dealt_to_one_task(spark):
+    from pyspark.sql import functions as F
+    from skarn.operators.joins import call_projection
+
+    symbols = spark.range(400).select("id", F.concat(F.lit("q"), "id").alias("qualified_name"))
+    edges = spark.range(2000).select((F.col("id") % 400).alias("caller_symbol_id"), F.when(F.col("id") % 2 == 0, F.col("id") % 450).alias("callee_symbol_id"), F.when(F.col("id") % 4 != 0, F.concat(F.lit("u"), "id")).alias("unresolved_callee"), F.lit(1.0).alias("confidence"))
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        rows = call_projection(edges, symbols).withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    want = {}
+    for i in range(2000):
+        callee = i % 450 if i % 2 == 0 else None
+        target = f"q{callee}" if callee is not None and callee < 400 else f"u{i}" if i % 4 else None
+        if target:
+            want[(f"q{i % 400}", target)] = want.get((f"q{i % 400}", target), 0) + 1
+    got = {}
+    for r in rows:
+        got[(r["source"], r["target"])] = got.get((r["source"], r["target"]), 0) + 1
+    assert got == want
+    assert len({r["task"] for r in rows if r["target"].startswith("u") and int(r["target"][1:]) % 2}) > 1
