@@ -1,6 +1,6 @@
 """Many patterns in many texts as an equi-join on sampled grams; no limit on either side.
 
-Each text gives, of every few neighbouring grams (runs of characters), the one with the smallest hash. A text that holds a pattern holds all its neighbourhoods,
+Each text gives, of every few neighbouring grams (runs of bytes), the one with the smallest hash. A text that holds a pattern holds all its neighbourhoods,
 so all grams that the pattern gives; where the pattern must stand between word boundaries, its words serve instead. A pattern is looked up by the rarest of them; what meets is verified on the whole text, so the result is exact.
 A few small patterns are broadcast instead, after a check of their number and size.
 """
@@ -15,51 +15,94 @@ from pyspark.sql import functions as F
 
 from .graph import _cut
 
-#: (least length of a pattern in code points, length of its grams): a pattern takes the first it is long enough for; a neighbourhood has least - gram + 1 grams.
+#: (least length of a pattern in bytes, length of its grams): a pattern takes the first it is long enough for; a neighbourhood has least - gram + 1 grams.
 TIERS = ((24, 12), (8, 6), (3, 3), (1, 1))
-#: A text is read in pieces of this many code points, which overlap by a neighbourhood.
-PIECE = 1 << 20
+#: Texts are read in pieces of this many bytes, which overlap by a neighbourhood.
+PIECE = 1 << 17
+
+
+def _bytes(column) -> tuple:
+    """The bytes of an Arrow column of strings, and where each row begins and ends in them, without a copy; null: no bytes."""
+    import numpy as np
+    import pyarrow as pa
+
+    column = column.fill_null("") if column.null_count else column
+    _, offsets, data = column.buffers()
+    at = np.frombuffer(offsets, np.int64 if pa.types.is_large_string(column.type) else np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    return (np.frombuffer(data, np.uint8)[: at[-1]] if data is not None and data.size else np.empty(0, np.uint8)), at
 
 
 def _sampler(tiers: list[tuple[int, int]], own_tier: bool, known=None) -> Callable:
-    """Rows (key, gram) of batches (key, value): the grams of all tiers, or of a pattern's own one; with ``known`` (a broadcast, sorted) only those."""
+    """Rows (key, gram) of batches (key, value): the grams of all tiers, or of a pattern's own one; with ``known`` (a broadcast, sorted) only those. A batch of rows is
+    read as one run of bytes, piece by piece, so that the work doesn't grow with the number of its texts."""
     piece = PIECE
 
-    def grams(codes, least: int, size: int):
+    def neighbourhoods(data, least: int, size: int):
+        """The smallest hash of each ``least`` bytes' grams."""
         import numpy as np
 
-        n, room = len(codes) - size + 1, least - size + 1
-        if n < room:
-            return np.empty(0, np.int64)
-        h = np.full(n, size, np.uint64)
-        for i in range(size):
-            h = h * np.uint64(0x100000001B3) + codes[i : i + n]
+        n, room, width = len(data) - size + 1, least - size + 1, 1 << (min(size, 8).bit_length() - 1)
+        # Two words of a power of two bytes cover a gram.
+        word = lambda at: np.ndarray((n,), f"<u{width}", data, at, (1,)).astype(np.uint64)
+        h = word(0) * np.uint64(0x9E3779B97F4A7C15)
+        h += word(size - width) * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(size)
         h ^= h >> np.uint64(33)
         h *= np.uint64(0xFF51AFD7ED558CCD)
         h ^= h >> np.uint64(33)
-        low = h[: n - room + 1].copy()
-        for i in range(1, room):
-            np.minimum(low, h[i : i + len(low)], out=low)
-        return np.unique(low.view(np.int64))
+        span = 1
+        while span < room:
+            step = min(span, room - span)
+            h = np.minimum(h[:-step], h[step:])
+            span += step
+        return h
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
+        # Most hashes that aren't known are told by their last bits.
+        mask = np.uint64((1 << max(16, (8 * len(known.value)).bit_length())) - 1 if known is not None else 0)
+        likely = np.zeros(int(mask) + 1, bool)
+        if known is not None:
+            likely[known.value.view(np.uint64) & mask] = True
+
+        def wanted(low, start: int, at, least: int, shorter: int | None):
+            """(row, gram) of a piece's neighbourhoods, each once."""
+            # Of equal neighbours in a text the first stands for all; neighbourhoods over a text's end are none, and nor are those behind them.
+            head = np.ones(len(low), bool)
+            np.not_equal(low[1:], low[:-1], out=head[1:])
+            head[at[np.searchsorted(at, start) : np.searchsorted(at, start + len(low))] - start] = True
+            if known is not None:
+                head &= likely[(low & mask).view(np.int64)]
+            place = np.flatnonzero(head)
+            found = low[place].view(np.int64)
+            if known is not None and len(known.value):
+                which = np.minimum(np.searchsorted(known.value, found), len(known.value) - 1)
+                there = known.value[which] == found
+                place, found, which = place[there], found[there], which[there]
+            row = np.searchsorted(at, place + start, side="right") - 1
+            some = place + start + least <= at[row + 1]
+            if shorter is not None:
+                some &= at[row + 1] - at[row] < shorter
+            if known is not None and some.any():
+                pairs = np.unique(row[some] * len(known.value) + which[some])
+                return pairs // len(known.value), known.value[pairs % len(known.value)]
+            row, found = row[some], found[some]
+            order = np.lexsort((found, row))
+            row, found = row[order], found[order]
+            once = np.ones(len(row), bool)
+            once[1:] = (found[1:] != found[:-1]) | (row[1:] != row[:-1])
+            return row[once], found[once]
+
         for batch in batches:
-            for at, text in enumerate(batch.column(1).to_pylist()):
-                if not text:
-                    continue
-                codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
-                for least, size in [next(t for t in tiers if len(codes) >= t[0])] if own_tier else tiers:
-                    for start in range(0, max(1, len(codes) - least + 1), piece):
-                        found = grams(codes[start : start + piece + least - 1], least, size)
-                        if known is not None and len(found):
-                            place = np.minimum(np.searchsorted(known.value, found), len(known.value) - 1)
-                            found = found[known.value[place] == found]
-                        if len(found):
-                            keys = batch.column(0).take(pa.array(np.full(len(found), at)))
-                            yield pa.RecordBatch.from_arrays([keys, pa.array(found)], names=["key", "gram"])
+            data, at = _bytes(batch.column(1))
+            for least, size in tiers if batch.num_rows else ():
+                longer = min((t[0] for t in tiers if t[0] > least), default=None) if own_tier else None
+                for start in range(int(at[0]), int(at[-1]) - least + 1, piece):
+                    low = neighbourhoods(np.ascontiguousarray(data[start : start + piece + least - 1]), least, size)
+                    row, found = wanted(low, start, at, least, longer)
+                    if len(row):
+                        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(found)], names=["key", "gram"])
 
     return run
 
@@ -113,7 +156,7 @@ def _anchored(texts: DataFrame, patterns: DataFrame, key: str, text: str, patter
     rest = distinct.where(~F.rlike("p", F.lit(r"(?U)\w"))) if words else distinct
     wanted = _sampled(rest, F.col("p"), F.col("p"), list(TIERS), True).select(F.col("key").alias("p"), "gram")
     wanted = _cut(wanted if named is None else wanted.unionByName(named))
-    lengths = rest.select(F.char_length("p").alias("n")).select(F.coalesce(*[F.when(F.col("n") >= least, least) for least, _ in TIERS]).alias("least")).distinct()
+    lengths = rest.select(F.octet_length("p").alias("n")).select(F.coalesce(*[F.when(F.col("n") >= least, least) for least, _ in TIERS]).alias("least")).distinct()
     used = {r["least"] for r in lengths.collect()}  # at most one row a tier
     tiers = [t for t in TIERS if t[0] in used]
     grams, hits = wanted.select("gram").distinct(), []

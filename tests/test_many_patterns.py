@@ -79,3 +79,20 @@ def test_many_rules(spark):
     rules = spark.createDataFrame([(f"NO Term{i}.", None if i % 2 else r"^src/") for i in range(300)], "rule string, glob string")
     actions = spark.createDataFrame([(i, f"use tErm{i}. here", ("src/" if i % 4 else "lib/") + str(i)) for i in range(300)], "tx_id long, action string, entity string")
     assert {(r["tx_id"], r["term"]) for r in forbidden_terms(rules, actions).collect()} == {(i, f"Term{i}.") for i in range(300) if i % 4}
+
+
+@pytest.mark.parametrize("piece", [1 << 17, 64])
+def test_texts_of_a_batch_are_sampled_together(monkeypatch, piece):
+    """Short texts don't cost a batch each, and a gram never spans two texts: each text gives what it gives alone."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(m, "PIECE", piece)
+    rng = random.Random(9)
+    texts = ["".join(rng.choice("ab é😀") for _ in range(rng.choice([0, 1, 5, 23, 30, 90]))) for _ in range(400)] + [None, "a" * 300, "a" * 300]
+    batch = lambda rows: pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows], pa.int64()), pa.array([t for _, t in rows])], names=["key", "value"])
+    grams = lambda out: {(k, g) for b in out for k, g in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)}
+    for own in (False, True):
+        run = m._sampler(list(m.TIERS), own)
+        together = list(run([batch(list(enumerate(texts))).slice(3)]))
+        assert grams(together) == set().union(*(grams(run([batch([(i, t)])])) for i, t in enumerate(texts) if i > 2 and t))
+        assert piece == 64 or len(together) == len(m.TIERS)
