@@ -25,8 +25,9 @@ from pyspark.sql import functions as F
 
 from ..functions.vectors import finite, norm
 
-#: Most pivots; bytes of queries that are broadcast together; candidates that a task keeps before it reduces them; rows of a tile; decimals of a score.
-PIVOTS, QUERY_BYTES, KEPT, TILE, DECIMALS = 4096, 8 << 20, 1 << 19, 16384, 12
+#: Most pivots; bytes of queries that are asked together; candidates that a task keeps before it reduces them; queries and candidates that are compared at once; rows of a tile;
+#: decimals of a score.
+PIVOTS, QUERY_BYTES, KEPT, ASKED, OFFERED, TILE, DECIMALS = 4096, 8 << 20, 1 << 17, 512, 1024, 16384, 12
 #: What rounding may add to an angle.
 SLACK = 1e-7
 
@@ -65,6 +66,40 @@ def _angles(cosines: np.ndarray) -> np.ndarray:
     return np.arccos(np.clip(cosines, -1.0, 1.0))
 
 
+def _nearest_of(batches: Iterator[pa.RecordBatch], q: np.ndarray, visit: np.ndarray, bound: np.ndarray, pivots: np.ndarray, k: int) -> pa.RecordBatch:
+    """``query, id, similarity``: the k best of the rows (cell, angle, id, v) for each query. Besides a batch of rows and the queries it holds ``ASKED`` by ``OFFERED`` scores
+    and some ``KEPT`` candidates, whatever the cells' sizes."""
+    kept, held, waiting = [np.zeros((0, 2), np.int64)], [np.zeros(0)], 0
+
+    def best() -> None:
+        pairs, score = np.concatenate(kept), np.concatenate(held)
+        order = np.lexsort((pairs[:, 1], -score, pairs[:, 0]))
+        pairs, score = pairs[order], score[order]
+        first = np.searchsorted(pairs[:, 0], pairs[:, 0])
+        some = np.arange(len(pairs)) - first < k
+        kept[:], held[:] = [pairs[some]], [score[some]]
+
+    for batch in batches:
+        cell, angle, ids = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+        v = _matrix(batch.column(3), q.shape[1])
+        for c in np.unique(cell).tolist():
+            asking, offered = np.flatnonzero(visit[:, c]), np.flatnonzero(cell == c)
+            for i, j in ((i, j) for i in range(0, len(asking), ASKED) for j in range(0, len(offered), OFFERED)):
+                some, own = asking[i : i + ASKED], offered[j : j + OFFERED]
+                near = np.abs(_angles(q[some] @ pivots[c])[:, None] - angle[own][None, :]) <= bound[some][:, None]
+                score = np.where(near, np.round(q[some] @ v[own].T, DECIMALS), -2.0)
+                least = np.partition(score, max(0, len(own) - k), axis=1)[:, max(0, len(own) - k)]
+                x, y = np.nonzero((score >= least[:, None]) & (score > -2.0))
+                kept.append(np.stack([some[x], ids[own[y]]], axis=1))
+                held.append(score[x, y])
+                waiting += len(x)
+                if waiting > KEPT:
+                    best()
+                    waiting = 0
+    best()
+    return pa.RecordBatch.from_arrays([pa.array(kept[0][:, 0]), pa.array(kept[0][:, 1]), pa.array(held[0])], ["query", "id", "similarity"])
+
+
 @dataclass
 class Cells:
     """``cell, angle, id, v`` in cell order below ``path``; pivots, and the radius and rows of each cell, are bounded by ``PIVOTS``."""
@@ -110,41 +145,11 @@ class Cells:
 
     def _scan(self, queries: np.ndarray, visits: np.ndarray, bounds: np.ndarray, k: int) -> DataFrame:
         """``query, id, similarity``: each task's k best vectors for each query among the cells that it visits (a query and cell matrix)."""
-        size, shared = self.pivots.shape[1], self.spark.sparkContext.broadcast((queries, visits, bounds, _angles(queries @ self.pivots.T)))
+        shared = self.spark.sparkContext.broadcast((queries, visits, bounds, self.pivots))
         wanted = np.flatnonzero(visits.any(axis=0)).tolist()
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            q, visit, bound, to_pivot = shared.value
-            kept, held = [np.zeros((0, 2), np.int64)], [np.zeros(0)]
-
-            def best() -> None:
-                pairs, score = np.concatenate(kept), np.concatenate(held)
-                order = np.lexsort((pairs[:, 1], -score, pairs[:, 0]))
-                pairs, score = pairs[order], score[order]
-                first = np.searchsorted(pairs[:, 0], pairs[:, 0])
-                some = np.arange(len(pairs)) - first < k
-                kept[:], held[:] = [pairs[some]], [score[some]]
-
-            waiting = 0
-            for batch in batches:
-                cell, angle, ids = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-                v = _matrix(batch.column(3), size)
-                for c in np.unique(cell).tolist():
-                    asking = np.flatnonzero(visit[:, c])
-                    for at in range(0, len(asking), 512):
-                        some, own = asking[at : at + 512], np.flatnonzero(cell == c)
-                        near = np.abs(to_pivot[some, c][:, None] - angle[own][None, :]) <= bound[some][:, None]
-                        score = np.where(near, np.round(q[some] @ v[own].T, DECIMALS), -2.0)
-                        least = np.partition(score, max(0, len(own) - k), axis=1)[:, max(0, len(own) - k)]
-                        i, j = np.nonzero((score >= least[:, None]) & (score > -2.0))
-                        kept.append(np.stack([some[i], ids[own[j]]], axis=1))
-                        held.append(score[i, j])
-                        waiting += len(i)
-                        if waiting > KEPT:
-                            best()
-                            waiting = 0
-            best()
-            yield pa.RecordBatch.from_arrays([pa.array(kept[0][:, 0]), pa.array(kept[0][:, 1]), pa.array(held[0])], ["query", "id", "similarity"])
+            yield _nearest_of(batches, *shared.value, k)
 
         return self.rows().where(F.col("cell").isin(wanted)).mapInArrow(run, "query long, id long, similarity double")
 
@@ -155,38 +160,38 @@ class Cells:
     def nearest(self, queries: DataFrame, k: int, id_col: str = "id", vector: str = "embedding", visit: int | None = None, own: bool = False) -> DataFrame:
         """``query, rank, id, similarity``: each query row's k nearest vectors by cosine. own: whether rows with the query's id count. visit: cells of a query, at most."""
         size, parts = self.pivots.shape[1], []
-        block, rows = max(1, QUERY_BYTES // (8 * (size + len(self.pivots)))), _unit(queries, size, id_col, vector)
+        block, rows = max(1, QUERY_BYTES // (16 * size + 2 * len(self.pivots))), _unit(queries, size, id_col, vector)  # vectors and visits, of two scans
         held: list = []
 
         def ask() -> None:
             ids, q = np.array([r["id"] for r in held]), np.array([r["v"] for r in held])
+            held.clear()
             need = k + (0 if own else 1)
-            angles = _angles(q @ self.pivots.T)
-            order = np.argsort(angles, axis=1, kind="stable")
-            # The nearest cells that hold enough vectors, then all that can hold a nearer one than the last of these.
-            enough = (np.cumsum(self.count[order], axis=1) < need).sum(axis=1) + 1
-            place = np.argsort(order, axis=1, kind="stable")
-            first = place < np.minimum(enough, visit or len(self.pivots))[:, None]
-            unbounded = np.full(len(q), 4.0)
-            near = [(r["query"], r["id"], r["similarity"]) for r in self._top(self._scan(q, first, unbounded, need), need).collect()]  # k rows for each query of a bounded block
-            last = np.full(len(q), 4.0)
-            counts = np.bincount([n for n, _, _ in near], minlength=len(q))
-            for n in np.flatnonzero(counts == need).tolist():
-                last[n] = 0.0
-            for n, _, s in near:
-                if counts[n] == need:
-                    last[n] = max(last[n], math.acos(max(-1.0, min(1.0, s))) + SLACK)
-            reach = (angles - self.radius[None, :] <= last[:, None]) & ~first & (self.count > 0)[None, :]
-            if visit:
-                reach &= place < visit
-            everything = self.spark.createDataFrame(near, "query long, id long, similarity double")
+            first, last = np.zeros((len(q), len(self.pivots)), bool), np.full(len(q), 4.0)
+            slices = [slice(at, at + ASKED) for at in range(0, len(q), ASKED)]
+            for s in slices:
+                order = np.argsort(_angles(q[s] @ self.pivots.T), axis=1, kind="stable")
+                # The nearest cells that hold enough vectors, then all that can hold a nearer one than the last of these.
+                enough = (np.cumsum(self.count[order], axis=1) < need).sum(axis=1) + 1
+                first[s] = np.argsort(order, axis=1, kind="stable") < np.minimum(enough, visit or len(self.pivots))[:, None]
+            near = self._top(self._scan(q, first, np.full(len(q), 4.0), need), need).select("query", "id", "similarity").toArrow()  # k rows for each query of a bounded block
+            asked, least = near.column("query").to_numpy(), np.full(len(q), 1.0)
+            full = np.bincount(asked, minlength=len(q)) == need
+            np.minimum.at(least, asked, near.column("similarity").to_numpy())
+            last[full] = _angles(least[full]) + SLACK
+            reach = np.zeros_like(first)
+            for s in slices:
+                angles = _angles(q[s] @ self.pivots.T)
+                reach[s] = (angles - self.radius[None, :] <= last[s][:, None]) & ~first[s] & (self.count > 0)[None, :]
+                if visit:
+                    reach[s] &= np.argsort(np.argsort(angles, axis=1, kind="stable"), axis=1, kind="stable") < visit
+            everything = self.spark.createDataFrame(near)
             if reach.any():
                 everything = everything.unionByName(self._scan(q, reach, last, need))
-            names = self.spark.createDataFrame([(n, int(i)) for n, i in enumerate(ids)], "query long, asked long")
+            names = self.spark.createDataFrame(pa.table({"query": np.arange(len(ids)), "asked": ids}))
             found = everything.join(F.broadcast(names), "query")
             found = found if own else found.where("id <> asked")
             parts.append(self._top(found, k).select(F.col("asked").alias("query"), F.col("rank"), "id", "similarity"))
-            held.clear()
 
         for row in rows.toLocalIterator():  # a stated query set, block by block
             held.append(row)

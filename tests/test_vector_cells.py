@@ -71,3 +71,29 @@ def test_small_and_empty_tables(spark, tmp_path):
     one = Cells.build(spark.createDataFrame([(1, [3.0, 4.0])], SCHEMA), str(tmp_path / "one"))
     assert one.nearest(spark.createDataFrame([(1, [3.0, 4.0]), (2, [6.0, 8.0]), (3, None)], SCHEMA), 3).collect() == [(2, 1, 1, 1.0)]
     assert one.pairs(0.5).collect() == [] == one.nearest(spark.createDataFrame([], SCHEMA), 3).collect()
+
+
+def test_memory_is_bounded_by_slices(built, monkeypatch):
+    """A task gets a query's vector and a byte a cell, and holds slices of scores, however large a cell is."""
+    import pickle
+    import tracemalloc
+
+    import pyarrow as pa
+
+    cells, rows, table = built
+    queries, sizes, context = table.where("id % 2 = 0 AND id < 600"), [], cells.spark.sparkContext
+    send = type(context).broadcast
+    monkeypatch.setattr(type(context), "broadcast", lambda self, value: (sizes.append(len(pickle.dumps(value))), send(self, value))[1])
+    assert cells.nearest(queries, 5).count() == 1500
+    assert len(sizes) == 2 and max(sizes) < 300 * (8 * 12 + len(cells.pivots) + 8) + cells.pivots.nbytes + 2000
+
+    rng = np.random.default_rng(5)
+    q, v = rng.normal(size=(600, 8)), rng.normal(size=(40_000, 8))
+    batch = pa.RecordBatch.from_arrays([pa.array(np.zeros(len(v), np.int32)), pa.array(np.zeros(len(v))), pa.array(np.arange(len(v))), pa.ListArray.from_arrays(pa.array(np.arange(0, v.size + 1, 8, dtype=np.int32)), pa.array(v.ravel()))], ["cell", "angle", "id", "v"])
+    tracemalloc.start()
+    found = vc._nearest_of(iter([batch]), q, np.ones((600, 1), bool), np.full(600, 4.0), np.ones((1, 8)), 3)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 48 << 20
+    best = np.argsort(-np.round(q @ v.T, vc.DECIMALS), axis=1, kind="stable")[:, :3]
+    assert found.column("query").to_pylist() == np.repeat(np.arange(600), 3).tolist() and found.column("id").to_pylist() == best.ravel().tolist()
