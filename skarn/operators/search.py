@@ -15,11 +15,13 @@ K1, B = 1.2, 0.75
 
 @dataclass
 class Index:
-    """docs(doc, path, content, length), postings(term, doc, tf), grams(gram, doc); write the three to keep an index."""
+    """docs(doc, path, content, length), postings(term, doc, tf), grams(gram, doc); write the three to keep an index. source(doc, text): what an index was built from that
+    nobody keeps; it is asked in one pass over the texts, with the same answers, instead of making all their postings or grams for each question."""
 
     docs: DataFrame
     postings: DataFrame
     grams: DataFrame
+    source: DataFrame | None = None
 
     @classmethod
     def build(cls, rows: DataFrame, doc: str = "doc_id", content: str = "text", path: str | None = None) -> Index:
@@ -28,11 +30,13 @@ class Index:
         source = rows.select(F.col(doc).alias("doc"), text.alias("text"))
         postings = source.select("doc", F.explode(code_tokens(F.col("text"))).alias("term")).groupBy("term", "doc").agg(F.count(F.lit(1)).alias("tf"))
         grams = source.select("doc", F.explode(trigrams(F.lower("text"))).alias("gram"))
-        return cls(docs, postings, grams)
+        return cls(docs, postings, grams, source)
 
     def bm25(self, query: str, limit: int | None = 10, prefilter: bool = False) -> DataFrame:
         """(doc, score) of documents that hold any query term; ties by doc. prefilter: only documents with all trigrams of the query."""
         terms = _query_tokens(query)
+        if self.source is not None:
+            return self._bm25_pass(sorted(set(terms)), query, limit, prefilter)
         stats = self.docs.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean"))
         hits = self.postings.where(F.col("term").isin(terms))
         if prefilter and query.isalnum() and len(query) >= 3:
@@ -45,6 +49,23 @@ class Index:
         out = scored.groupBy("doc").agg(F.sum(part).alias("score")).orderBy(F.desc(F.round("score", 9)), "doc")
         return out if limit is None else out.limit(limit)
 
+    def _bm25_pass(self, terms: list[str], query: str, limit: int | None, prefilter: bool) -> DataFrame:
+        """:meth:`bm25` of the source: texts are tokenised once and go as counts to their documents, which give the statistics and the scores."""
+        tf = [f"tf{i}" for i in range(len(terms))]
+        each = _counted(self.source, "doc", F.col("text"), terms).groupBy("doc").agg(F.collect_list("length").alias("lengths"), *[F.sum(c).alias(c) for c in tf])
+        lengths = F.aggregate("lengths", F.lit(0).cast("long"), lambda a, n: a + n)
+        stats = each.agg(F.sum(F.size("lengths")).alias("n"), F.sum(lengths).alias("all"), *[F.count_if(F.col(c) > 0).alias(f"d{c}") for c in tf])
+        stats = stats.select("n", (F.col("all").cast("double") / F.col("n")).alias("mean"), *[f"d{c}" for c in tf])
+        # A condition on the id alone would move below the grouping and part what both sides share.
+        found = reduce(lambda a, c: a | (F.when(F.col("doc").isNull(), 0).otherwise(F.col(c)) > 0), tf, F.lit(False))
+        hits = each.where(found)
+        if prefilter and query.isalnum() and len(query) >= 3:
+            hits = hits.join(self.candidates([query.lower()[i : i + 3] for i in range(len(query) - 2)]), "doc", "left_semi")
+        one = lambda n: reduce(lambda a, c: a + F.coalesce(_bm25_part(F.col(c), F.col(f"d{c}"), n), F.lit(0.0)), tf, F.lit(0.0))
+        score = F.aggregate("lengths", F.lit(0.0), lambda a, n: a + one(n))
+        out = hits.crossJoin(F.broadcast(stats)).select("doc", score.alias("score")).orderBy(F.desc(F.round("score", 9)), "doc")  # one row
+        return out if limit is None else out.limit(limit)
+
     def all_terms(self, query: str) -> DataFrame:
         """(doc): documents that hold every query term."""
         terms = sorted(set(_query_tokens(query)))
@@ -55,10 +76,17 @@ class Index:
         wanted = sorted(set(grams))
         if not wanted:
             return self.docs.select("doc")
+        if self.source is not None and all(len(g) == 3 for g in wanted):
+            held = self.source.select("doc", *[F.lower("text").contains(g).alias(f"g{i}") for i, g in enumerate(wanted)])
+            held = held.where(reduce(lambda a, i: a | F.col(f"g{i}"), range(len(wanted)), F.lit(False)))
+            by_doc = held.groupBy("doc").agg(*[F.max(f"g{i}").alias(f"g{i}") for i in range(len(wanted))])
+            return by_doc.where(reduce(lambda a, i: a & F.col(f"g{i}"), range(len(wanted)), F.lit(True))).select("doc")
         return self.grams.where(F.col("gram").isin(wanted)).groupBy("doc").agg(F.count_distinct("gram").alias("_n")).where(F.col("_n") == len(wanted)).select("doc")
 
     def regex(self, pattern: str, limit: int | None = None, longest_line: int = 1000) -> DataFrame:
         """(doc, line, content): trimmed lines that match; lines of more bytes than ``longest_line`` are skipped, as the feature is defined."""
+        if self.source is not None:
+            return regex_scan(self.docs.where(F.col("doc").isNotNull()), pattern, limit, "doc", "content", longest_line)
         docs = self.docs.join(self.candidates(pattern_trigrams(pattern)), "doc", "left_semi")
         return _matching_lines(docs.select("doc", "content"), pattern, limit, longest_line)
 
@@ -95,23 +123,28 @@ def regex_scan(rows: DataFrame, pattern: str, limit: int | None = None, doc: str
     return _matching_lines(rows.where(held).select(F.col(doc).alias("doc"), F.coalesce(F.col(content), F.lit("")).alias("content")), pattern, limit, longest_line)
 
 
+def _counted(rows: DataFrame, doc: str, text: Column, terms: list[str]) -> DataFrame:
+    """``doc, length, tf0..`` of each row: its tokens, and how often each term is among them. The generator keeps the optimiser from tokenising anew for each column."""
+    count = lambda ts: F.struct(F.size(ts).cast("long").alias("length"), *[(F.size(ts) - F.size(F.array_remove(ts, term))).alias(f"tf{i}") for i, term in enumerate(terms)])
+    return rows.select(F.col(doc).alias("doc"), F.inline(F.transform(F.array(code_tokens(text)), count)))
+
+
+def _bm25_part(tf: Column, df: Column, length: Column) -> Column:
+    """A term's part of a score; null where it is missing."""
+    idf = F.log(F.lit(1.0) + (F.col("n") - df + 0.5) / (df + 0.5))
+    return F.when(tf > 0, idf * tf.cast("double") * (K1 + 1) / (tf.cast("double") + K1 * (1 - B + B * length / F.col("mean"))))
+
+
 def bm25_scan(rows: DataFrame, query: str, limit: int | None = 10, doc: str = "doc_id", content: str = "text") -> DataFrame:
     """:meth:`Index.bm25` for one query, without an index: one pass for the statistics, one for the scores of texts that hold a term; only a row of statistics is shuffled."""
     terms = sorted(set(_query_tokens(query)))
-    # The generator keeps the optimiser from tokenising anew for each column.
-    count = lambda ts: F.struct(F.size(ts).alias("length"), *[(F.size(ts) - F.size(F.array_remove(ts, term))).alias(f"tf{i}") for i, term in enumerate(terms)])
-    counted = lambda df: df.select(F.col(doc).alias("doc"), F.inline(F.transform(F.array(code_tokens(F.coalesce(F.col(content), F.lit("")))), lambda ts: count(ts))))
+    counted = lambda df: _counted(df, doc, F.coalesce(F.col(content), F.lit("")), terms)
     stats = counted(rows).agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))])
     # A token is a piece of the lower-cased text; lower-casing depends on neighbours for a few other letters, so only ASCII terms are looked up in it.
     lower = F.lower(F.col(content))
     held = reduce(lambda a, term: a | lower.contains(term), terms, F.lit(False)) if all(map(str.isascii, terms)) else F.lit(True)
     scored = counted(rows.where(held)).crossJoin(F.broadcast(stats))  # one row
-
-    def part(i: int) -> Column:
-        tf, df = F.col(f"tf{i}").cast("double"), F.col(f"df{i}")
-        idf = F.log(F.lit(1.0) + (F.col("n") - df + 0.5) / (df + 0.5))
-        return F.when(tf > 0, idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("length") / F.col("mean"))))
-
+    part = lambda i: _bm25_part(F.col(f"tf{i}"), F.col(f"df{i}"), F.col("length"))
     found = reduce(lambda a, i: a | (F.col(f"tf{i}") > 0), range(len(terms)), F.lit(False))
     score = reduce(lambda a, i: a + F.coalesce(part(i), F.lit(0.0)), range(len(terms)), F.lit(0.0))
     out = scored.where(found).select("doc", score.alias("score")).orderBy(F.desc(F.round("score", 9)), "doc")

@@ -17,3 +17,23 @@ def test_scans_equal_index(spark):
     for query in ("apache license", "server", "Übung apache", "missing", "--"):
         want = [(r.doc, round(r.score, 9)) for r in index.bm25(query).collect()]
         assert [(r.doc, round(r.score, 9)) for r in q.bm25_scan(unique, query).collect()] == want
+
+
+def test_an_index_that_nobody_keeps_answers_in_one_pass(spark):
+    """Repeated, null and path-bearing documents give what the kept tables give, without grams and with one pass of tokens."""
+    rows = [*ROWS, (None, "apache license"), (7, "the Apache-like"), (7, None), (8, "li ce"), (8, "cense lic")]
+    docs = spark.createDataFrame([(i, f"src/apache{n}.rs", t) for n, (i, t) in enumerate(rows)], "doc_id long, path string, text string")
+    for path in (None, "path"):
+        built = q.Index.build(docs, path=path)
+        kept = q.Index(built.docs, built.postings, built.grams)
+        for query in ("apache license", "Apache", "under version", "missing", "--", "Apache license apache"):
+            for prefilter in (False, True):
+                a, b = ([(r.doc, round(r.score, 9)) for r in i.bm25(query, prefilter=prefilter).collect()] for i in (built, kept))
+                assert a == b, (path, query, prefilter)
+        for grams in (["lic", "ice", "cen"], ["lic"], ["li"], ["apa", "li"], []):
+            assert sorted(built.candidates(grams).collect(), key=str) == sorted(kept.candidates(grams).collect(), key=str), (path, grams)
+        for pattern in ("Licensed under", "^no", "apache", "[Ll]icense|cense"):
+            assert sorted(map(tuple, built.regex(pattern).collect())) == sorted(map(tuple, kept.regex(pattern).collect()))
+        assert built.hybrid("Apache license", "Licensed under", 5).collect() == kept.hybrid("Apache license", "Licensed under", 5).collect()
+        plan = built.hybrid("Apache license", "Licensed under", 5)._jdf.queryExecution().optimizedPlan().toString()
+        assert "regexp_extract_all" not in plan and "explode" not in plan.replace("posexplode", "")
