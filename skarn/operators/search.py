@@ -126,7 +126,8 @@ def regex_scan(rows: DataFrame, pattern: str, limit: int | None = None, doc: str
 def _counted(rows: DataFrame, doc: str, text: Column, terms: list[str]) -> DataFrame:
     """``doc, length, tf0..`` of each row: its tokens, and how often each term is among them. The generator keeps the optimiser from tokenising anew for each column."""
     count = lambda ts: F.struct(F.size(ts).cast("long").alias("length"), *[(F.size(ts) - F.size(F.array_remove(ts, term))).alias(f"tf{i}") for i, term in enumerate(terms)])
-    return rows.select(F.col(doc).alias("doc"), F.inline(F.transform(F.array(code_tokens(text)), count)))
+    # An alias to the same name would part plans that are otherwise shared.
+    return rows.select(F.col(doc) if doc == "doc" else F.col(doc).alias("doc"), F.inline(F.transform(F.array(code_tokens(text)), count)))
 
 
 def _bm25_part(tf: Column, df: Column, length: Column) -> Column:

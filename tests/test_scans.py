@@ -37,3 +37,10 @@ def test_an_index_that_nobody_keeps_answers_in_one_pass(spark):
         assert built.hybrid("Apache license", "Licensed under", 5).collect() == kept.hybrid("Apache license", "Licensed under", 5).collect()
         plan = built.hybrid("Apache license", "Licensed under", 5)._jdf.queryExecution().optimizedPlan().toString()
         assert "regexp_extract_all" not in plan and "explode" not in plan.replace("posexplode", "")
+
+
+def test_hybrid_tokenises_once(spark):
+    built = q.Index.build(spark.createDataFrame(ROWS, "doc_id long, text string"))
+    found = built.hybrid("Apache license", "Licensed under", 5)
+    assert len(found.collect()) > 2
+    assert "ReusedExchange" in found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
