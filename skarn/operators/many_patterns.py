@@ -21,22 +21,21 @@ TIERS = ((24, 12), (8, 6), (3, 3), (1, 1))
 PIECE = 1 << 17
 
 
-def _bytes(column) -> tuple:
-    """The bytes of an Arrow column of strings, and where each row begins and ends in them, without a copy; null: no bytes."""
-    import numpy as np
-    import pyarrow as pa
-
-    column = column.fill_null("") if column.null_count else column
-    _, offsets, data = column.buffers()
-    at = np.frombuffer(offsets, np.int64 if pa.types.is_large_string(column.type) else np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
-    return (np.frombuffer(data, np.uint8)[: at[-1]] if data is not None and data.size else np.empty(0, np.uint8)), at
-
-
 def _sampler(tiers: list[tuple[int, int]], own_tier: bool, known=None) -> Callable:
     """Rows (key, gram) of batches (key, value): the grams of all tiers, or of a pattern's own one; with ``known`` (a broadcast, sorted) only those. A batch of rows is
     read as one run of bytes, piece by piece, so that the work doesn't grow with the number of its texts."""
     piece = PIECE
 
+    def bytes_of(column) -> tuple:
+        """The bytes of an Arrow column of strings, and where each row begins and ends in them, without a copy; null: no bytes."""
+        import numpy as np
+        import pyarrow as pa
+
+        column = column.fill_null("") if column.null_count else column
+        _, offsets, data = column.buffers()
+        at = np.frombuffer(offsets, np.int64 if pa.types.is_large_string(column.type) else np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+        return (np.frombuffer(data, np.uint8)[: at[-1]] if data is not None and data.size else np.empty(0, np.uint8)), at
+
     def neighbourhoods(data, least: int, size: int):
         """The smallest hash of each ``least`` bytes' grams."""
         import numpy as np
@@ -95,7 +94,7 @@ def _sampler(tiers: list[tuple[int, int]], own_tier: bool, known=None) -> Callab
             return row[once], found[once]
 
         for batch in batches:
-            data, at = _bytes(batch.column(1))
+            data, at = bytes_of(batch.column(1))
             for least, size in tiers if batch.num_rows else ():
                 longer = min((t[0] for t in tiers if t[0] > least), default=None) if own_tier else None
                 for start in range(int(at[0]), int(at[-1]) - least + 1, piece):
