@@ -110,9 +110,11 @@ def _query_tokens(query: str) -> list[str]:
     return [t for t in re.split(r"[^\w]+|_", spaced.lower()) if t]
 
 
-def _matching_lines(docs: DataFrame, pattern: str, limit: int | None, longest_line: int) -> DataFrame:
+def _matching_lines(docs: DataFrame, pattern: str, limit: int | None, longest_line: int | None) -> DataFrame:
+    """All lines that match, or those of ``longest_line`` bytes at most."""
     lines = docs.select("doc", F.posexplode(F.split("content", r"\r?\n")).alias("p", "l"))
-    out = lines.where((F.octet_length("l") <= longest_line) & F.col("l").rlike(pattern)).select("doc", (F.col("p") + 1).alias("line"), F.trim("l").alias("content"))
+    short = F.lit(True) if longest_line is None else F.octet_length("l") <= longest_line
+    out = lines.where(short & F.col("l").rlike(pattern)).select("doc", (F.col("p") + 1).alias("line"), F.trim("l").alias("content"))
     return out if limit is None else out.orderBy("doc", "line").limit(limit)
 
 

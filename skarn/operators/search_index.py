@@ -1,7 +1,8 @@
 """A persisted inverted index: segments, tombstones and merges, block-max ranked search, snippets, and fuzzy terms by deletion neighbourhoods.
 
-Every :meth:`SearchIndex.add` writes a segment: documents by hash of their id, postings of two fields (content, path) by hash of the term and in its order, each document's trigrams by hash of the trigram, summaries of
-blocks of documents, and the deletion neighbourhood of its vocabulary. A query reads the hash partitions of its own terms. A manifest, written last, says which segments are
+Every :meth:`SearchIndex.add` writes a segment: documents by hash of their id, posting lists of two fields (content, path) by hash of the term and in its order, with summaries of blocks of documents, each document's trigrams
+by hash of the trigram, and the deletion neighbourhood of its vocabulary. A query reads the hash partitions of its own terms. An index may go without words or without trigrams: without words it answers regular
+expressions only; without trigrams what would ask them reads the texts, with the same answers. A manifest, written last, says which segments are
 live, so a writer that dies changes nothing; there is one writer at a time. A document that is added again or deleted gets a tombstone with the
 number of the write, which hides it in all older segments; :meth:`SearchIndex.merge` writes what is live as one segment and drops tombstones.
 
@@ -16,28 +17,29 @@ Defined cases: null content and path are empty; null ids are dropped; of an id t
 
 from __future__ import annotations
 
-import zlib
-from collections.abc import Iterator
+import math
 from dataclasses import dataclass
+from functools import reduce
 
-import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import code_tokens, pattern_trigrams
 from .search import B, K1, _matching_lines, _query_tokens
+from .search_passes import LISTS, NOT_SIMPLE, gram_bucket, grams_by_bucket, posting_lists
 
-_DOCS = "doc long, path string, content string, content_length long, path_length long, line_count long, block long, segment long, bucket int"
-_POSTINGS = "field string, term string, doc long, tf long, positions array<int>, length long, block long, segment long, bucket int"
+_DOCS = "doc long, path string, content string, line_count long, segment long, bucket int"
+_POSTINGS = f"{LISTS}, segment long, bucket int"
 _GRAMS = "doc long, terms array<string>, segment long, bucket int"
-_BLOCKS = "field string, term string, block long, n long, most_tf long, least_length long, segment long, bucket int"
 _NEAR = "variant long, term string, segment long, bucket int"
 _LONG = "term string, segment long"
 _TOMBS = "doc long, below long"
 _MANIFEST = "version long, segment long, tombs long"
 #: Documents of a block; blocks that are scored before others are ruled out; longest term with a neighbourhood; edits.
 BLOCK, WAVE, LONG, EDITS = 128, 16, 32, 2
+#: Ids that the driver may hold.
+HELD = 1 << 18
 #: Characters of a snippet.
 SNIPPET = 150
 #: A token of ``code_tokens`` in place.
@@ -71,56 +73,6 @@ def _impact(tf: Column, length: Column, mean: Column) -> Column:
     return tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean))
 
 
-def _postings(batches: Iterator[pa.RecordBatch], most: int = 1 << 16) -> Iterator[pa.RecordBatch]:
-    """``field, term, doc, tf, positions, length, block`` of ``doc, block, content_length, path_length, content, path`` (tokens), a bounded number at a time."""
-    kinds = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.int64(), pa.int64()]
-    names = ["field", "term", "doc", "tf", "positions", "length", "block"]
-    held: list[tuple] = []
-
-    def batch_of() -> pa.RecordBatch:
-        out = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held, strict=True), kinds, strict=True)], names)
-        held.clear()
-        return out
-
-    for batch in batches:
-        for n in range(batch.num_rows):
-            doc, block, *lengths = (batch.column(c)[n].as_py() for c in range(4))
-            for field, length, column in (("content", lengths[0], 4), ("path", lengths[1], 5)):
-                places: dict[str, list[int]] = {}
-                for at, term in enumerate(batch.column(column)[n].as_py()):
-                    places.setdefault(term, []).append(at)
-                held.extend((field, term, doc, len(at), at, length, block) for term, at in places.items())
-            if len(held) >= most:
-                yield batch_of()
-    if held:
-        yield batch_of()
-
-
-def gram_bucket(gram: str, buckets: int) -> int:
-    return zlib.crc32(gram.encode("utf-8", "surrogatepass")) % buckets
-
-
-def _grams(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
-    """``doc, terms, bucket``: the distinct trigrams of ``doc, content``, a row for each bucket that has some."""
-    known: dict[str, int] = {}
-    for batch in batches:
-        for first in range(0, batch.num_rows, 256):
-            docs, terms, where = [], [], []
-            for doc, text in zip(*(batch.column(c).slice(first, 256).to_pylist() for c in (0, 1)), strict=True):
-                dealt: dict[int, list[str]] = {}
-                for g in set(map("".join, zip(text, text[1:], text[2:], strict=False))):
-                    if (b := known.get(g)) is None:
-                        if len(known) > 1 << 18:
-                            known.clear()
-                        b = known[g] = gram_bucket(g, buckets)
-                    dealt.setdefault(b, []).append(g)
-                for b, some in dealt.items():
-                    docs.append(doc)
-                    terms.append(sorted(some))
-                    where.append(b)
-            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(terms, pa.list_(pa.string())), pa.array(where, pa.int32())], ["doc", "terms", "bucket"])
-
-
 @dataclass
 class SearchIndex:
     """An index of documents ``(doc, path, content)`` below ``path``."""
@@ -130,12 +82,15 @@ class SearchIndex:
     buckets: int = 32
     #: Whether vocabularies get neighbourhoods; without, fuzzy lookups compare with all terms.
     neighbourhoods: bool = True
+    #: Whether there are posting lists and trigrams.
+    words: bool = True
+    trigrams: bool = True
 
     # Manifest
 
     @classmethod
-    def create(cls, spark: SparkSession, path: str, buckets: int = 32, neighbourhoods: bool = True) -> SearchIndex:
-        index = cls(spark, path.rstrip("/"), buckets, neighbourhoods)
+    def create(cls, spark: SparkSession, path: str, buckets: int = 32, neighbourhoods: bool = True, words: bool = True, trigrams: bool = True) -> SearchIndex:
+        index = cls(spark, path.rstrip("/"), buckets, neighbourhoods, words, trigrams)
         index._publish(0, [], [])
         return index
 
@@ -159,9 +114,11 @@ class SearchIndex:
         read = self.spark.read.schema(f"{schema}, part int").option("basePath", f"{self.path}/{table}")
         return read.parquet(*[f"{self.path}/{table}/part={n}" for n in numbers]).drop("part")
 
-    def _write(self, rows: DataFrame, table: str, number: int, *order: str) -> None:
+    def _write(self, rows: DataFrame, table: str, number: int, *order: str, deal: bool = True) -> None:
+        """deal: rows of a bucket go together first; else each task writes its own rows of all buckets."""
         # Adaptive execution splits the partition of a term that very many documents hold.
-        dealt = rows.hint("rebalance", F.col("bucket")).sortWithinPartitions("bucket", *order) if "bucket" in rows.columns else rows
+        dealt = rows.hint("rebalance", F.col("bucket")) if deal and "bucket" in rows.columns else rows
+        dealt = dealt.sortWithinPartitions("bucket", *order) if "bucket" in rows.columns else dealt
         writer = dealt.write.mode("overwrite").option("compression", "zstd")
         (writer.partitionBy("bucket") if "bucket" in rows.columns else writer).parquet(f"{self.path}/{table}/part={number}")
 
@@ -171,26 +128,27 @@ class SearchIndex:
         """Writes documents ``(doc, path, content)`` as a segment."""
         segment = F.lit(number).cast("long").alias("segment")
         lines = (F.char_length("content") - F.char_length(F.replace("content", F.lit("\n"), F.lit(""))) + F.when(F.col("content").endswith("\n") | (F.col("content") == ""), 0).otherwise(1)).cast("long")
-        # Documents of about the same length make a block, as length goes into the bound.
-        place, count = F.pmod(F.xxhash64(F.lit("block"), "doc"), F.lit(max(1, rows.count() // (16 * BLOCK)))), F.size(code_tokens(F.col("content")))
-        docs = rows.select(
-            "doc", "path", "content", F.size(code_tokens(F.col("content"))).cast("long").alias("content_length"), F.size(code_tokens(F.col("path"))).cast("long").alias("path_length"),
-            lines.alias("line_count"), (F.floor(4 * F.log2(count + 1)) + 1000 * place).cast("long").alias("block"), segment, self._bucket("doc"),
-        )
-        self._write(docs, "docs", number, "doc")
+        self._write(rows.select("doc", "path", "content", lines.alias("line_count"), segment, self._bucket("doc")), "docs", number, "doc")
         docs = self._read("docs", [number], _DOCS)
-        # A document's tokens are in one row, so its postings are made there; only finished ones are dealt out. Its trigrams go out as one row a bucket.
-        tokens = docs.select("doc", "block", "content_length", "path_length", code_tokens(F.col("content")).alias("content"), code_tokens(F.col("path")).alias("path"))
-        words = tokens.mapInArrow(_postings, "field string, term string, doc long, tf long, positions array<int>, length long, block long")
-        buckets = self.buckets
-        grams = docs.select("doc", F.lower("content").alias("content")).mapInArrow(lambda batches: _grams(batches, buckets), "doc long, terms array<string>, bucket int")
-        self._write(grams.select("doc", "terms", segment, "bucket"), "grams", number, "doc")
-        postings = words.select("*", segment, self._bucket("field", "term"))
-        self._write(postings, "postings", number, "field", "term", "doc")
+        if self.trigrams:
+            buckets = self.buckets
+            grams = docs.select("doc", F.lower("content").alias("content")).mapInArrow(lambda batches: grams_by_bucket(batches, buckets), "doc long, terms array<string>, bucket int")
+            self._write(grams.select("doc", "terms", segment, "bucket"), "grams", number, "doc", deal=False)
+        if not self.words:
+            return
+        # The tokens of a document are in one row, so lists are made there, of many documents at a time; only finished ones are dealt out.
+        odd = lambda text: F.when(F.col(text).rlike(NOT_SIMPLE), code_tokens(F.col(text)))
+        block = BLOCK
+
+        def lists(batches):
+            from pyspark import TaskContext
+
+            return posting_lists(batches, TaskContext.get().partitionId(), block)
+
+        postings = docs.select("doc", "content", "path", odd("content").alias("contents"), odd("path").alias("paths")).mapInArrow(lists, LISTS)
+        self._write(postings.select("*", segment, self._bucket("field", "term")), "postings", number, "field", "term")
         postings = self._read("postings", [number], _POSTINGS)
-        blocks = postings.groupBy("field", "term", "block").agg(F.count(F.lit(1)).alias("n"), F.max("tf").alias("most_tf"), F.min("length").alias("least_length"))
-        self._write(blocks.select("*", segment, self._bucket("field", "term")), "blocks", number, "field", "term")
-        vocabulary = postings.where("field = 'content'").select("term").distinct()
+        vocabulary = postings.where("field = 'content' AND term <> ''").select("term").distinct()
         longest = LONG if self.neighbourhoods else 0
         near = vocabulary.where(F.char_length("term") <= longest).select(F.explode(deletions(F.col("term"))).alias("v"), "term").select(F.xxhash64("v").alias("variant"), "term", segment)
         self._write(near.select("*", self._bucket("variant")), "near", number, "variant")
@@ -201,8 +159,7 @@ class SearchIndex:
         version, segments, tombs = self._state()
         number, text = version + 1, F.coalesce(F.col(content).cast("string"), F.lit(""))
         name = F.coalesce(F.col(path).cast("string"), F.lit("")) if path else F.lit("")
-        docs = rows.where(F.col(doc).isNotNull()).groupBy(F.col(doc).cast("long").alias("doc")).agg(F.max(F.struct(text.alias("content"), name.alias("path"))).alias("_v")).select("doc", "_v.path", "_v.content")
-        self._segment(docs, number)
+        self._segment(self._once(rows.select(F.col(doc).cast("long").alias("doc"), name.alias("path"), text.alias("content")).where("doc IS NOT NULL")), number)
         if segments:
             older = self._read("docs", segments, _DOCS).select("doc").distinct()
             self._bury(older.join(self._read("docs", [number], _DOCS).select("doc"), "doc", "left_semi"), number)
@@ -210,6 +167,17 @@ class SearchIndex:
         self._publish(number, [*segments, number], tombs)
         return number
 
+    def _once(self, docs: DataFrame) -> DataFrame:
+        """``doc, path, content`` with one row an id. Only texts of ids that occur again are dealt out and compared; the driver knows these ids, unless they are very many."""
+        one = lambda rows: rows.groupBy("doc").agg(F.max(F.struct("content", "path")).alias("_v")).select("doc", "_v.path", "_v.content")
+        again = docs.groupBy("doc").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc").limit(HELD + 1).toArrow()
+        if again.num_rows > HELD:
+            return one(docs)
+        if not again.num_rows:
+            return docs
+        ids = F.broadcast(self.spark.createDataFrame(again))
+        return docs.join(ids, "doc", "left_anti").unionByName(one(docs.join(ids, "doc", "left_semi")))
+
     def delete(self, docs: DataFrame, doc: str = "doc_id") -> int:
         version, segments, tombs = self._state()
         self._bury(docs.select(F.col(doc).cast("long").alias("doc")).where("doc IS NOT NULL").distinct(), version + 1)
@@ -229,9 +197,16 @@ class SearchIndex:
     # Reads
 
     def _live(self, table: str, schema: str, state: tuple[int, list[int], list[int]], where: Column | None = None) -> DataFrame:
-        """Rows of live documents."""
+        """Rows of live documents; posting lists are taken apart to ``field, term, doc, tf, length, block, segment``."""
         rows = self._read(table, state[1], schema)
         rows = rows if where is None else rows.where(where)
+        if table == "postings":
+            rows = rows.select("field", "term", "segment", F.inline(F.arrays_zip("docs", "tfs", "lengths", "blocks")))
+            rows = rows.select("field", "term", F.col("docs").alias("doc"), F.col("tfs").cast("long").alias("tf"), F.col("lengths").cast("long").alias("length"), F.col("blocks").alias("block"), "segment")
+        return self._alive(rows, state)
+
+    def _alive(self, rows: DataFrame, state: tuple[int, list[int], list[int]]) -> DataFrame:
+        """The rows ``doc, segment, ..`` of live documents."""
         if not state[2]:
             return rows
         dead = self._read("tombs", state[2], _TOMBS).groupBy("doc").agg(F.max("below").alias("below"))
@@ -258,35 +233,50 @@ class SearchIndex:
 
     def _weights(self, terms: list[str], state: tuple) -> DataFrame:
         """``field, term, idf, mean`` over live documents; a field's mean length counts empty ones too."""
-        stats = self._live("docs", _DOCS, state).agg(F.count(F.lit(1)).alias("n"), F.greatest(F.avg("content_length"), F.lit(1e-9)).alias("content"), F.greatest(F.avg("path_length"), F.lit(1e-9)).alias("path"))
-        df = self._live("postings", _POSTINGS, state, self._of("content", terms) | self._of("path", terms)).groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"))
-        idf = F.log(F.lit(1.0) + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-        found = df.crossJoin(F.broadcast(stats)).select("field", "term", idf.alias("idf"), F.when(F.col("field") == "path", F.col("path")).otherwise(F.col("content")).alias("mean"))
-        rows = [tuple(r) for r in found.collect()]  # two rows a term of the query; computed once for all that uses them
+        found = self._live("postings", _POSTINGS, state, self._of("content", ["", *terms]) | self._of("path", ["", *terms])).groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"), F.sum("length").alias("length"))
+        counts = {(r["field"], r["term"]): (r["df"], r["length"]) for r in found.collect()}  # two rows a term of the query; computed once for all that uses them
+        rows = []
+        for (field, term), (df, _) in counts.items():
+            n, length = counts[field, ""]
+            if term:
+                rows.append((field, term, math.log(1.0 + (n - df + 0.5) / (df + 0.5)), max(length / n, 1e-9)))
         return self.spark.createDataFrame(rows, "field string, term string, idf double, mean double")
 
     def candidates(self, grams: list[str], state: tuple | None = None) -> DataFrame | None:
         """``doc`` of live documents that hold all trigrams; None where there are none to ask for."""
-        wanted = sorted(set(grams))
+        held = self._holding(grams, state or self._state())
+        return None if held is None else held.select("doc")
+
+    def _holding(self, grams: list[str], state: tuple) -> DataFrame | None:
+        """:meth:`candidates` with their segments."""
+        wanted: dict[int, list[str]] = {}
+        for g in sorted(set(grams)):
+            wanted.setdefault(gram_bucket(g, self.buckets), []).append(g)
         if not wanted:
             return None
-        numbers = sorted({gram_bucket(g, self.buckets) for g in wanted})
-        held = self._live("grams", _GRAMS, state or self._state(), F.col("bucket").isin(numbers))
-        some = F.size(F.array_intersect("terms", F.array(*[F.lit(g) for g in wanted])))
-        return held.groupBy("doc").agg(F.sum(some).alias("n")).where(F.col("n") == len(wanted)).select("doc")
+        every = lambda tests: reduce(lambda a, b: a & b, tests)
+        if not self.trigrams:
+            text = F.lower("content")
+            return self._alive(self._read("docs", state[1], _DOCS).where(every([text.contains(g) for gs in wanted.values() for g in gs])).select("doc", "segment"), state)
+        # A write's document has one row a bucket, and must have all that are asked of each.
+        all_of = reduce(lambda a, b: a | b, [(F.col("bucket") == n) & every([F.array_contains("terms", g) for g in gs]) for n, gs in wanted.items()])
+        rows = self._read("grams", state[1], _GRAMS).where(F.col("bucket").isin(sorted(wanted)) & all_of)
+        return self._alive(rows.groupBy("doc", "segment").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == len(wanted)).select("doc", "segment"), state)
 
     def ranked(self, query: str, limit: int = 10, prefilter: bool = True) -> DataFrame:
         """``doc, score`` of the best documents; ties by doc. prefilter: for a query of letters, digits and underscores, documents must hold all its trigrams."""
         terms, state = sorted(set(_query_tokens(query))), self._state()
+        self._need_words()
         if not terms or not state[1]:
             return self.spark.createDataFrame([], "doc long, score double")
         word = prefilter and len(query) >= 3 and query.replace("_", "a").isalnum()
         keep = self.candidates([query.lower()[i : i + 3] for i in range(len(query) - 2)], state) if word else None
         best = lambda scored: scored.orderBy(F.desc(F.round("score", 9)), "doc").limit(limit)
-        bound = F.col("idf") * _impact(F.col("most_tf").cast("double"), F.col("least_length"), F.col("mean"))
+        bound = F.col("idf") * _impact(F.col("block_tfs").cast("double"), F.col("block_lengths"), F.col("mean"))
         parts = self._weights(terms, state)
-        summaries = self._read("blocks", state[1], _BLOCKS).where(self._of("content", terms) | self._of("path", terms)).join(F.broadcast(parts), ["field", "term"])
-        bounds = summaries.groupBy("segment", "block").agg(F.sum(bound).alias("bound"))
+        lists = self._read("postings", state[1], _POSTINGS).where(self._of("content", terms) | self._of("path", terms))
+        summaries = lists.select("field", "term", "segment", F.inline(F.arrays_zip("block_ids", "block_tfs", "block_lengths"))).join(F.broadcast(parts), ["field", "term"])
+        bounds = summaries.groupBy("segment", F.col("block_ids").alias("block")).agg(F.sum(bound).alias("bound"))
         first = [(r["segment"], r["block"]) for r in bounds.orderBy(F.desc("bound"), "segment", "block").limit(WAVE + 1).collect()]
         if len(first) <= WAVE:
             return best(self._scored(terms, parts, state, None, keep))
@@ -318,17 +308,28 @@ class SearchIndex:
             hits.unpersist()
         return with_snippets(docs.join(kept, "doc"), terms).orderBy(F.desc(F.round("score", 9)), "doc")
 
-    def regex(self, pattern: str, limit: int | None = None, longest_line: int = 1000) -> DataFrame:
-        """``doc, line, content``: trimmed lines that match; only documents with all trigrams of the pattern are read for."""
+    def regex(self, pattern: str, limit: int | None = None, longest_line: int | None = None) -> DataFrame:
+        """``doc, line, content``: trimmed lines that match, of ``longest_line`` bytes at most if that is given; only documents with all trigrams of the pattern are read for."""
         state = self._state()
-        docs, held = self._live("docs", _DOCS, state), self.candidates(pattern_trigrams(pattern), state)
-        docs = docs if held is None else docs.join(held, "doc", "left_semi")
+        held = self._holding(pattern_trigrams(pattern), state)
+        if held is None:
+            docs = self._live("docs", _DOCS, state)
+        else:
+            # They are few as a rule; texts are dealt out only where they are not.
+            found = held.limit(HELD + 1).toArrow()
+            held = F.broadcast(self.spark.createDataFrame(found)) if found.num_rows <= HELD else held
+            docs = self._read("docs", state[1], _DOCS).join(held, ["doc", "segment"], "left_semi")
         return _matching_lines(docs.select("doc", "content"), pattern, limit, longest_line)
 
+    def _need_words(self) -> None:
+        if not self.words:
+            raise ValueError("this index has no words")
+
     def terms_near(self, term: str, edits: int = EDITS) -> DataFrame:
         """``term, distance`` of all content terms of the segments within ``edits`` (2 at most)."""
         if not 0 <= edits <= EDITS:
             raise ValueError(f"at most {EDITS} edits")
+        self._need_words()
         state, wanted, longest = self._state(), term.lower(), LONG if self.neighbourhoods else 0
         asked = self.spark.createDataFrame([(wanted,)], "w string").select(F.explode(deletions(F.col("w"), edits)).alias("v")).select(F.xxhash64("v").alias("variant")).distinct()
         pairs = [(r["variant"], r["bucket"]) for r in asked.select("variant", self._bucket("variant")).collect()] if len(wanted) <= longest + edits else []

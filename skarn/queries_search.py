@@ -22,9 +22,10 @@ _BM25 = """tf AS (SELECT field, doc, term, count(*) AS tf FROM tk WHERE term IN
 sc AS (SELECT tf.doc, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * l / m))) AS score FROM tf JOIN df USING (field, term) JOIN dl USING (field, doc) JOIN st USING (field) GROUP BY 1)"""
 
 
-def _built(t: Inputs, neighbourhoods: bool = False) -> SearchIndex:
+def _built(t: Inputs, **tables: bool) -> SearchIndex:
+    """tables: which ones of an index are asked."""
     docs = t.table("documents").select("doc_id", "text", "lang", "source", F.expr(_PATH).alias("path"))
-    index = SearchIndex.create(t.spark, f"{shared_folder(t.spark)}/skarn-index-{uuid.uuid4().hex}", buckets=8, neighbourhoods=neighbourhoods)
+    index = SearchIndex.create(t.spark, f"{shared_folder(t.spark)}/skarn-index-{uuid.uuid4().hex}", buckets=8, **tables)
     first = F.coalesce(F.col("lang") == "en", F.lit(False))
     index.add(docs.where(first).withColumn("text", F.concat(F.lit("old version "), F.coalesce("text", F.lit("")))), path="path")
     index.add(docs, path="path")
@@ -34,12 +35,12 @@ def _built(t: Inputs, neighbourhoods: bool = False) -> SearchIndex:
 
 @query("x6_index_ranked", f"WITH {_LIVE}, {_BM25.format("'license', 'apache', 'web', 'version'")} SELECT doc, path, round(score, 5) AS score, CAST(len(string_split(content, chr(10))) - CASE WHEN content = '' OR content LIKE ('%' || chr(10)) THEN 1 ELSE 0 END AS BIGINT) AS line_count FROM sc JOIN live USING (doc) ORDER BY round(score, 9) DESC, doc LIMIT 10")
 def _(t: Inputs) -> DataFrame:
-    return _built(t).search("Apache license web version").select("doc", "path", F.round("score", 5).alias("score"), "line_count")
+    return _built(t, neighbourhoods=False, trigrams=False).search("Apache license web version").select("doc", "path", F.round("score", 5).alias("score"), "line_count")
 
 
 @query("x7_index_fuzzy", f"WITH {_LIVE} SELECT term, damerau_levenshtein(term, 'lciense') AS distance, count(DISTINCT doc) AS docs FROM tk WHERE field = 'content' AND damerau_levenshtein(term, 'lciense') <= 2 GROUP BY 1, 2")
 def _(t: Inputs) -> DataFrame:
-    found = _built(t, True).fuzzy("lciense", None)
+    found = _built(t, trigrams=False).fuzzy("lciense", None)
     return found.groupBy("term", F.col("distance").cast("long").alias("distance")).agg(F.count_distinct("doc").alias("docs"))
 
 
@@ -48,4 +49,4 @@ _LINES = "ln AS (SELECT doc, unnest(string_split(content, chr(10))) AS l, genera
 
 @query("x9_index_regex", f"WITH {_LIVE}, {_LINES} SELECT doc, i AS line, trim(l) AS content FROM ln WHERE strlen(l) <= 1000 AND regexp_matches(l, '[Ll]icensed under (the|CC)')")
 def _(t: Inputs) -> DataFrame:
-    return _built(t).regex("[Ll]icensed under (the|CC)").select("doc", F.col("line").cast("long").alias("line"), "content")
+    return _built(t, words=False).regex("[Ll]icensed under (the|CC)", longest_line=1000).select("doc", F.col("line").cast("long").alias("line"), "content")
