@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import code_tokens, pattern_trigrams
 from .search import B, K1, _matching_lines, _query_tokens
-from .search_passes import LISTS, NOT_SIMPLE, gram_bucket, grams_by_bucket, posting_lists
+from .search_passes import LISTS, NOT_SIMPLE, POSTING, SUMMARY, gram_bucket, grams_by_bucket, posting_lists, unpacked
 
 _DOCS = "doc long, path string, content string, line_count long, segment long, bucket int"
 _POSTINGS = f"{LISTS}, segment long, bucket int"
@@ -201,8 +201,8 @@ class SearchIndex:
         rows = self._read(table, state[1], schema)
         rows = rows if where is None else rows.where(where)
         if table == "postings":
-            rows = rows.select("field", "term", "segment", F.inline(F.arrays_zip("docs", "tfs", "lengths", "blocks")))
-            rows = rows.select("field", "term", F.col("docs").alias("doc"), F.col("tfs").cast("long").alias("tf"), F.col("lengths").cast("long").alias("length"), F.col("blocks").alias("block"), "segment")
+            packed = rows.select("field", "term", "segment", "postings")
+            rows = packed.mapInArrow(lambda batches: unpacked(batches, POSTING), "field string, term string, segment long, doc long, tf long, length long, block long")
         return self._alive(rows, state)
 
     def _alive(self, rows: DataFrame, state: tuple[int, list[int], list[int]]) -> DataFrame:
@@ -272,11 +272,11 @@ class SearchIndex:
         word = prefilter and len(query) >= 3 and query.replace("_", "a").isalnum()
         keep = self.candidates([query.lower()[i : i + 3] for i in range(len(query) - 2)], state) if word else None
         best = lambda scored: scored.orderBy(F.desc(F.round("score", 9)), "doc").limit(limit)
-        bound = F.col("idf") * _impact(F.col("block_tfs").cast("double"), F.col("block_lengths"), F.col("mean"))
+        bound = F.col("idf") * _impact(F.col("tf").cast("double"), F.col("length"), F.col("mean"))
         parts = self._weights(terms, state)
         lists = self._read("postings", state[1], _POSTINGS).where(self._of("content", terms) | self._of("path", terms))
-        summaries = lists.select("field", "term", "segment", F.inline(F.arrays_zip("block_ids", "block_tfs", "block_lengths"))).join(F.broadcast(parts), ["field", "term"])
-        bounds = summaries.groupBy("segment", F.col("block_ids").alias("block")).agg(F.sum(bound).alias("bound"))
+        summaries = lists.select("field", "term", "segment", "summary").mapInArrow(lambda batches: unpacked(batches, SUMMARY), "field string, term string, segment long, block long, tf long, length long")
+        bounds = summaries.join(F.broadcast(parts), ["field", "term"]).groupBy("segment", "block").agg(F.sum(bound).alias("bound"))
         first = [(r["segment"], r["block"]) for r in bounds.orderBy(F.desc("bound"), "segment", "block").limit(WAVE + 1).collect()]
         if len(first) <= WAVE:
             return best(self._scored(terms, parts, state, None, keep))

@@ -9,11 +9,13 @@ import numpy as np
 import pyarrow as pa
 
 #: A text with a character that this finds is not simple: its tokens come from ``code_tokens``. Others are Latin letters and punctuation, whose classes and lower case are in the tables below.
-NOT_SIMPLE = r"[^\x{0}-\x{12F}\x{131}-\x{24F}\x{2000}-\x{206F}]"
+NOT_SIMPLE = r"[\x{130}\x{250}-\x{1FFF}\x{2070}-\x{10FFFF}]"  # a negated class takes eight times as long
 _WORD, _LOWER, _UPPER = 1, 2, 4
 #: Characters and documents that are held at once, unless a single text has more.
 CHARACTERS, DOCUMENTS = 1 << 22, 4096
-LISTS = "field string, term string, docs array<long>, tfs array<int>, lengths array<int>, blocks array<long>, positions array<int>, block_ids array<long>, block_tfs array<int>, block_lengths array<int>"
+LISTS = "field string, term string, postings binary, positions binary, summary binary"
+POSTING = np.dtype([("doc", "<i8"), ("tf", "<i4"), ("length", "<i4"), ("block", "<i8")])
+SUMMARY = np.dtype([("block", "<i8"), ("tf", "<i4"), ("length", "<i4")])
 
 
 def _tables() -> tuple[np.ndarray, np.ndarray]:
@@ -78,14 +80,31 @@ def _field_tokens(texts: list[str], given: list[list[str] | None]) -> tuple[pa.A
     return tokens, owner, counts
 
 
-def _lists(values: np.ndarray, kind: pa.DataType, firsts: np.ndarray) -> pa.Array:
-    """Lists that begin at ``firsts`` of values."""
-    return pa.ListArray.from_arrays(pa.array(np.append(firsts, len(values)), pa.int32()), pa.array(values, kind))
+def _packed(records: np.ndarray, firsts: np.ndarray) -> pa.Array:
+    """The bytes of the records from each of ``firsts`` to the next."""
+    offsets = np.append(firsts, len(records)) * records.dtype.itemsize
+    return pa.BinaryArray.from_buffers(pa.binary(), len(firsts), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(records.tobytes())])
+
+
+def _records(kind: np.dtype, *columns: np.ndarray) -> np.ndarray:
+    out = np.empty(len(columns[0]), kind)
+    for name, column in zip(kind.names, columns, strict=True):
+        out[name] = column
+    return out
+
+
+def unpacked(batches: Iterator[pa.RecordBatch], kind: np.dtype) -> Iterator[pa.RecordBatch]:
+    """A row for each record of ``field, term, segment, packed``: ``field, term, segment`` and the record's fields."""
+    for batch in batches:
+        for n in range(batch.num_rows):
+            records = np.frombuffer(batch.column(3)[n].as_buffer(), kind)
+            same = [pa.repeat(batch.column(c)[n], len(records)) for c in range(3)]
+            yield pa.RecordBatch.from_arrays([*same, *[pa.array(records[f].astype(np.int64)) for f in kind.names]], ["field", "term", "segment", *kind.names])
 
 
 def posting_lists(batches: Iterator[pa.RecordBatch], partition: int, block: int) -> Iterator[pa.RecordBatch]:
-    """``LISTS`` of ``doc, content, path, content tokens, path tokens`` (null where the text is simple): for each term of some thousand documents their ids, frequencies, lengths, blocks and
-    positions (one document's after the other's, from 0), and for each of these blocks its id, greatest frequency and least length. A row with an empty term has all the documents, so lengths
+    """``LISTS`` of ``doc, content, path, content tokens, path tokens`` (null where the text is simple): for each term of some thousand documents its ``POSTING`` records, its positions in each
+    document (the first, then the steps to the next) and the ``SUMMARY`` of each block. They are bytes, as Spark handles a list number by number. A row with an empty term has all the documents, so lengths
     and counts of documents without any token too. Documents of about the same length make a block."""
     base = partition << 32
     for docs, contents, paths, *given in _chunks(batches, (1, 2)):
@@ -108,18 +127,15 @@ def posting_lists(batches: Iterator[pa.RecordBatch], partition: int, block: int)
             part = np.flatnonzero(changes | np.append(True, place[1:] // block != place[:-1] // block)[: len(code)])
             block_tf, block_length = (f.reduceat(x, part) if len(part) else x for f, x in ((np.maximum, tf), (np.minimum, lengths)))
             terms = encoded.dictionary.take(pa.array(code[row]))
-            firsts = np.append(0, n + row)  # the row of all documents stands first
-            block_firsts = np.append(0, np.searchsorted(part, row))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([field] * (len(row) + 1), pa.string()), pa.concat_arrays([pa.array([""], pa.string()), terms]),
-                    _lists(np.append(ranked_ids, ranked_ids[place]), pa.int64(), firsts), _lists(np.append(np.zeros(n, np.int64), tf), pa.int32(), firsts),
-                    _lists(np.append(counts[by_length], lengths), pa.int32(), firsts), _lists(np.append(ranked_blocks, ranked_blocks[place]), pa.int64(), firsts),
-                    _lists(at[order], pa.int32(), np.append(0, pair[row])), _lists(ranked_blocks[place[part]], pa.int64(), block_firsts),
-                    _lists(block_tf, pa.int32(), block_firsts), _lists(block_length, pa.int32(), block_firsts),
-                ],
-                ["field", "term", "docs", "tfs", "lengths", "blocks", "positions", "block_ids", "block_tfs", "block_lengths"],
-            )
+            at = at[order]
+            steps = np.diff(at, prepend=0).astype("<i4")
+            steps[pair] = at[pair]
+            postings = _records(POSTING, np.append(ranked_ids, ranked_ids[place]), np.append(np.zeros(n, np.int64), tf), np.append(counts[by_length], lengths), np.append(ranked_blocks, ranked_blocks[place]))
+            columns = [  # the row of all documents stands first
+                pa.array([field] * (len(row) + 1), pa.string()), pa.concat_arrays([pa.array([""], pa.string()), terms]), _packed(postings, np.append(0, n + row)),
+                _packed(steps, np.append(0, pair[row])), _packed(_records(SUMMARY, ranked_blocks[place[part]], block_tf, block_length), np.append(0, np.searchsorted(part, row))),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, ["field", "term", "postings", "positions", "summary"])
         base += -(-n // block)
 
 
