@@ -9,7 +9,8 @@ number of the write, which hides it in all older segments; :meth:`SearchIndex.me
 Ranking is BM25 over content and path (each with its own lengths and frequencies; the scores are added), exact over live documents. A block's
 greatest frequency and least length bound the score of all its documents, so that blocks whose bound stays below the k-th best score of the best blocks are never scored.
 
-A fuzzy lookup is an equi-join: two terms within two edits (a transposition is one) share a string that is left when each loses two characters at most. Terms above
+A fuzzy lookup is an equi-join: two terms within two edits (a transposition is one) share a string that is left when each loses two characters at most, and so do their first ``PREFIX`` characters: as
+far as both prefixes are aligned, an edit takes one character of each at most, and the rest of one prefix is as long as what the other has lost beyond it. Terms above
 ``LONG`` characters have no neighbourhood; those are compared directly, for queries of about that length.
 
 Defined cases: null content and path are empty; null ids are dropped; of an id that occurs twice in one write, the row with the greatest content stays; an empty query finds nothing.
@@ -38,6 +39,8 @@ _TOMBS = "doc long, below long"
 _MANIFEST = "version long, segment long, tombs long"
 #: Documents of a block; blocks that are scored before others are ruled out; longest term with a neighbourhood; edits.
 BLOCK, WAVE, LONG, EDITS = 128, 16, 32, 2
+#: Characters of a term that its neighbourhood is of; a term has 37 strings at most.
+PREFIX = 8
 #: Ids that the driver may hold.
 HELD = 1 << 18
 #: Characters of a snippet.
@@ -150,7 +153,7 @@ class SearchIndex:
         postings = self._read("postings", [number], _POSTINGS)
         vocabulary = postings.where("field = 'content' AND term <> ''").select("term").distinct()
         longest = LONG if self.neighbourhoods else 0
-        near = vocabulary.where(F.char_length("term") <= longest).select(F.explode(deletions(F.col("term"))).alias("v"), "term").select(F.xxhash64("v").alias("variant"), "term", segment)
+        near = vocabulary.where(F.char_length("term") <= longest).select(F.explode(deletions(F.substring("term", 1, PREFIX))).alias("v"), "term").select(F.xxhash64("v").alias("variant"), "term", segment)
         self._write(near.select("*", self._bucket("variant")), "near", number, "variant")
         self._write(vocabulary.where(F.char_length("term") > longest).select("term", segment), "long", number)
 
@@ -331,7 +334,7 @@ class SearchIndex:
             raise ValueError(f"at most {EDITS} edits")
         self._need_words()
         state, wanted, longest = self._state(), term.lower(), LONG if self.neighbourhoods else 0
-        asked = self.spark.createDataFrame([(wanted,)], "w string").select(F.explode(deletions(F.col("w"), edits)).alias("v")).select(F.xxhash64("v").alias("variant")).distinct()
+        asked = self.spark.createDataFrame([(wanted,)], "w string").select(F.explode(deletions(F.substring("w", 1, PREFIX), edits)).alias("v")).select(F.xxhash64("v").alias("variant")).distinct()
         pairs = [(r["variant"], r["bucket"]) for r in asked.select("variant", self._bucket("variant")).collect()] if len(wanted) <= longest + edits else []
         near = self._read("near", state[1] if pairs else [], _NEAR).where(F.col("bucket").isin(sorted({b for _, b in pairs})))
         found = near.join(F.broadcast(self.spark.createDataFrame([(v,) for v, _ in pairs], "variant long")), "variant").select("term")
